@@ -134,10 +134,18 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple
 
 
 def row_sets(own: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values of each row, concatenated, with row offsets."""
-    order = np.lexsort((own, rows)) if len(own) else np.zeros(0, np.int64)
-    own, rows = own[order], rows[order]
+    """Sorted distinct values of each row, concatenated, with row offsets.
+
+    ``rows`` must not decrease.
+    """
     if len(own):
+        own = own.copy()
+        ends = np.cumsum(np.bincount(rows, minlength=n_rows))
+        lo = 0
+        for hi in ends.tolist():
+            if hi - lo > 1:
+                own[lo:hi].sort()
+            lo = hi
         keep = np.ones(len(own), bool)
         keep[1:] = (own[1:] != own[:-1]) | (rows[1:] != rows[:-1])
         own, rows = own[keep], rows[keep]

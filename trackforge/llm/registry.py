@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from .minhash import op8_minhash
+
+QUERIES: dict = {
+    "op8_minhash": op8_minhash,
+}
 ORACLES: dict = {}
