@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .minhash import op8_minhash
+from .secrets import op4_secrets
 
 QUERIES: dict = {
+    "op4_secrets": op4_secrets,
     "op8_minhash": op8_minhash,
 }
 ORACLES: dict = {}
