@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontaminate
 from .minhash import op8_minhash
 from .secrets import op4_secrets
 
 QUERIES: dict = {
     "op4_secrets": op4_secrets,
     "op8_minhash": op8_minhash,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict = {}
