@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontaminate
+from .fingerprints import op3_fingerprints
 from .minhash import op8_minhash
 from .secrets import op4_secrets
 
 QUERIES: dict = {
+    "op3_fingerprints": op3_fingerprints,
     "op4_secrets": op4_secrets,
     "op8_minhash": op8_minhash,
     "op10_decontaminate": op10_decontaminate,
