@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import shuffle_width, table
+from .shared import extended, shuffle_width, table
 
 SIZE = 128
 SHINGLE = 5
@@ -87,7 +87,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
                 marks = pa.array([encode(a) for a in sketches(batch.column(text))], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, marks], names=[*names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "string"))
+    return docs.mapInArrow(run, extended(docs.schema, **{out: "string"}))
 
 
 def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .shared import pin, table
+from .shared import extended, pin, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -306,7 +306,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     in_order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("nth", F.row_number().over(in_order).cast("long"))
-    return ranked.mapInArrow(run, pieces.schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(run, extended(pieces.schema, sequence_id="long", offset="long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op10_decontaminate
 from .fingerprints import op3_fingerprints
+from .langid import op6_langid
 from .minhash import op8_minhash
 from .packing import op5_packing
 from .secrets import op4_secrets
@@ -12,6 +13,7 @@ QUERIES: dict = {
     "op3_fingerprints": op3_fingerprints,
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
+    "op6_langid": op6_langid,
     "op8_minhash": op8_minhash,
     "op10_decontaminate": op10_decontaminate,
 }

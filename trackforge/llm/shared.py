@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,3 +48,11 @@ def doc_crc(col: str = "doc_id"):
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def extended(schema: T.StructType, **kinds: str) -> T.StructType:
+    """A new schema with further columns (``StructType.add`` would change the old one)."""
+    out = T.StructType(list(schema.fields))
+    for name, kind in kinds.items():
+        out.add(name, kind)
+    return out
