@@ -7,9 +7,11 @@ from .fingerprints import op3_fingerprints
 from .langid import op6_langid
 from .minhash import op8_minhash
 from .packing import op5_packing
+from .quality import op1_quality
 from .secrets import op4_secrets
 
 QUERIES: dict = {
+    "op1_quality": op1_quality,
     "op3_fingerprints": op3_fingerprints,
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
