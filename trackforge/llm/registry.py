@@ -9,6 +9,7 @@ from .minhash import op8_minhash
 from .packing import op5_packing
 from .quality import op1_quality
 from .secrets import op4_secrets
+from .urlrules import OP7_SQL, op7_urlrules
 
 QUERIES: dict = {
     "op1_quality": op1_quality,
@@ -16,7 +17,8 @@ QUERIES: dict = {
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
+    "op7_urlrules": op7_urlrules,
     "op8_minhash": op8_minhash,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict = {}
+ORACLES: dict = {"op7_urlrules": OP7_SQL}
