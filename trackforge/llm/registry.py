@@ -9,10 +9,12 @@ from .minhash import op8_minhash
 from .packing import op5_packing
 from .quality import op1_quality
 from .secrets import op4_secrets
+from .substrings import op2_substrings
 from .urlrules import OP7_SQL, op7_urlrules
 
 QUERIES: dict = {
     "op1_quality": op1_quality,
+    "op2_substrings": op2_substrings,
     "op3_fingerprints": op3_fingerprints,
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
