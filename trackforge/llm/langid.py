@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .sampling import per_class
-from .shared import doc_crc, extended, table
+from .shared import doc_crc, table
 
 BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
@@ -169,35 +169,36 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred``, ``score`` and ``rejected``.
+    """``docs(doc_id, text, ...)`` to ``doc_id, lang_pred, score, rejected``; one row per row.
 
     ``und`` with score 0, and rejected, where the text is null or has no letter,
     or where there was nothing to learn from.
     """
-    names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in K.slices(whole, "text"):
                 lang, score, rejected = shared.value.predict(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*names, "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    clash = [n for n in names if n.lower() in ("lang_pred", "score", "rejected")]
-    if clash:
-        raise ValueError(f"columns that the result adds are there already: {clash}")
-    return docs.mapInArrow(run, extended(docs.schema, lang_pred="string", score="double", rejected="boolean"))
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = F.pmod(doc_crc(), F.lit(5))
-    model = train(docs.where(fold != 0))
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+    found = identify(docs, train(docs.where(fold != 0)))
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language the model, trained on their own ``lang``, does not reject."""
-    model = train(docs.select("doc_id", "text", "lang"))
-    extra = identify(docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias("row")), model)
-    return extra.where(~F.col("rejected")).select("row.*")
+    """The rows of ``docs``, whole, that a model trained on their ``lang`` does not reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in K.slices(whole, "text"):
+                yield batch.filter(pa.array(~shared.value.predict(batch.column("text"))[2]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -274,5 +274,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
+def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, whole, that represent their group: one row per kept id.
+
+    Rows without a doc_id stay.
+    """
+    found = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.where("doc_id is not null")
+    kept = named.join(found, named["doc_id"] == found["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionAll(docs.where("doc_id is null"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
