@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op10_decontaminate
 from .fingerprints import op3_fingerprints
 from .langid import op6_langid
+from .licenses import op9_licenses
 from .minhash import op8_minhash
 from .packing import op5_packing
 from .quality import op1_quality
@@ -21,6 +22,7 @@ QUERIES: dict = {
     "op6_langid": op6_langid,
     "op7_urlrules": op7_urlrules,
     "op8_minhash": op8_minhash,
+    "op9_licenses": op9_licenses,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict = {"op7_urlrules": OP7_SQL}
