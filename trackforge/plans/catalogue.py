@@ -1,6 +1,525 @@
-"""Registered queries and their SQL oracles."""
+"""Registered queries over the derived detections, with DuckDB oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import geometry as G
+from ..operators import balls as B
+from ..operators import tracks as T
+from ..operators import windows as W
+from .adapter import DET, FPS, FRAME_H, FRAME_W, detections, poses
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+V, VT = ["video_id"], ["video_id", "track_id"]
+HALF_FRAME = 21600
+H = [[0.012, 0.001, -1.5], [0.0005, 0.02, -0.8], [0.00001, 0.0004, 1.0]]
+H_INV = [[83.9, -5.0, 122.0], [-2.0, 50.4, 37.3], [0.0, -0.02, 0.98]]
+ROI = [(200.0, 100.0), (1000.0, 120.0), (1200.0, 700.0), (50.0, 650.0)]
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _rounded(df: DataFrame, *columns: str, dp: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(c, dp) for c in columns})
+
+
+ZONE = """CASE WHEN court_x BETWEEN -0.5 AND 9.5 AND court_y BETWEEN -0.5 AND 18.5 THEN
+  CASE WHEN least(greatest(court_y, 0), 18) <= 9 THEN 'A' || (CASE WHEN least(greatest(court_y, 0), 18) > 4.5 THEN [4, 3, 2] ELSE [5, 6, 1] END)[c + 1]
+  ELSE 'B' || (CASE WHEN 18 - least(greatest(court_y, 0), 18) > 4.5 THEN [2, 3, 4] ELSE [1, 6, 5] END)[c + 1] END END"""
+ZONED = f"""{DET}, zoned AS (SELECT *, {ZONE} AS zone FROM (
+  SELECT *, CASE WHEN least(greatest(court_x, 0), 9) < 3 THEN 0 WHEN least(greatest(court_x, 0), 9) < 6 THEN 1 ELSE 2 END AS c FROM det))"""
+BALL = f"{DET}, ball AS (SELECT * FROM det WHERE conf >= 0.1)"
+
+
+def zone() -> Column:
+    return G.zone_label("court_x", "court_y", margin=0.5)
+
+
+def ball_rows(spark: SparkSession, d: str) -> DataFrame:
+    return detections(spark, d).where("conf >= 0.1")
+
+
+@query("zone_histogram", f"WITH {ZONED} SELECT video_id, zone, count(*) AS visits, round(avg(court_x), 4) AS avg_x, round(avg(court_y), 4) AS avg_y FROM zoned WHERE zone IS NOT NULL GROUP BY ALL")
+def zone_histogram(spark, d):
+    z = detections(spark, d).withColumn("zone", zone()).where("zone is not null")
+    return _rounded(z.groupBy("video_id", "zone").agg(F.count(F.lit(1)).alias("visits"), F.avg("court_x").alias("avg_x"), F.avg("court_y").alias("avg_y")), "avg_x", "avg_y")
+
+
+@query(
+    "zone_histogram_fivb",
+    f"""WITH {DET}, s AS (SELECT *, CASE WHEN court_y < 9 THEN 'A' ELSE 'B' END AS side, CASE WHEN court_x < 3 THEN 0 WHEN court_x < 6 THEN 1 ELSE 2 END AS third FROM det),
+    n AS (SELECT *, CASE WHEN side = 'A' THEN third ELSE 2 - third END AS lft, CASE WHEN side = 'A' THEN court_y >= 6 ELSE court_y <= 12 END AS front FROM s)
+    SELECT track_id, side, CASE WHEN NOT court_x BETWEEN 0 AND 9 THEN 0 WHEN front THEN 4 - lft ELSE [5, 6, 1][lft + 1] END AS zone, count(*) AS frames FROM n GROUP BY ALL""",
+)
+def zone_histogram_fivb(spark, d):
+    s = detections(spark, d).withColumn("side", G.side_of("court_y"))
+    return s.withColumn("zone", G.zone_number("court_x", "court_y", "side")).groupBy("track_id", "side", "zone").agg(F.count(F.lit(1)).alias("frames"))
+
+
+@query("zone_by_half", f"WITH {ZONED} SELECT video_id, zone, count(*) AS visits, count(*) FILTER (frame < {HALF_FRAME}) AS first_half, count(*) FILTER (frame >= {HALF_FRAME}) AS second_half FROM zoned WHERE zone IS NOT NULL GROUP BY ALL")
+def zone_by_half(spark, d):
+    return T.zone_visits(detections(spark, d), zone(), V, HALF_FRAME)
+
+
+def _sql_project(h, x, y) -> tuple[str, str]:
+    row = lambda i: f"({h[i][0]!r}::DOUBLE * {x} + {h[i][1]!r}::DOUBLE * {y} + {h[i][2]!r}::DOUBLE)"
+    return f"{row(0)} / {row(2)}", f"{row(1)} / {row(2)}"
+
+
+@query(
+    "homography_project",
+    f"WITH {DET}, p AS (SELECT det_id, {_sql_project(H, 'img_x', 'img_y')[0]} AS px, {_sql_project(H, 'img_x', 'img_y')[1]} AS py FROM det) "
+    f"SELECT det_id, round(px, 4) AS px, round(py, 4) AS py, round({_sql_project(H_INV, 'px', 'py')[0]}, 4) AS bx, round({_sql_project(H_INV, 'px', 'py')[1]}, 4) AS by_ FROM p",
+)
+def homography_project(spark, d):
+    px, py = G.project(H, "img_x", "img_y")
+    p = detections(spark, d).select("det_id", px.alias("px"), py.alias("py"))
+    bx, by = G.project(H_INV, "px", "py")
+    return _rounded(p.select("det_id", "px", "py", bx.alias("bx"), by.alias("by_")), "px", "py", "bx", "by_")
+
+
+def _sql_polygon(points, x="fx", y="fy") -> str:
+    edges, odd = [], []
+    for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1], strict=True):
+        edges.append(f"(({bx - ax}) * ({y} - {ay}) - ({by - ay}) * ({x} - {ax}) = 0 AND {x} BETWEEN {min(ax, bx)} AND {max(ax, bx)} AND {y} BETWEEN {min(ay, by)} AND {max(ay, by)})")
+        if ay != by:
+            odd.append(f"CAST((({ay} > {y}) <> ({by} > {y})) AND {x} < ({bx - ax})::DOUBLE * ({y} - {ay}) / ({by - ay}) + {ax} AS INT)")
+    return f"({' OR '.join(edges)} OR ({' + '.join(odd)}) % 2 = 1)"
+
+
+@query("roi_filter", f"WITH {DET}, f AS (SELECT *, (x1 + x2) / 2 AS fx, CAST(y2 AS DOUBLE) AS fy FROM det) SELECT video_id, CASE WHEN {_sql_polygon(ROI)} THEN 'ok' ELSE 'fg_outside_roi' END AS status, count(*) AS n, CAST(sum(fx) AS DOUBLE) AS sum_x FROM f GROUP BY ALL")
+def roi_filter(spark, d):
+    fx, fy = G.ground_point("x1", "y1", "x2", "y2")
+    f = detections(spark, d).select("video_id", fx.alias("fx"), fy.alias("fy"))
+    return f.withColumn("status", F.when(G.in_polygon("fx", "fy", ROI), "ok").otherwise("fg_outside_roi")).groupBy("video_id", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("fx").alias("sum_x"))
+
+
+STATUS = "CASE WHEN (y2 - y1) / 720 > 0.55 OR (x2 - x1) / 1280 > 0.40 THEN 'fg_too_large' WHEN y2 >= 715 AND (y2 - y1) / 720 > 0.35 THEN 'fg_at_edge' ELSE 'ok' END"
+
+
+@query("classify_detection", f"WITH {DET} SELECT det_id, {STATUS} AS status FROM det")
+def classify_detection(spark, d):
+    return detections(spark, d).select("det_id", T.detection_status("x1", "y1", "x2", "y2", FRAME_W, FRAME_H).alias("status"))
+
+
+@query(
+    "reject_counts",
+    f"WITH {DET}, s AS (SELECT video_id, {STATUS} AS a, (x1 + x2) / 2 AS fx, CAST(y2 AS DOUBLE) AS fy FROM det) SELECT video_id, CASE WHEN a <> 'ok' THEN a WHEN {_sql_polygon(ROI)} THEN 'ok' ELSE 'fg_outside_roi' END AS status, count(*) AS n FROM s GROUP BY ALL",
+)
+def reject_counts(spark, d):
+    fx, fy = G.ground_point("x1", "y1", "x2", "y2")
+    a = T.detection_status("x1", "y1", "x2", "y2", FRAME_W, FRAME_H)
+    s = F.when(a != "ok", a).when(G.in_polygon(fx, fy, ROI), "ok").otherwise("fg_outside_roi")
+    return detections(spark, d).withColumn("status", s).groupBy("video_id", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+INSIDE = "court_x BETWEEN -0.1 AND 9.1 AND court_y BETWEEN -0.1 AND 18.1"
+KEPT = f"""{DET}, kept AS (SELECT * FROM (SELECT *, count(*) OVER t AS n, count(*) FILTER ({INSIDE}) OVER t AS k FROM det WINDOW t AS (PARTITION BY video_id, track_id))
+  WHERE n >= 15 AND k / n >= 0.5 AND k >= 7 AND {INSIDE})"""
+
+
+def kept(spark, d):
+    return T.eligible(detections(spark, d), G.in_court("court_x", "court_y", margin=0.1), VT)
+
+
+@query("track_filter", f"WITH {KEPT} SELECT video_id, track_id, count(*) AS n, min(frame) AS a, max(frame) AS b FROM kept GROUP BY ALL")
+def track_filter(spark, d):
+    return kept(spark, d).groupBy(*VT).agg(F.count(F.lit(1)).alias("n"), F.min("frame").alias("a"), F.max("frame").alias("b"))
+
+
+@query(
+    "track_summary",
+    f"""WITH {KEPT}, s AS (SELECT *, sqrt(pow(court_x - lag(court_x) OVER w, 2) + pow(court_y - lag(court_y) OVER w, 2)) AS step FROM kept WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame, det_id)),
+    t AS (SELECT video_id, track_id, count(*) AS samples, (max(frame) - min(frame)) * 60.0::DOUBLE AS span, coalesce(sum(step), 0) AS dist, median(court_y) AS mid, avg(court_x) AS x, avg(court_y) AS y FROM s GROUP BY ALL)
+    SELECT video_id, track_id, samples, CASE WHEN samples >= 50 THEN 'alta' WHEN samples >= 25 THEN 'media' ELSE 'baja' END AS reliability, round(dist, 4) AS distance,
+      round(dist / span, 6) AS speed, CASE WHEN mid <= 9 THEN 'A' ELSE 'B' END AS side, round(x, 4) AS avg_x, round(y, 4) AS avg_y FROM t""",
+)
+def track_summary(spark, d):
+    """The unrounded inputs of the summary, at more digits than it shows."""
+    steps = W.step_length(kept(spark, d), VT, ["frame", "det_id"])
+    t = steps.groupBy(*VT).agg(
+        F.count(F.lit(1)).alias("samples"), ((F.max("frame") - F.min("frame")) / FPS).alias("span"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("dist"),
+        F.median("court_y").alias("mid"), F.avg("court_x").alias("avg_x"), F.avg("court_y").alias("avg_y"),
+    )
+    return t.select(
+        *VT, "samples", G.reliability("samples").alias("reliability"), F.round("dist", 4).alias("distance"), F.round(F.try_divide("dist", "span"), 6).alias("speed"),
+        F.when(F.col("mid") <= 9, "A").otherwise("B").alias("side"), F.round("avg_x", 4).alias("avg_x"), F.round("avg_y", 4).alias("avg_y"),
+    )
+
+
+PROFILE = f"""{ZONED}, prof AS (SELECT video_id, track_id, zone, count(*) AS visits, min({{'f': frame, 'd': det_id}}) AS fst FROM zoned WHERE zone IS NOT NULL GROUP BY ALL),
+  ranked AS (SELECT video_id, track_id, zone, visits, CAST(round_even(visits / sum(visits) OVER (PARTITION BY video_id, track_id) * 100, 0) AS INT) AS pct,
+    CAST(row_number() OVER (PARTITION BY video_id, track_id ORDER BY visits DESC, fst) AS INT) AS place FROM prof)"""
+
+
+@query("dominant_zone", f"WITH {PROFILE} SELECT video_id, track_id, zone AS dominant_zone FROM ranked WHERE place = 1")
+def dominant_zone(spark, d):
+    return T.dominant_zone(detections(spark, d), zone(), VT)
+
+
+@query("zone_profile", f"WITH {PROFILE} SELECT * FROM ranked")
+def zone_profile(spark, d):
+    return T.zone_profile(detections(spark, d), zone(), VT)
+
+
+@query("top_tracks", f"WITH {KEPT}, t AS (SELECT video_id, track_id, count(*) AS n FROM kept GROUP BY ALL) SELECT track_id, n, CAST(row_number() OVER (ORDER BY n DESC, track_id) AS INT) AS place FROM t QUALIFY place <= 10")
+def top_tracks(spark, d):
+    t = kept(spark, d).groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "track_id").limit(10)
+    return t.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "track_id")))
+
+
+# ---- balls
+
+STEADY_GAP, STEADY_W = 200, 4000.0
+ISLANDS = f"""{BALL}, lagged AS (SELECT *, lag(frame) OVER w AS pf, lag(img_x) OVER w AS px, lag(img_y) OVER w AS py FROM ball WINDOW w AS (PARTITION BY video_id ORDER BY frame, det_id)),
+  marked AS (SELECT *, CASE WHEN frame - pf <= {STEADY_GAP} AND sqrt(pow(img_x - px, 2) + pow(img_y - py, 2)) <= 0.09::DOUBLE * {STEADY_W} * greatest(frame - pf, 1) THEN 0 ELSE 1 END AS st FROM lagged),
+  isl AS (SELECT *, sum(st) OVER (PARTITION BY video_id ORDER BY frame, det_id ROWS UNBOUNDED PRECEDING) AS island FROM marked)"""
+
+
+@query("ball_islands", f"WITH {ISLANDS} SELECT video_id, CAST(island AS BIGINT) AS island, count(*) AS n, min(frame) AS a, max(frame) AS b FROM isl GROUP BY ALL HAVING count(*) >= 2")
+def ball_islands(spark, d):
+    s = B.steady_ball(ball_rows(spark, d), V, STEADY_W, max_gap=STEADY_GAP)
+    return s.groupBy("video_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("frame").alias("a"), F.max("frame").alias("b"))
+
+
+RALLY_GAP = 60  # minutes
+RALLIES = f"""{BALL}, l AS (SELECT *, CASE WHEN frame - lag(frame) OVER w <= {RALLY_GAP} THEN 0 ELSE 1 END AS st FROM ball WINDOW w AS (PARTITION BY video_id ORDER BY frame, det_id)),
+  r AS (SELECT *, sum(st) OVER (PARTITION BY video_id ORDER BY frame, det_id ROWS UNBOUNDED PRECEDING) AS rally FROM l),
+  g AS (SELECT video_id, rally, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS n_points, arg_min(court_x, frame * 1000000 + det_id) AS sx, arg_min(court_y, frame * 1000000 + det_id) AS sy FROM r GROUP BY ALL),
+  rallies AS (SELECT video_id, start_frame, end_frame, round_even((end_frame - start_frame) * 60.0::DOUBLE, 2) AS duration_s, n_points, CASE WHEN sy <= 9 THEN 'A' ELSE 'B' END AS serve_side, round(sx, 3) AS serve_x_m, round(sy, 3) AS serve_y_m
+    FROM g WHERE n_points >= 3 AND end_frame > start_frame)"""
+
+
+def _rallies(spark, d):
+    return B.rallies(ball_rows(spark, d), V, FPS, max_gap_s=RALLY_GAP * 60, dp=3)
+
+
+@query("rally_segments", f"WITH {RALLIES} SELECT * FROM rallies")
+def rally_segments(spark, d):
+    return _rallies(spark, d)
+
+
+@query(
+    "play_summary",
+    f"""WITH {RALLIES} SELECT video_id, count(*) AS n_rallies, count(*) AS n_serves, round_even(avg(duration_s), 2) AS avg_rally_s, max(duration_s) AS longest_rally_s, round_even(sum(duration_s), 2) AS total_play_s,
+    count(*) FILTER (serve_side = 'A') AS serves_a, count(*) FILTER (serve_side = 'B') AS serves_b FROM rallies GROUP BY ALL""",
+)
+def play_summary(spark, d):
+    return B.play_summary(_rallies(spark, d), V)
+
+
+DEDUP = f"{BALL}, one AS (SELECT * FROM ball QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY conf DESC, det_id) = 1)"
+
+
+@query("ball_dedup", f"WITH {DEDUP} SELECT video_id, frame, det_id, conf FROM one")
+def ball_dedup(spark, d):
+    return W.dedup_frames(ball_rows(spark, d), V).select("video_id", "frame", "det_id", "conf")
+
+
+@query("ball_rate", f"WITH {BALL} SELECT video_id, count(DISTINCT frame) AS ball_frames, greatest(1, max(frame) // 5) AS evaluated, round(count(DISTINCT frame) / greatest(1, max(frame) // 5), 4) AS rate FROM ball GROUP BY ALL")
+def ball_rate(spark, d):
+    r = ball_rows(spark, d).groupBy("video_id").agg(F.count_distinct("frame").alias("ball_frames"), F.greatest(F.lit(1), F.floor(F.max("frame") / 5)).alias("evaluated"))
+    return r.withColumn("rate", F.round(F.col("ball_frames") / F.col("evaluated"), 4))
+
+
+GAP = 40
+FILLED = f"""{DEDUP}, span AS (SELECT video_id, min(frame) AS a, max(frame) AS b FROM one GROUP BY ALL),
+  grid AS (SELECT video_id, unnest(generate_series(a, b)) AS frame FROM span),
+  dense AS (SELECT g.video_id, g.frame, o.img_x, o.img_y FROM grid g LEFT JOIN one o USING (video_id, frame)),
+  near AS (SELECT *, last_value(CASE WHEN img_x IS NOT NULL THEN frame END IGNORE NULLS) OVER p AS pf, last_value(img_x IGNORE NULLS) OVER p AS px, last_value(img_y IGNORE NULLS) OVER p AS py,
+      first_value(CASE WHEN img_x IS NOT NULL THEN frame END IGNORE NULLS) OVER n AS nf, first_value(img_x IGNORE NULLS) OVER n AS nx, first_value(img_y IGNORE NULLS) OVER n AS ny FROM dense
+    WINDOW p AS (PARTITION BY video_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY video_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  filled AS (SELECT video_id, frame, CASE WHEN img_x IS NOT NULL THEN img_x WHEN nf - pf - 1 <= {GAP} THEN px + (nx - px) * (frame - pf) / (nf - pf) END AS img_x,
+    CASE WHEN img_y IS NOT NULL THEN img_y WHEN nf - pf - 1 <= {GAP} THEN py + (ny - py) * (frame - pf) / (nf - pf) END AS img_y FROM near)"""
+
+
+def _filled(spark, d):
+    dense = W.dense_frames(W.dedup_frames(ball_rows(spark, d), V), V, ["img_x", "img_y"])
+    return W.fill_gaps(dense, V, ["img_x", "img_y"], GAP)
+
+
+@query("gap_fill", f"WITH {FILLED} SELECT video_id, frame, round(img_x, 4) AS img_x, round(img_y, 4) AS img_y FROM filled")
+def gap_fill(spark, d):
+    return _rounded(_filled(spark, d), "img_x", "img_y")
+
+
+SMOOTHED = f"""{FILLED}, smoothed AS (SELECT video_id, frame, CASE WHEN img_x IS NOT NULL AND count(img_x) OVER w >= 2 THEN avg(img_x) OVER w ELSE img_x END AS img_x,
+    CASE WHEN img_y IS NOT NULL AND count(img_y) OVER w >= 2 THEN avg(img_y) OVER w ELSE img_y END AS img_y FROM filled
+  WINDOW w AS (PARTITION BY video_id ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
+
+
+def _smoothed(spark, d):
+    return W.smooth(_filled(spark, d), V, ["img_x", "img_y"])
+
+
+@query("smooth", f"WITH {SMOOTHED} SELECT video_id, frame, round(img_x, 4) AS img_x, round(img_y, 4) AS img_y FROM smoothed")
+def smooth(spark, d):
+    return _rounded(_smoothed(spark, d), "img_x", "img_y")
+
+
+MOVES = f"""{SMOOTHED}, moves AS (SELECT video_id, frame, sqrt(pow(lead(img_x) OVER w - 2 * img_x + lag(img_x) OVER w, 2) + pow(lead(img_y) OVER w - 2 * img_y + lag(img_y) OVER w, 2)) AS accel FROM smoothed
+  WINDOW w AS (PARTITION BY video_id ORDER BY frame))"""
+
+
+def _moves(spark, d):
+    return W.acceleration(_smoothed(spark, d), V, "img_x", "img_y")
+
+
+@query("ball_accel", f"WITH {MOVES} SELECT video_id, frame, round(accel, 4) AS accel FROM moves WHERE accel IS NOT NULL")
+def ball_accel(spark, d):
+    return _moves(spark, d).where("accel is not null").select("video_id", "frame", F.round("accel", 4).alias("accel"))
+
+
+@query("accel_threshold", f"WITH {MOVES} SELECT video_id, round(quantile_cont(accel, 0.92), 4) AS threshold, count(*) AS n FROM moves WHERE accel IS NOT NULL GROUP BY ALL")
+def accel_threshold(spark, d):
+    return _rounded(B.accel_threshold(_moves(spark, d), V), "threshold")
+
+
+# ---- joins at moments
+
+TOUCHES = "touch AS (SELECT video_id, det_id AS touch_id, frame FROM det WHERE det_id % 37 = 0)"
+
+
+def touches(spark, d):
+    return detections(spark, d).where("det_id % 37 = 0").select("video_id", F.col("det_id").alias("touch_id"), "frame")
+
+
+def _ball_for_touches(spark, d):
+    return detections(spark, d).where("conf >= 0.6")
+
+
+NEAR = f"""{DET}, {TOUCHES}, b AS (SELECT video_id, frame AS nf, max_by(court_x, det_id) AS bx, max_by(court_y, det_id) AS by_ FROM det WHERE conf >= 0.6 GROUP BY ALL),
+  nearest AS (SELECT t.video_id, t.touch_id, t.frame, nf, bx, by_ FROM touch t LEFT JOIN b ON b.video_id = t.video_id AND nf BETWEEN frame - 30 AND frame + 30
+    QUALIFY row_number() OVER (PARTITION BY t.video_id, t.touch_id ORDER BY abs(nf - frame) NULLS LAST, nf - frame) = 1)"""
+
+
+def _nearest(spark, d):
+    return W.nearest_frame(touches(spark, d), _ball_for_touches(spark, d), V, ["court_x", "court_y"], reach=30)
+
+
+@query("nearest_ball", f"WITH {NEAR} SELECT video_id, touch_id, frame, nf AS near_frame, round(bx, 4) AS near_court_x, round(by_, 4) AS near_court_y FROM nearest")
+def nearest_ball(spark, d):
+    return _rounded(_nearest(spark, d), "near_court_x", "near_court_y")
+
+
+ASOF = """samples AS (SELECT video_id, track_id, frame, det_id, court_x, court_y FROM det WHERE conf < 0.6),
+  tracks AS (SELECT video_id, track_id, min({'f': frame, 'd': det_id}) AS seen FROM samples GROUP BY ALL),
+  asks AS (SELECT t.video_id, track_id, frame, touch_id, seen FROM touch t JOIN tracks USING (video_id)),
+  bef AS (SELECT k.*, s.frame AS af, s.court_x AS ax, s.court_y AS ay FROM asks k LEFT JOIN samples s ON s.video_id = k.video_id AND s.track_id = k.track_id AND s.frame <= k.frame
+    QUALIFY row_number() OVER (PARTITION BY k.video_id, k.track_id, touch_id ORDER BY s.frame DESC NULLS LAST, s.det_id DESC) = 1),
+  aft AS (SELECT k.*, s.frame AS zf, s.court_x AS zx, s.court_y AS zy FROM bef k LEFT JOIN samples s ON s.video_id = k.video_id AND s.track_id = k.track_id AND s.frame > k.frame
+    QUALIFY row_number() OVER (PARTITION BY k.video_id, k.track_id, touch_id ORDER BY s.frame NULLS LAST, s.det_id) = 1),
+  pos AS (SELECT video_id, touch_id, frame, track_id, seen,
+    CASE WHEN af IS NOT NULL AND zf IS NOT NULL THEN CASE WHEN zf - af <= 600 THEN ax + (zx - ax) * ((frame - af) / (zf - af)) END WHEN af IS NOT NULL THEN CASE WHEN frame - af <= 600 THEN ax END WHEN zf - frame <= 600 THEN zx END AS x,
+    CASE WHEN af IS NOT NULL AND zf IS NOT NULL THEN CASE WHEN zf - af <= 600 THEN ay + (zy - ay) * ((frame - af) / (zf - af)) END WHEN af IS NOT NULL THEN CASE WHEN frame - af <= 600 THEN ay END WHEN zf - frame <= 600 THEN zy END AS y FROM aft)"""
+
+
+def _samples(spark, d):
+    return detections(spark, d).where("conf < 0.6")
+
+
+@query("asof_interp", f"WITH {DET}, {TOUCHES}, {ASOF} SELECT video_id, touch_id, frame, track_id, round(x, 4) AS x, round(y, 4) AS y FROM pos WHERE x IS NOT NULL")
+def asof_interp(spark, d):
+    return _rounded(W.asof_position(touches(spark, d), _samples(spark, d), most=600).where("x is not null"), "x", "y")
+
+
+@query(
+    "attribute_touches",
+    f"""WITH {NEAR.replace("- 30 AND frame + 30", "- 3 AND frame + 3")}, {ASOF.replace("600", "30")}, dist AS (SELECT p.video_id, p.touch_id, track_id, seen, sqrt(pow(x - bx, 2) + pow(y - by_, 2)) AS d FROM pos p JOIN nearest n ON n.video_id = p.video_id AND n.touch_id = p.touch_id),
+    best AS (SELECT * FROM dist WHERE d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY video_id, touch_id ORDER BY d, seen, track_id) = 1)
+    SELECT n.video_id, n.touch_id, n.frame, round(bx, 4) AS court_x, round(by_, 4) AS court_y, CASE WHEN d <= 1.5 THEN track_id END AS track_id, round(d, 4) AS player_distance_m
+    FROM nearest n LEFT JOIN best b ON b.video_id = n.video_id AND b.touch_id = n.touch_id""",
+)
+def attribute_touches(spark, d):
+    return B.attribute(touches(spark, d), _ball_for_touches(spark, d), _samples(spark, d), dp=4)
+
+
+@query(
+    "touch_rallies",
+    f"""WITH {DET}, t AS (SELECT video_id, det_id AS touch_id, frame, track_id FROM det WHERE det_id % 5 = 0), l AS (SELECT *, CASE WHEN frame - lag(frame) OVER w <= 90 THEN 0 ELSE 1 END AS st FROM t WINDOW w AS (PARTITION BY video_id ORDER BY frame, touch_id)),
+    r AS (SELECT *, sum(st) OVER (PARTITION BY video_id ORDER BY frame, touch_id ROWS UNBOUNDED PRECEDING) - 1 AS rally_id FROM l)
+    SELECT video_id, touch_id, frame, track_id, CAST(rally_id AS BIGINT) AS rally_id, CAST(row_number() OVER (PARTITION BY video_id, rally_id ORDER BY frame, touch_id) - 1 AS INT) AS seq_in_rally FROM r""",
+)
+def touch_rallies(spark, d):
+    t = detections(spark, d).where("det_id % 5 = 0").select("video_id", F.col("det_id").alias("touch_id"), "frame", "track_id")
+    return B.touch_rallies(t, V, FPS, gap_s=5400)
+
+
+ROSTER = [(n, f"player {n}") for n in range(0, 90, 3)]
+
+
+@query(
+    "jersey_vote",
+    f"""WITH {DET}, roster AS (SELECT unnest(range(0, 90, 3)) AS number), firsts AS (SELECT *, row_number() OVER (PARTITION BY video_id, track_id ORDER BY det_id) AS k FROM det),
+    good AS (SELECT *, CAST(trim(text) AS BIGINT) AS number FROM firsts WHERE k <= 30 AND regexp_matches(trim(text), '^[0-9]{{1,2}}$') AND conf >= 0.3), ok AS (SELECT * FROM good WHERE number IN (SELECT number FROM roster)),
+    sums AS (SELECT video_id, track_id, number, sum(conf) AS weight, min(det_id) AS f FROM ok GROUP BY ALL),
+    best AS (SELECT *, sum(weight) OVER (PARTITION BY video_id, track_id) AS total FROM sums QUALIFY row_number() OVER (PARTITION BY video_id, track_id ORDER BY round(weight, 6) DESC, f) = 1),
+    votes AS (SELECT video_id, track_id, count(*) AS votes FROM ok GROUP BY ALL), t AS (SELECT DISTINCT video_id, track_id FROM det)
+    SELECT t.video_id, t.track_id, CASE WHEN weight >= 1.5 AND weight / total >= 0.5 THEN CAST(number AS INT) END AS number, CASE WHEN weight >= 1.5 AND weight / total >= 0.5 THEN 'player ' || number ELSE 'desconocida' END AS name,
+      coalesce(round(weight / total, 4), 0) AS confidence, coalesce(votes, 0) AS votes, coalesce(round(weight, 4), 0) AS weight
+    FROM t LEFT JOIN best b ON b.video_id = t.video_id AND b.track_id = t.track_id LEFT JOIN votes v ON v.video_id = t.video_id AND v.track_id = t.track_id""",
+)
+def jersey_vote(spark, d):
+    det = detections(spark, d)
+    roster = spark.createDataFrame(ROSTER, "number int, name string")
+    reads = T.roster_reads(det.withColumn("seq", F.col("det_id")), roster)
+    return T.vote(reads, det, roster, dp=4)
+
+
+# ---- bodies, frames, tables
+
+_KP = "embedding[{}]::DOUBLE"
+_P = lambda i: (_KP.format(2 * i + 1), _KP.format(2 * i + 2))
+_S = lambda *parts: " AND ".join(f"embedding[{35 + i}]::DOUBLE + 0.5 >= 0.5" for i in parts)
+
+
+def _sql_knee(h, k, a) -> str:
+    (hx, hy), (kx, ky), (ax, ay) = _P(h), _P(k), _P(a)
+    u, v = (f"({hx} - {kx})", f"({hy} - {ky})"), (f"({ax} - {kx})", f"({ay} - {ky})")
+    cos = f"({u[0]} * {v[0]} + {u[1]} * {v[1]}) / (sqrt(pow({u[0]}, 2) + pow({u[1]}, 2)) * sqrt(pow({v[0]}, 2) + pow({v[1]}, 2)) + 1e-9)"
+    return f"CASE WHEN {_S(h, k, a)} THEN degrees(acos(greatest(-1, least(1, {cos})))) END"
+
+
+POSE_SQL = f"""m AS (SELECT vec_id, vec_id % 7 AS track_id,
+    CASE WHEN {_S(5, 6, 11, 12)} THEN degrees(atan2(({_P(5)[0]} + {_P(6)[0]}) / 2 - ({_P(11)[0]} + {_P(12)[0]}) / 2, -(({_P(5)[1]} + {_P(6)[1]}) / 2 - ({_P(11)[1]} + {_P(12)[1]}) / 2))) END AS lean,
+    CASE WHEN {_S(15, 16)} THEN sqrt(pow({_P(15)[0]} - {_P(16)[0]}, 2) + pow({_P(15)[1]} - {_P(16)[1]}, 2)) END AS stance,
+    {_sql_knee(11, 13, 15)} AS lk, {_sql_knee(12, 14, 16)} AS rk FROM embeddings)"""
+
+
+@query(
+    "pose_metrics",
+    f"""WITH {POSE_SQL} SELECT track_id, count(lean) AS samples_with_pose, round(avg(lean), 4) AS lean_avg, round(max(lean), 4) AS lean_max, round(avg(stance), 4) AS stance_avg, round(avg(coalesce((lk + rk) / 2, lk, rk)), 3) AS knee_avg
+    FROM m GROUP BY ALL HAVING count(lean) + count(stance) + count(coalesce(lk, rk)) > 0""",
+)
+def pose_metrics(spark, d):
+    m = poses(spark, d).select("track_id", *(f("kp", "sc").alias(n) for n, f in G.POSE_METRICS.items()))
+    t = m.groupBy("track_id").agg(
+        F.count("lean").alias("samples_with_pose"), F.round(F.avg("lean"), 4).alias("lean_avg"), F.round(F.max("lean"), 4).alias("lean_max"),
+        F.round(F.avg("stance"), 4).alias("stance_avg"), F.round(F.avg("knee"), 3).alias("knee_avg"),
+    )
+    return t.where("samples_with_pose > 0 or stance_avg is not null or knee_avg is not null")
+
+
+GRID = f"{DET}, grid AS (SELECT video_id, CAST(floor(img_x / 40) AS BIGINT) AS gx, CAST(floor(img_y / 40) AS BIGINT) AS gy, sum(CASE WHEN conf >= 0.6 THEN 0.3::DOUBLE ELSE 1 END) AS weight FROM det GROUP BY ALL)"
+
+
+@query("density_grid", f"WITH {GRID} SELECT video_id, gx, gy, round(weight, 4) AS weight, round(quantile_cont(weight, 0.75) OVER (PARTITION BY video_id), 4) AS p75 FROM grid")
+def density_grid(spark, d):
+    g = detections(spark, d).groupBy("video_id", F.floor(F.col("img_x") / 40).alias("gx"), F.floor(F.col("img_y") / 40).alias("gy")).agg(F.sum(F.when(F.col("conf") >= 0.6, 0.3).otherwise(1.0)).alias("weight"))
+    p = g.groupBy("video_id").agg(F.percentile("weight", 0.75).alias("p75"))
+    return _rounded(g.join(p, "video_id"), "weight", "p75").select("video_id", "gx", "gy", "weight", "p75")
+
+
+@query("best_frame", f"WITH {DET}, f AS (SELECT video_id, frame, round(count(*) + avg(conf), 6) AS score FROM det WHERE conf >= 0.5 GROUP BY ALL) SELECT video_id, frame, score FROM f QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame) = 1")
+def best_frame(spark, d):
+    f = detections(spark, d).where("conf >= 0.5").groupBy("video_id", "frame").agg(F.round(F.count(F.lit(1)) + F.avg("conf"), 6).alias("score"))
+    best = f.groupBy("video_id").agg(F.max(F.struct("score", (-F.col("frame")).alias("_f"))).alias("b"))
+    return best.select("video_id", (-F.col("b._f")).alias("frame"), F.col("b.score").alias("score"))
+
+
+@query("best_mask", f"WITH {DET}, q AS (SELECT video_id, frame, det_id, CASE WHEN img_x / 1280 >= 0.06 THEN round(conf * (img_y / 720) * (0.5 + img_x / 1280), 6) ELSE 0 END AS score FROM det) SELECT video_id, frame, score FROM q QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame, det_id) = 1")
+def best_mask(spark, d):
+    share = F.col("img_x") / 1280
+    score = F.when(share >= 0.06, F.round(F.col("conf") * (F.col("img_y") / 720) * (F.lit(0.5) + share), 6)).otherwise(0.0)
+    q = detections(spark, d).withColumn("score", score)
+    best = q.groupBy("video_id").agg(F.min(F.struct((-F.col("score")).alias("_s"), "frame", "det_id", "score")).alias("b"))
+    return best.select("video_id", "b.frame", "b.score")
+
+
+@query("union_long", f"WITH {DET} SELECT frame, round(frame / 30, 3) AS t, 'player' AS kind, track_id, round(court_x, 3) AS x_m, round(court_y, 3) AS y_m, round(conf, 3) AS conf FROM det WHERE conf < 0.6 UNION ALL SELECT frame, round(frame / 30, 3), 'ball', -1, round(court_x, 3), round(court_y, 3), round(conf, 3) FROM det WHERE conf >= 0.6")
+def union_long(spark, d):
+    det = detections(spark, d)
+    cols = lambda kind, track: ["frame", F.round(F.col("frame") / 30, 3).alias("t"), F.lit(kind).alias("kind"), track.alias("track_id"), F.round("court_x", 3).alias("x_m"), F.round("court_y", 3).alias("y_m"), F.round("conf", 3).alias("conf")]
+    return det.where("conf < 0.6").select(*cols("player", F.col("track_id"))).unionByName(det.where("conf >= 0.6").select(*cols("ball", F.lit(-1).cast("long"))))
+
+
+@query("landing_points", f"WITH {DET} SELECT frame, det_id, round(court_x, 3) AS x_m, round(court_y, 3) AS y_m FROM det WHERE conf >= 0.6 AND court_x BETWEEN -0.1 AND 9.1 AND court_y BETWEEN -0.1 AND 18.1")
+def landing_points(spark, d):
+    b = detections(spark, d).where((F.col("conf") >= 0.6) & G.in_court("court_x", "court_y", margin=0.1))
+    return b.select("frame", "det_id", F.round("court_x", 3).alias("x_m"), F.round("court_y", 3).alias("y_m"))
+
+
+@query("sampled_frames", f"WITH {DET} SELECT det_id, frame, track_id FROM det WHERE frame % 5 = 0 AND conf >= 0.4 AND track_id IS NOT NULL")
+def sampled_frames(spark, d):
+    return T.sample_frames(detections(spark, d), 5).where("conf >= 0.4 and track_id is not null").select("det_id", "frame", "track_id")
+
+
+@query("centre_windows", f"WITH {DET}, w AS (SELECT video_id, track_id, det_id, frame, avg(conf) OVER w AS m, count(*) OVER w AS n FROM det WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame, det_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)) SELECT video_id, track_id, det_id, frame, round(m, 4) AS mean_conf FROM w WHERE n = 9")
+def centre_windows(spark, d):
+    w = W.centred_windows(detections(spark, d), VT, "conf")
+    mean = F.aggregate("window", F.lit(0.0), lambda a, x: a + x) / 9
+    return w.select(*VT, "det_id", "frame", F.round(mean, 4).alias("mean_conf"))
+
+
+@query("pose_frames", f"WITH {DET}, f AS (SELECT video_id, frame, count(*) AS n FROM det WHERE conf >= 0.3 GROUP BY ALL) SELECT video_id, frame, n FROM f QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY n DESC, frame) = 1")
+def pose_frames(spark, d):
+    f = detections(spark, d).where("conf >= 0.3").groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n"))
+    return f.groupBy("video_id").agg(F.max(F.struct("n", (-F.col("frame")).alias("_f"))).alias("b")).select("video_id", (-F.col("b._f")).alias("frame"), "b.n")
+
+
+@query("half_tracks", f"WITH {DET} SELECT video_id, track_id, CASE WHEN frame < {HALF_FRAME} THEN 1 ELSE 2 END AS half, count(*) AS n FROM det GROUP BY ALL HAVING count(*) >= 5")
+def half_tracks(spark, d):
+    h = F.when(F.col("frame") < HALF_FRAME, 1).otherwise(2).alias("half")
+    return detections(spark, d).groupBy(*VT, h).agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+
+
+@query("zone_display", f"WITH {ZONED}, z AS (SELECT zone, count(*) AS visits FROM zoned WHERE zone IS NOT NULL GROUP BY ALL) SELECT zone, visits, round(visits / max(visits) OVER (), 4) AS share, list_position([4, 3, 2, 5, 6, 1], CAST(right(zone, 1) AS INT)) AS place FROM z")
+def zone_display(spark, d):
+    z = detections(spark, d).withColumn("zone", zone()).where("zone is not null").groupBy("zone").agg(F.count(F.lit(1)).alias("visits"))
+    place = F.array_position(F.array(*map(F.lit, (4, 3, 2, 5, 6, 1))), F.right("zone", F.lit(1)).cast("int")).cast("int")
+    return z.select("zone", "visits", F.round(F.col("visits") / F.max("visits").over(Window.partitionBy()), 4).alias("share"), place.alias("place"))
+
+
+QUALITY = f"""{KEPT}, lens AS (SELECT track_id, count(*) AS n FROM kept GROUP BY ALL), tops AS (SELECT avg(n) AS top FROM (SELECT n FROM lens ORDER BY n DESC LIMIT 12)),
+  z AS (SELECT count(*) AS nz FROM (SELECT zone FROM (WITH {ZONED} SELECT zone FROM zoned) WHERE zone IS NOT NULL GROUP BY ALL HAVING count(*) > 3)),
+  c AS (SELECT (SELECT count(*) FROM lens) AS n, (SELECT sum(n) FROM lens) AS kept_n, (SELECT count(DISTINCT frame) FROM det WHERE conf >= 0.9) AS bf, (SELECT count(*) FROM det) AS total,
+    (SELECT count(*) FROM det WHERE {STATUS} <> 'ok') AS rej, nz, top FROM z, tops),
+  p AS (SELECT *, bf / greatest(total, 1) AS rate, CAST(round_even(30 * least(n, 12) / greatest(n, 12), 0) AS INT) AS tracks_pts, CAST(least(25, trunc(nz / 12 * 25)) AS INT) AS zones_pts,
+    CASE WHEN n > 0 THEN CAST(round_even(10 * (0.5 * least(1, top / total / 0.5) + 0.5 * greatest(0, 1 - abs(n - 12) / 12)), 0) AS INT) ELSE 0 END AS stability_pts, CAST(trunc(kept_n / (kept_n + rej) * 15) AS INT) AS filter_pts FROM c),
+  q AS (SELECT *, CAST(CASE WHEN rate >= 0.5 THEN 20 WHEN rate >= 0.1 THEN trunc(4 + (rate - 0.1) / 0.4 * 16) ELSE trunc(rate / 0.1 * 4) END AS INT) AS ball_pts FROM p)"""
+
+
+@query("quality_score", f"WITH {QUALITY} SELECT tracks_pts, zones_pts, ball_pts, filter_pts, stability_pts, tracks_pts + zones_pts + ball_pts + filter_pts + stability_pts AS score FROM q")
+def quality_score(spark, d):
+    det = detections(spark, d)
+    zones = det.withColumn("zone", zone()).where("zone is not null").groupBy("zone").agg(F.count(F.lit(1)).alias("visits"))
+    lens = kept(spark, d).groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
+    status = T.detection_status("x1", "y1", "x2", "y2", FRAME_W, FRAME_H)
+    n = det.agg(F.count_distinct(F.when(F.col("conf") >= 0.9, F.col("frame"))).alias("bf"), F.count(F.lit(1)).alias("total"), F.count_if(status != "ok").alias("rej")).first()
+    return T.quality(lens, zones, n["bf"], n["rej"], n["total"]).select("tracks_pts", "zones_pts", "ball_pts", "filter_pts", "stability_pts", "score")
+
+
+# ---- grouped steps without an SQL form
+
+
+@query("stitch_tracks")
+def stitch_tracks(spark, d):
+    """Fragments (a track cut at its holes) joined again."""
+    det = detections(spark, d).where("conf >= 0.4")
+    cut = W.frame_islands(det, VT, 600, "fragment").withColumn("track_id", F.col("track_id") * 1_000_000 + F.col("fragment"))
+    return T.stitch_mapping(cut, fps=1.0, max_gap_s=720, max_jump_m=6.0)
+
+
+@query("trajectory")
+def trajectory(spark, d):
+    return B.flights(ball_rows(spark, d), fps=1.0, frame_w=FRAME_W, max_gap_s=30)
+
+
+@query("touch_peaks")
+def touch_peaks(spark, d):
+    return B.detect_touches(B.reconstruct(ball_rows(spark, d), V, max_gap=GAP))
