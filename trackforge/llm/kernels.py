@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = (2 << 20) - 4096  # with room for the tables of powers in 2 << 20
 U64 = np.uint64
 _rng = np.random.default_rng(0x5EED)
 _LETTER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)

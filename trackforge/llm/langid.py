@@ -28,8 +28,8 @@ from .shared import doc_crc, table
 BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 DIM = 16
-SAMPLE = 900
-TRAIN_CHARS = 4000
+SAMPLE = 800
+TRAIN_CHARS = 1500
 EPOCHS = 4
 REJECT_SHARE = 0.001  # of the calibration texts that are named rightly
 UNKNOWN = "und"
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in K.slices(whole, "text"):
+            for batch in K.slices(whole, "text", K.SLICE_BYTES // 2):
                 lang, score, rejected = shared.value.predict(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
@@ -198,7 +198,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in K.slices(whole, "text"):
+            for batch in K.slices(whole, "text", K.SLICE_BYTES // 2):
                 yield batch.filter(pa.array(~shared.value.predict(batch.column("text"))[2]))
 
     return docs.mapInArrow(run, docs.schema)
