@@ -54,10 +54,10 @@ def ball_rows(spark: SparkSession, d: str) -> DataFrame:
     return detections(spark, d).where("conf >= 0.1")
 
 
-@query("zone_histogram", f"WITH {ZONED} SELECT video_id, zone, count(*) AS visits, round(avg(court_x), 4) AS avg_x, round(avg(court_y), 4) AS avg_y FROM zoned WHERE zone IS NOT NULL GROUP BY ALL")
+@query("zone_histogram", f"WITH {ZONED} SELECT video_id, zone, count(*) AS visits, round(sum(court_x), 4) AS sum_x, round(sum(court_y), 4) AS sum_y FROM zoned WHERE zone IS NOT NULL GROUP BY ALL")
 def zone_histogram(spark, d):
     z = detections(spark, d).withColumn("zone", zone()).where("zone is not null")
-    return _rounded(z.groupBy("video_id", "zone").agg(F.count(F.lit(1)).alias("visits"), F.avg("court_x").alias("avg_x"), F.avg("court_y").alias("avg_y")), "avg_x", "avg_y")
+    return _rounded(z.groupBy("video_id", "zone").agg(F.count(F.lit(1)).alias("visits"), F.sum("court_x").alias("sum_x"), F.sum("court_y").alias("sum_y")), "sum_x", "sum_y")
 
 
 @query(
@@ -145,20 +145,20 @@ def track_filter(spark, d):
 @query(
     "track_summary",
     f"""WITH {KEPT}, s AS (SELECT *, sqrt(pow(court_x - lag(court_x) OVER w, 2) + pow(court_y - lag(court_y) OVER w, 2)) AS step FROM kept WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame, det_id)),
-    t AS (SELECT video_id, track_id, count(*) AS samples, (max(frame) - min(frame)) * 60.0::DOUBLE AS span, coalesce(sum(step), 0) AS dist, median(court_y) AS mid, avg(court_x) AS x, avg(court_y) AS y FROM s GROUP BY ALL)
+    t AS (SELECT video_id, track_id, count(*) AS samples, (max(frame) - min(frame)) * 60.0::DOUBLE AS span, coalesce(sum(step), 0) AS dist, median(court_y) AS mid, sum(court_x) AS x, sum(court_y) AS y FROM s GROUP BY ALL)
     SELECT video_id, track_id, samples, CASE WHEN samples >= 50 THEN 'alta' WHEN samples >= 25 THEN 'media' ELSE 'baja' END AS reliability, round(dist, 4) AS distance,
-      round(dist / span, 6) AS speed, CASE WHEN mid <= 9 THEN 'A' ELSE 'B' END AS side, round(x, 4) AS avg_x, round(y, 4) AS avg_y FROM t""",
+      round(dist / span, 6) AS speed, CASE WHEN mid <= 9 THEN 'A' ELSE 'B' END AS side, round(x, 4) AS sum_x, round(y, 4) AS sum_y FROM t""",
 )
 def track_summary(spark, d):
     """The unrounded inputs of the summary, at more digits than it shows."""
     steps = W.step_length(kept(spark, d), VT, ["frame", "det_id"])
     t = steps.groupBy(*VT).agg(
         F.count(F.lit(1)).alias("samples"), ((F.max("frame") - F.min("frame")) / FPS).alias("span"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("dist"),
-        F.median("court_y").alias("mid"), F.avg("court_x").alias("avg_x"), F.avg("court_y").alias("avg_y"),
+        F.median("court_y").alias("mid"), F.sum("court_x").alias("sum_x"), F.sum("court_y").alias("sum_y"),
     )
     return t.select(
         *VT, "samples", G.reliability("samples").alias("reliability"), F.round("dist", 4).alias("distance"), F.round(F.try_divide("dist", "span"), 6).alias("speed"),
-        F.when(F.col("mid") <= 9, "A").otherwise("B").alias("side"), F.round("avg_x", 4).alias("avg_x"), F.round("avg_y", 4).alias("avg_y"),
+        F.when(F.col("mid") <= 9, "A").otherwise("B").alias("side"), F.round("sum_x", 4).alias("sum_x"), F.round("sum_y", 4).alias("sum_y"),
     )
 
 

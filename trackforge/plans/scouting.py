@@ -115,14 +115,20 @@ def document(t: dict[str, DataFrame], video: Video, court: Court, name: str, str
         t["rallies"].agg(rows(t["rallies"], "start_frame").alias("rallies")),
         ball.agg(rows(ball, "frame").alias("ball_track")),
         t["ball_dense"].agg(rows(t["ball_dense"], "frame", "flight").alias("ball_track_reconstructed")),
-        t["tracks"].select((-F.col("samples")).alias("_o"), "*").agg(F.sort_array(F.collect_list(F.struct("_o", F.col("track_id").alias("id"), *[c for c in t["tracks"].columns if c not in ("video_id", "track_id")]))).alias("tracks")),
+        t["tracks"].agg(F.array_sort(F.collect_list(F.struct(F.col("track_id").alias("id"), *[c for c in t["tracks"].columns if c not in ("video_id", "track_id")])), _longest_first).alias("tracks")),
         t["samples"].groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("frame", F.bround("court_x", 2).alias("court_x"), F.bround("court_y", 2).alias("court_y")))).alias("samples")).agg(
             F.sort_array(F.collect_list(F.struct(F.col("track_id").alias("id"), "samples"))).alias("track_samples")
         ),
     ]
     for p in parts:  # single rows
         out = out.join(p.withColumn("_k", F.lit(1)), "_k")
-    return out.withColumn("tracks", F.transform("tracks", lambda e: e.dropFields("_o"))).drop("_k")
+    return out.drop("_k")
+
+
+def _longest_first(a, b):
+    """Comparator: a map in a struct keeps it from being ordered as a whole."""
+    n = F.signum((b["samples"] - a["samples"]).cast("double")).cast("int")
+    return F.when(n != 0, n).otherwise(F.signum((a["id"] - b["id"]).cast("double")).cast("int"))
 
 
 def write_document(doc: DataFrame, path: str) -> None:
