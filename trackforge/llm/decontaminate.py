@@ -98,6 +98,7 @@ class Matcher:
     """Windows of benchmark items, grouped by length class."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+        self.source = items
         owners: dict[bytes, set[str]] = {}
         lengths: dict[bytes, int] = {}
         for item, text in items:
@@ -153,8 +154,8 @@ _built: dict[tuple, Matcher] = {}
 def _matcher(shared, window: int) -> Matcher:
     """One matcher for each broadcast block and worker."""
     items = shared.value
-    key = (hashlib.sha256(repr(items).encode()).digest(), window)
-    if key not in _built:
+    key = (id(items), window)
+    if key not in _built or _built[key].source is not items:
         _built.clear()
         _built[key] = Matcher(items, window)
     return _built[key]
@@ -244,5 +245,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, whole, in whose text no benchmark window occurs."""
-    return search(docs, benchmark, docs.columns).where("size(items) = 0").select(*docs.columns)
+    """The rows of ``docs``, whole, in whose text no benchmark window occurs.
+
+    Several blocks of a large benchmark filter one after the other.
+    """
+    sc = docs.sparkSession.sparkContext
+
+    def without(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in K.slices(whole, "text"):
+                    found = _matcher(shared, WINDOW).search(batch.column("text").to_pylist())
+                    yield batch.filter(pa.array([not items for _, _, items in found], pa.bool_()))
+
+        return run
+
+    out = None
+    for block in benchmark_blocks(benchmark):
+        out = (docs if out is None else pin(out, "clean")).mapInArrow(without(sc.broadcast(block)), docs.schema)
+    return out

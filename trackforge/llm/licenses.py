@@ -105,7 +105,7 @@ class Scanner:
         # hashed bigrams of all templates, and which template holds which
         hashed = [self._hashes(t) for _, t in templates]
         self.known = np.unique(np.concatenate(hashed)) if hashed else np.zeros(0, K.U64)
-        self.holds = np.array([np.isin(self.known, h) for h in hashed], np.int64).reshape(len(hashed), -1)
+        self.holds = np.array([np.isin(self.known, h) for h in hashed], np.int64).reshape(len(hashed), len(self.known))
 
     @staticmethod
     def _bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

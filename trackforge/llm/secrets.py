@@ -86,9 +86,11 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def is_openssh_key(data: bytes) -> bool:
+def openssh_end(data: bytes) -> int | None:
+    """Where an OpenSSH private key ends: magic, names, count, that many public
+    keys and the private part, each under its length.  None for anything else."""
     if not data.startswith(OPENSSH):
-        return False
+        return None
     at = len(OPENSSH)
 
     def field() -> bytes | None:
@@ -101,16 +103,21 @@ def is_openssh_key(data: bytes) -> bool:
 
     names = [field(), field(), field()]  # cipher, derivation, its options
     if None in names or not names[0]:
-        return False
+        return None
     count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
     if not 1 <= count <= 16:
-        return False
-    blobs = [field() for _ in range(count + 1)]
-    return None not in blobs and at == len(data)
+        return None
+    return None if None in [field() for _ in range(count + 1)] else at
 
 
-def _is_key(data: bytes | None) -> bool:
-    return data is not None and len(data) >= LEAST_KEY and (is_openssh_key(data) or is_der_key(data))
+def key_end(data: bytes | None) -> int | None:
+    """Length of the private key at the start of ``data``."""
+    if not data or len(data) < LEAST_KEY:
+        return None
+    if (end := openssh_end(data)) is not None:
+        return end
+    top = _header(data, 0, len(data))
+    return top[2] if top is not None and top[2] >= LEAST_KEY and is_der_key(data[: top[2]]) else None
 
 
 def _decode(part: str, urlsafe: bool = False) -> bytes | None:
@@ -134,26 +141,27 @@ def is_signed_token(token: str) -> bool:
 
 def _key_spans(text: str) -> Iterator[tuple[int, int]]:
     for m in BASE64.finditer(text):
-        start, run = m.start(), m[0]
+        run = m[0]
         if len(run) < LEAST_KEY:
             continue
         whole = run.replace("\r", "").replace("\n", "")
-        if _is_key(_decode(whole)):
-            yield start, m.end()
+        data = _decode(whole) or _decode(whole.rstrip("=")[: len(whole) // 4 * 4])
+        end = key_end(data)
+        if end is None:
+            continue
+        if end == len(data) and _decode(whole) is not None:
+            yield m.span()
             continue
-        # text may follow the key on further lines: end where the outer length says
-        data = _decode(whole[: len(whole) // 4 * 4].rstrip("="))
-        top = _header(data, 0, len(data)) if data and data[0] == 0x30 else None
-        if top is not None and top[2] < len(data) and _is_key(data[: top[2]]):
-            need, seen, at = -(-top[2] * 4 // 3), 0, 0
-            while seen < need:
-                seen += run[at] not in "\r\n"
-                at += 1
-            yield start, start + at
+        # text follows on further lines: the span ends where the lengths inside say
+        need, at = -(-end * 4 // 3), 0
+        while need:
+            need -= run[at] not in "\r\n"
+            at += 1
+        yield m.start(), m.start() + at
     for m in HEX_KEY.finditer(text):
-        run = m[0][: len(m[0]) // 2 * 2]
-        if _is_key(bytes.fromhex(run)):
-            yield m.start(), m.start() + len(run)
+        end = key_end(bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))
+        if end is not None:
+            yield m.start(), m.start() + 2 * end
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:

@@ -238,7 +238,8 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     while width < length:
         step = min(width, length - width)
         second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:]
+        if step < n:
+            second[: n - step] = rank[step:]
         rank = _dense(rank.astype(U64) * U64(n + 256) + second.astype(U64))
         width += step
     return rank
