@@ -2,6 +2,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,10 @@ def test_nested_rules(spark):
     assert len(got) == 300
     for r in got:
         assert (r["rule"], r["verdict"]) == plain_verdict(r["host"], r["path"], rules)
+
+
+@pytest.mark.parametrize("text", ["x", "xy", "xyz", "x " * 40])
+def test_language_of_very_short_texts(text):
+    model = langid.fit([text, "und der", "the and", text] * 4, ["a", "b", "c", "a"] * 4)
+    names, score, _ = model.predict(pa.array([text, "7"]))
+    assert names == [names[0], "und"] and names[0] in "abc" and 0 < score[0] <= 1

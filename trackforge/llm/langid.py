@@ -46,7 +46,7 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
     left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(buf))
     code = plain.copy()
     for n in range(2, max(GRAMS) + 1):
-        code[: len(buf) - n + 1] |= plain[n - 1 :] << np.uint32(8 * (n - 1))
+        code[: max(0, len(buf) - n + 1)] |= plain[n - 1 :] << np.uint32(8 * (n - 1))
         if n in GRAMS:
             part = code.astype(np.uint64) & K.U64((1 << (8 * n)) - 1)
             h = (K.mix(part + K.U64(n << 40)) >> K.U64(49)).astype(np.int64)
