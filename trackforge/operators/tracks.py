@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,24 +104,23 @@ def stitch_mapping(samples: DataFrame, fps: float, max_gap_s: float = 1.5, max_j
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["s_frame", "s_id"], kind="stable")
-        alive = {r.track_id: [r.s_frame, r.s_x, r.s_y, r.e_frame, r.e_x, r.e_y] for r in pdf.itertuples()}
-        root = {t: t for t in alive}
-        joined = len(alive) > 1
+        rows = list(pdf.itertuples())
+        starts = [r.s_frame for r in rows]  # ascending, as the tracks come
+        tail = [(r.e_frame, r.e_x, r.e_y) for r in rows]
+        alive, root = [True] * len(rows), {r.track_id: r.track_id for r in rows}
+        joined = len(rows) > 1
         while joined:
             joined = False
-            for a in list(alive):
-                if a not in alive:
+            for a, row in enumerate(rows):
+                if not alive[a]:
                     continue
-                tail, best = alive[a], None
-                for b, head in alive.items():
-                    gap = head[0] - tail[3]
-                    near = (head[1] - tail[4]) ** 2 + (head[2] - tail[5]) ** 2 <= max_jump_m**2
-                    if b != a and 0 < gap <= max_gap_s * fps and near and (best is None or gap < best[0]):
-                        best = (gap, b)
-                if best:
-                    tail[3:] = alive.pop(best[1])[3:]
-                    root[best[1]] = a
-                    joined = True
+                end, x, y = tail[a]
+                # later starts in their order: the first that is near has the smallest gap
+                for b in range(bisect_right(starts, end), bisect_right(starts, end + max_gap_s * fps)):
+                    if alive[b] and b != a and (rows[b].s_x - x) ** 2 + (rows[b].s_y - y) ** 2 <= max_jump_m**2:
+                        tail[a], alive[b], joined = tail[b], False, True
+                        root[rows[b].track_id] = row.track_id
+                        break
         for t in root:
             r = t
             while root[r] != r:
