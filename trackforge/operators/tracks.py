@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from bisect import bisect_right
 
 import pandas as pd
