@@ -32,6 +32,7 @@ SAMPLE = 800
 TRAIN_CHARS = 1500
 EPOCHS = 4
 REJECT_SHARE = 0.001  # of the calibration texts that are named rightly
+ABOVE_CHANCE = 0.2  # a probability this far from chance to certainty is never rejected: mixed texts stay
 UNKNOWN = "und"
 
 _PLAIN = np.full(256, 0x20, np.uint8)
@@ -157,7 +158,9 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     p = softmax(raw / temperature)
     right = p.argmax(axis=1) == y[check]
     limit = float(np.quantile(p.max(axis=1)[right], REJECT_SHARE)) if right.any() else 0.0
-    return Model(languages, scores, bias.astype(np.float64), float(temperature), min(limit, 0.5))
+    chance = 1 / len(languages)
+    most = chance + ABOVE_CHANCE * (1 - chance)
+    return Model(languages, scores, bias.astype(np.float64), float(temperature), min(limit, most))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
