@@ -38,8 +38,9 @@ from .shared import pin, shuffle_width, table
 LENGTH = 100
 TRIGGER = 24
 CROWDED = 20_000
-FLUSH = 600_000  # phrases held by a task before they are sent on
+FLUSH = 250_000  # phrases held by a task before they are sent on
 PART_BYTES = 48 << 20  # text per task of the first step
+DICTIONARY_PARTS = 3  # times as many tasks for suffix arrays, which need some sixty times their bytes
 NULL_ID = -(1 << 63)  # rows without an id come first
 U64 = K.U64
 
@@ -159,7 +160,7 @@ def _parser(parts: int, length: int, trigger: int):
             )
 
         for whole in batches:
-            for batch in K.slices(whole, "text"):
+            for batch in K.slices(whole, "text", K.SLICE_BYTES // 2):
                 buf, offs = K.text_bytes(batch.column("text"))
                 first, count, trig, phrase = parse(buf, offs, length, trigger)
                 row = np.searchsorted(offs, first, side="right") - 1
@@ -329,8 +330,8 @@ def removal(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, crowd
     met = pin(met.mapInArrow(_meet(crowded), "kind int, place long, starts array<long>, triggers array<long>"), "met")
 
     wanted = met.where(F.col("kind") >= KIND_OPEN).groupBy("place").agg(F.collect_list(F.struct("kind", "starts", "triggers")).alias("wanted"))
-    phrases = base.join(wanted, "place").mapInArrow(_fetch(parts, length), "part int, place long, start long, phrase binary")
-    late = phrases.repartitionById(parts, F.col("part")).mapInArrow(_settle(length), "kind int, place long, starts array<long>, triggers array<long>")
+    phrases = base.join(wanted, "place").mapInArrow(_fetch(DICTIONARY_PARTS * parts, length), "part int, place long, start long, phrase binary")
+    late = phrases.repartitionById(DICTIONARY_PARTS * parts, F.col("part")).mapInArrow(_settle(length), "kind int, place long, starts array<long>, triggers array<long>")
 
     gone = early.unionAll(met.where(F.col("kind") == KIND_REMOVED).select("place", "starts")).unionAll(late.select("place", "starts"))
     gone = gone.groupBy("place").agg(F.flatten(F.collect_list("starts")).alias("starts"))
