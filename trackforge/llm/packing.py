@@ -30,7 +30,7 @@ from .shared import extended, pin, table
 
 CAPACITY = 2048
 END_ID = 0
-SALTS = 64  # counters of ranks per length
+SALTS = 512  # counters of ranks per length: a length that most pieces share is ranked by so many tasks
 #: fixed value: how byte-level tokenizers split a text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
