@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -166,3 +168,22 @@ def spoken_seconds(s) -> Column:
     """``45s`` or ``1m 29s``; ``0s`` for null."""
     t = F.rint(F.coalesce(_c(s), F.lit(0)).cast("double")).cast("long")
     return F.when(t < 60, F.format_string("%ds", t)).otherwise(F.format_string("%dm %02ds", F.floor(t / 60), t % 60))
+
+
+def heatmap_peak(heat, width: int, height: int, least: float = 0.5, frame_w: int | None = None, frame_h: int | None = None) -> Column:
+    """The ball of a model's heatmap, given as one row after the other: ``x, y,
+    radius, confidence``; null where no cell reaches ``least``.
+
+    The first of equal peaks counts.  The radius is that of a disc with as many
+    cells as lie over half of ``least``, two at least.  With the frame's size,
+    the place is in its pixels; the radius goes with the width.
+    """
+    h = _c(heat)
+    top = F.array_max(h)
+    at = (F.array_position(h, top) - 1).cast("int")
+    radius = F.greatest(F.lit(2.0), F.sqrt(F.size(F.filter(h, lambda v: v > least / 2)) / F.lit(math.pi)))
+    wide, high = (frame_w or width) / width, (frame_h or height) / height
+    place = F.struct(
+        ((at % width) * F.lit(wide)).alias("x"), (F.floor(at / width) * F.lit(high)).alias("y"), (radius * wide).alias("radius"), top.cast("double").alias("confidence")
+    )
+    return F.when(top >= least, place)

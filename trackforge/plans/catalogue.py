@@ -12,6 +12,7 @@ from ..functions import geometry as G
 from ..operators import balls as B
 from ..operators import tracks as T
 from ..operators import windows as W
+from . import frames as P
 from .adapter import DET, FPS, FRAME_H, FRAME_W, detections, poses
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -507,6 +508,47 @@ def quality_score(spark, d):
 # ---- grouped steps without an SQL form
 
 
+FOOT = _sql_project(H, "((x1 + x2) / 2)", "y2::DOUBLE")
+CENTRE = _sql_project(H, "((x1 + x2) / 2)", "((y1 + y2) / 2)")
+FRAMES = f"""{DET}, placed AS (
+  SELECT *, {FOOT[0]} AS x, {FOOT[1]} AS y FROM det WHERE conf < 0.6 AND track_id IS NOT NULL
+), sided AS (
+  SELECT *, CASE WHEN y < 9 THEN 'A' ELSE 'B' END AS side FROM placed WHERE x BETWEEN -1 AND 10 AND y BETWEEN -1 AND 19
+), players AS (
+  SELECT video_id, frame, 'player' AS kind, track_id, round(x, 3) AS x_m, round(y, 3) AS y_m, side,
+    CASE WHEN x < 0 OR x > 9 THEN 0
+      WHEN side = 'A' AND y >= 6 THEN CASE WHEN x < 3 THEN 4 WHEN x < 6 THEN 3 ELSE 2 END
+      WHEN side = 'A' THEN CASE WHEN x < 3 THEN 5 WHEN x < 6 THEN 6 ELSE 1 END
+      WHEN y <= 12 THEN CASE WHEN x < 3 THEN 2 WHEN x < 6 THEN 3 ELSE 4 END
+      ELSE CASE WHEN x < 3 THEN 1 WHEN x < 6 THEN 6 ELSE 5 END END AS zone, round(conf, 3) AS conf, NULL::BOOLEAN AS low FROM sided
+), balls AS (
+  SELECT video_id, frame, 'ball' AS kind, NULL::BIGINT AS track_id, round({CENTRE[0]}, 3) AS x_m, round({CENTRE[1]}, 3) AS y_m, NULL AS side, NULL AS zone,
+    round(conf, 3) AS conf, y2 > 360 AS low FROM det WHERE conf >= 0.6 QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY conf DESC, det_id) = 1
+)"""
+
+
+@query("frame_rows", f"WITH {FRAMES} SELECT * FROM players UNION ALL SELECT * FROM balls")
+def frame_rows(spark, d):
+    return P.frame_rows(detections(spark, d), H, F.col("conf") >= 0.6, FRAME_H)
+
+
+@query("zone_occupancy", f"WITH {FRAMES} SELECT video_id, track_id, zone, count(*) AS frames FROM players GROUP BY ALL")
+def zone_occupancy(spark, d):
+    return P.zone_occupancy(frame_rows(spark, d))
+
+
+@query(
+    "heatmap_decode",
+    """WITH h AS (SELECT vec_id, embedding::DOUBLE[] AS h FROM embeddings), p AS (SELECT vec_id, h, list_max(h) AS top, list_position(h, list_max(h)) - 1 AS cell FROM h)
+SELECT vec_id, (cell % 8) * 160.0::DOUBLE AS x, (cell // 8) * 90.0::DOUBLE AS y,
+  round(greatest(2, sqrt(len(list_filter(h, lambda v: v > 0.125)) / pi())) * 160, 4) AS radius, round(top, 4) AS confidence FROM p WHERE top >= 0.25""",
+)
+def heatmap_decode(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("h"))
+    p = e.select("vec_id", G.heatmap_peak("h", 8, 8, 0.25, FRAME_W, FRAME_H).alias("p")).where("p is not null")
+    return p.select("vec_id", "p.x", "p.y", F.round("p.radius", 4).alias("radius"), F.round("p.confidence", 4).alias("confidence"))
+
+
 @query("stitch_tracks")
 def stitch_tracks(spark, d):
     """Fragments (a track cut at its holes) joined again."""
