@@ -40,6 +40,17 @@ def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, DIR).columns
 
 
+@pytest.mark.parametrize("name", ["nearest_ball", "attribute_touches", "touch_rallies", "asof_interp"])
+def test_every_event_is_a_moment(spark, name):
+    events = {r[0] for r in spark.read.parquet(f"{DIR}/events.parquet").select("event_id").collect()}
+    got = [r["touch_id"] for r in catalogue.QUERIES[f"{name}_all"](spark, DIR).collect()]
+    assert "%" not in catalogue.ORACLES[f"{name}_all"].replace(catalogue.DET, "")
+    if name == "asof_interp":  # a row for each track that is near enough in time; which ones, the SQL says
+        assert len({i for i in got if i % 37}) > len(events) / 4
+    else:
+        assert sorted(got) == sorted(events)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

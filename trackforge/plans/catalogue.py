@@ -361,6 +361,40 @@ def touch_rallies(spark, d):
     return B.touch_rallies(t, V, FPS, gap_s=5400)
 
 
+# ---- the same joins at every event; the queries above and their SQL see one event of 37, or of 5
+
+EVERY = "touch AS (SELECT video_id, det_id AS touch_id, frame FROM det)"
+
+
+def _every(name: str) -> str:
+    return ORACLES[name].replace(TOUCHES, EVERY).replace(" WHERE det_id % 5 = 0", "")
+
+
+def every_touch(spark, d):
+    return detections(spark, d).select("video_id", F.col("det_id").alias("touch_id"), "frame")
+
+
+@query("nearest_ball_all", _every("nearest_ball"))
+def nearest_ball_all(spark, d):
+    return _rounded(W.nearest_frame(every_touch(spark, d), _ball_for_touches(spark, d), V, ["court_x", "court_y"], reach=30), "near_court_x", "near_court_y")
+
+
+@query("asof_interp_all", _every("asof_interp"))
+def asof_interp_all(spark, d):
+    return _rounded(W.asof_position(every_touch(spark, d), _samples(spark, d), most=600).where("x is not null"), "x", "y")
+
+
+@query("attribute_touches_all", _every("attribute_touches"))
+def attribute_touches_all(spark, d):
+    return B.attribute(every_touch(spark, d), _ball_for_touches(spark, d), _samples(spark, d), dp=4)
+
+
+@query("touch_rallies_all", _every("touch_rallies"))
+def touch_rallies_all(spark, d):
+    t = detections(spark, d).select("video_id", F.col("det_id").alias("touch_id"), "frame", "track_id")
+    return B.touch_rallies(t, V, FPS, gap_s=5400)
+
+
 ROSTER = [(n, f"player {n}") for n in range(0, 90, 3)]
 
 
