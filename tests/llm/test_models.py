@@ -83,6 +83,16 @@ def test_language_odd(spark, odd, crowded, none):
     assert langid.keep_identified(none).count() == 0
 
 
+def test_language_learns_from_whole_texts(spark):
+    """What tells the languages apart stands behind a long common opening."""
+    rng = np.random.default_rng(5)
+    words = {"a": ["lorem", "dolor", "amet"], "b": ["kvik", "zwyx", "juqh"]}
+    row = lambda i, lang: (i, "0 the same opening " * 100 + " ".join(rng.choice(words[lang], 1000)), lang)
+    model = langid.train(spark.createDataFrame([row(i, "ab"[i % 2]) for i in range(240)], "doc_id long, text string, lang string"))
+    names, score, _ = model.predict(pa.array(["lorem amet dolor lorem", "zwyx kvik juqh zwyx"]))
+    assert names == ["a", "b"] and min(score) > 0.8
+
+
 # ---- packing
 
 

@@ -3,9 +3,10 @@
 A text is the mean of the embeddings of its hashed byte n-grams (letters only,
 everything else one space); a linear layer and a softmax give the language.
 Embeddings and layer are trained by stochastic gradient descent in numpy on a
-bounded sample (``SAMPLE`` texts per language, of each the first
-``TRAIN_CHARS`` characters and shorter snippets).  A held-back part of the
-sample sets the temperature and the rejection limit.
+bounded sample of rows (``SAMPLE`` texts per language).  Of each the whole text
+and shorter snippets count: executors turn them into n-gram counts, of which at
+most ``BUCKETS`` reach the driver, however long the text.  A held-back part of
+the sample sets the temperature and the rejection limit.
 
 As the text vector is a mean, embedding and layer fold into one table of
 n-gram scores, and whole texts are scored by summing table rows.
@@ -13,8 +14,10 @@ n-gram scores, and whole texts are scored by summing table rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,6 @@ BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 DIM = 16
 SAMPLE = 800
-TRAIN_CHARS = 1500
 EPOCHS = 4
 REJECT_SHARE = 0.001  # of the calibration texts that are named rightly
 ABOVE_CHANCE = 0.2  # a probability this far from chance to certainty is never rejected: mixed texts stay
@@ -94,8 +96,9 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _snippets(text: str, rng: np.random.Generator) -> list[str]:
+def _snippets(text: str) -> list[str]:
     """The text and, for training on short ones too, three pieces of it."""
+    rng = np.random.default_rng(crc32(text.encode()))
     out = [text]
     for size in (24, 80, 300):
         if len(text) > size:
@@ -104,21 +107,44 @@ def _snippets(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
+@dataclass
+class Bag:
+    """The n-grams of a text: distinct buckets and how often each occurs."""
+
+    cells: np.ndarray
+    counts: np.ndarray
+
+    def share(self) -> np.ndarray:
+        return (self.counts / self.counts.sum()).astype(np.float32)
+
+
+def bag(text: str) -> Bag:
+    buf, offs = K.text_bytes(pa.array([text]))
+    n = np.zeros(BUCKETS + 1, np.int64)
+    if len(buf):
+        for h in grams(buf, offs):
+            n += np.bincount(h, minlength=BUCKETS + 1)
+    cells = np.flatnonzero(n[:BUCKETS])
+    return Bag(cells.astype(np.uint16), n[cells].astype(np.uint32))
+
+
 def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     """Train on three quarters of the texts, calibrate on the rest."""
+    return learn([[bag(s) for s in _snippets(t)] for t in texts], labels, seed)
+
+
+def learn(bags: list[list[Bag]], labels: list[str], seed: int = 7) -> Model:
+    """As ``fit``, of the bags of each text and its snippets."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
     number = {name: i for i, name in enumerate(languages)}
     items, y, held = [], [], []
-    for i, (t, name) in enumerate(zip(texts, labels, strict=True)):
-        for s in _snippets(t, rng):
-            buf, offs = K.text_bytes(pa.array([s]))
-            h = np.concatenate(list(grams(buf, offs))) if len(buf) else np.zeros(0, np.int64)
-            h = h[h < BUCKETS]
-            if len(h):
-                items.append(h.astype(np.int32))
+    for i, (each, name) in enumerate(zip(bags, labels, strict=True)):
+        for b in each:
+            if len(b.cells):
+                items.append(b)
                 y.append(number[name])
                 held.append(i % 4 == 3)
     y, held = np.array(y, np.int64), np.array(held, bool)
@@ -135,24 +161,23 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
         for at in range(0, len(order), size):
             rate = 1.0 * (1 - steps / total)
             batch = order[at : at + size]
-            flat = np.concatenate([items[i] for i in batch])
-            lens = np.array([len(items[i]) for i in batch])
-            first = np.cumsum(lens) - lens
-            mean = np.add.reduceat(emb[flat], first, axis=0) / lens[:, None]
+            flat = np.concatenate([items[i].cells for i in batch]).astype(np.int64)
+            share = np.concatenate([items[i].share() for i in batch])[:, None]
+            lens = np.array([len(items[i].cells) for i in batch])
+            mean = np.add.reduceat(emb[flat] * share, np.cumsum(lens) - lens, axis=0)
             g = softmax(mean @ layer + bias)
             g[np.arange(len(batch)), y[batch]] -= 1
-            back = (g @ layer.T) / lens[:, None]
+            back = (g @ layer.T).astype(np.float32)
             layer -= rate * mean.T @ g / len(batch)
             bias -= rate * g.mean(axis=0)
-            cells, inverse = np.unique(flat, return_inverse=True)
             owner = np.repeat(np.arange(len(batch)), lens)
-            moved = np.zeros((len(cells), DIM), np.float32)
-            np.add.at(moved, inverse, back[owner].astype(np.float32))
-            emb[cells] -= rate * moved
+            place = np.argsort(flat, kind="stable")
+            cells, first = np.unique(flat[place], return_index=True)
+            emb[cells] -= rate * np.add.reduceat((back[owner] * share)[place], first, axis=0)
             steps += 1
     scores = (emb @ layer).astype(np.float32)
     check = np.flatnonzero(held) if held.any() else train
-    raw = np.stack([scores[items[i]].mean(axis=0) for i in check]).astype(np.float64) + bias
+    raw = np.stack([items[i].share() @ scores[items[i].cells] for i in check]).astype(np.float64) + bias
     loss = lambda t: -np.log(softmax(raw / t)[np.arange(len(check)), y[check]] + 1e-12).mean()
     temperature = min(np.geomspace(0.2, 5, 33), key=loss)
     p = softmax(raw / temperature)
@@ -163,12 +188,33 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     return Model(languages, scores, bias.astype(np.float64), float(temperature), min(limit, most))
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in K.slices(whole, "text"):
+            rows = []
+            for doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
+                tag = hashlib.sha256(text.encode()).hexdigest()
+                rows += [(lang, doc, tag, i, b.cells.tobytes(), b.counts.tobytes()) for i, b in enumerate(map(bag, _snippets(text)))]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            types = [pa.string(), batch.column("doc_id").type, pa.string(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "doc_id", "tag", "nth", "cells", "counts"])
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on ``docs(doc_id, text, lang)`` where text and lang are not null."""
-    rows = docs.where("text is not null and lang is not null").select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    rows = per_class(rows, "lang", "doc_id", sample).toPandas().sort_values(["lang", "doc_id", "text"])
-    order = np.random.default_rng(3).permutation(len(rows))
-    return fit(rows["text"].to_numpy()[order].tolist(), rows["lang"].to_numpy()[order].tolist())
+    rows = per_class(docs.where("text is not null and lang is not null").select("doc_id", "lang", "text"), "lang", "doc_id", sample)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(_bags, f"lang string, doc_id {kind}, tag string, nth int, cells binary, counts binary").toPandas()
+    # equal rows give equal bags: after the sort a text is a run of rows from nth = 0
+    found = found.sort_values(["lang", "doc_id", "tag"], kind="stable", ignore_index=True)
+    bags, labels = [], []
+    for r in found.itertuples(index=False):
+        if r.nth == 0:
+            bags.append([])
+            labels.append(r.lang)
+        bags[-1].append(Bag(np.frombuffer(r.cells, np.uint16), np.frombuffer(r.counts, np.uint32)))
+    order = np.random.default_rng(3).permutation(len(bags))
+    return learn([bags[i] for i in order], [labels[i] for i in order])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
