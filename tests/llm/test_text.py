@@ -107,6 +107,17 @@ def test_clean_keeps_columns(spark, crowded):
     assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(map(str, [1, 2, 3, None, 8]))
 
 
+@pytest.mark.parametrize("block", [D.BLOCK_BYTES, 20])
+def test_items_without_id(spark, block, monkeypatch):
+    """Their passages count and their documents go; no id is added."""
+    monkeypatch.setattr(D.benchmark_blocks, "__defaults__", (block,))
+    bench = spark.createDataFrame([(None, "vous donc"), (None, "red blue"), (6, "lang word lang"), (7, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "ou vous donc la"), (2, "lang word lang red blue"), (3, "nothing here"), (4, None)], "doc_id long, text string")
+    got = {r[0]: (r[2], r[3], r[5]) for r in found(docs, bench, block_bytes=block)}
+    assert got == {1: (2, 0, True), 2: (5, 1, True), 3: (0, 0, False), 4: (0, 0, False)}
+    assert sorted(r["doc_id"] for r in D.clean_documents(docs, bench).collect()) == [3, 4]
+
+
 @given(st.lists(st.text("ab ", min_size=1, max_size=9), min_size=1, max_size=6), st.text("ab ", max_size=60))
 @settings(max_examples=80, deadline=None)
 def test_search_random(items, text):

@@ -95,9 +95,9 @@ class WuManber:
 
 
 class Matcher:
-    """Windows of benchmark items, grouped by length class."""
+    """Windows of benchmark items, grouped by length class; an item without an id has windows but no name."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.source = items
         owners: dict[bytes, set[str]] = {}
         lengths: dict[bytes, int] = {}
@@ -106,7 +106,7 @@ class Matcher:
             for i in range(max(1, len(words) - window + 1) if words else 0):
                 part = words[i : i + window]
                 key = b" " + b" ".join(part) + b" "
-                owners.setdefault(key, set()).add(item)
+                owners.setdefault(key, set()).update([] if item is None else [item])
                 lengths[key] = len(part)
         self.owners, self.lengths = owners, lengths
         classes: dict[int, list[bytes]] = {}
@@ -181,9 +181,9 @@ def _searcher(shared, window: int, names: list[str]):
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """Items (id as text, text) in blocks of about ``block_bytes``."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str]]]:
+    """Items (id as text or null, text) in blocks of about ``block_bytes``."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     if n > 1:
@@ -196,6 +196,7 @@ def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int =
     """``keep`` columns of ``docs`` with ``n_words``, hit word ranges and ``items``.
 
     One row per row of ``docs``; null, empty and wordless texts have no words.
+    Hits of an item whose id is null count, but add nothing to ``items``.
     """
     sc = docs.sparkSession.sparkContext
     columns = list(dict.fromkeys([*keep, "text"]))
@@ -210,7 +211,7 @@ def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int =
     hits = None
     for b in benchmark_blocks(benchmark, block_bytes):
         part = keyed.mapInArrow(_searcher(sc.broadcast(b), window, ["row_tag"]), "row_tag string, " + RESULT)
-        part = pin(part.where("size(items) > 0").dropDuplicates(["row_tag"]), "hits")
+        part = pin(part.where("size(starts) > 0").dropDuplicates(["row_tag"]), "hits")
         hits = part if hits is None else hits.unionAll(part)
     met = hits.groupBy("row_tag").agg(
         F.flatten(F.collect_list("starts")).alias("starts"),
@@ -256,7 +257,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for whole in batches:
                 for batch in K.slices(whole, "text"):
                     found = _matcher(shared, WINDOW).search(batch.column("text").to_pylist())
-                    yield batch.filter(pa.array([not items for _, _, items in found], pa.bool_()))
+                    yield batch.filter(pa.array([not ranges for _, ranges, _ in found], pa.bool_()))
 
         return run
 
