@@ -196,6 +196,24 @@ def test_secret_query(spark, small):
         assert set(S.spell(base).split(",")) <= set(g["spans"].split(","))
 
 
+def test_keys_in_other_forms():
+    rng = random.Random(11)
+    number = lambda k: der(2, b"\x01" + rng.randbytes(k))
+    dsa = der(0x30, der(2, b"\0") + b"".join(number(k) for k in (128, 20, 128, 128, 20)))
+    for key in (rsa_key(rng), dsa):
+        flat = base64.b64encode(key).decode()
+        lines = [flat[i : i + 64] for i in range(0, len(flat), 64)]
+        for sep in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n"):
+            body = sep.join(lines)
+            for before in ("-----BEGIN PRIVATE KEY-----", "MAIN", "x"):
+                text = f"{before}{sep}{body}{sep}-----END"
+                at = text.index(body)
+                assert [s for s in S.scan(text) if s[0] == "key"] == [("key", at, at + len(body))], (before, sep)
+    for head in ('{ "alg": "HS256"}', '{\n  "alg": "HS256"}', '{\t"alg":"none"}', '{\r\n"alg":"none"}', '{"alg":"none"}'):
+        a, b = (base64.urlsafe_b64encode(t.encode()).decode().rstrip("=") for t in (head, '{"sub": 1}'))
+        assert ("jwt", 2, 2 + len(f"{a}.{b}.sig")) in S.scan(f"= {a}.{b}.sig")
+
+
 def test_redaction(spark, crowded, none):
     assert S.redact("a token=abcdefghijklmnop b", S.scan("a token=abcdefghijklmnop b")) == "a [secret] b"
     assert S.redact("0123456789abcdef", S.scan("0123456789abcdef")) == "[secret]"

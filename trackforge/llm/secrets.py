@@ -32,9 +32,13 @@ KINDS = ("assign", "access", "hex", "jwt", "key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?", re.A)
+#: the header is {" or { and white space
+JWT = re.compile(r"(?:ey[ABIJ]|ew[klop01])[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?", re.A)
+#: between the lines of a key: a line break, as such or as in a JSON string, and indentation
+BREAK = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[ \t]*", re.A)
 #: base64 on one line or folded as in PEM files; a DER sequence starts with M, an OpenSSH key with b3BlbnNzaC1rZXktdjE
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/]+(?:\r?\n[A-Za-z0-9+/]+)*={0,2}", re.A)
+HEAD = re.compile(r"M[A-P]|b3BlbnNzaC1rZXktdjEA", re.A)
+BASE64 = re.compile(rf"(?:(?<![A-Za-z0-9+/])|(?<=\\n))(?:{HEAD.pattern})[A-Za-z0-9+/]+(?:{BREAK.pattern}[A-Za-z0-9+/]+)*={{0,2}}", re.A)
 #: hex of at least 48 bytes that starts as a DER sequence or an OpenSSH key
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6f70656e7373682d6b65792d7631|6F70656E7373682D6B65792D7631)[0-9A-Fa-f]{94,}", re.A)
 OPENSSH = b"openssh-key-v1\0"
@@ -78,6 +82,8 @@ def is_der_key(data: bytes) -> bool:
     tags, version = [p[0] for p in parts], data[parts[0][1]]
     if version == 0 and len(parts) >= 9 and set(tags[:9]) == {0x02}:
         return True  # PKCS#1: version, modulus, exponents, primes, ...
+    if version == 0 and tags == [0x02] * 6:
+        return True  # DSA: version, p, q, g, public and private number
     if version in (0, 1) and len(parts) >= 3 and tags[1:3] == [0x30, 0x04]:
         inner = _children(data, parts[1][1], parts[1][2])
         return bool(inner) and inner[0][0] == 0x06  # PKCS#8: algorithm id, octets
@@ -139,25 +145,52 @@ def is_signed_token(token: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
-def _key_spans(text: str) -> Iterator[tuple[int, int]]:
-    for m in BASE64.finditer(text):
-        run = m[0]
-        if len(run) < LEAST_KEY:
+def _may_fit(start: str, room: int) -> bool:
+    """Whether the DER value whose base64 begins with ``start`` can end within ``room`` bytes."""
+    head = _decode(start[:8]) or b""
+    if len(head) < 6 or head[0] != 0x30:
+        return head[:6] == OPENSSH[:6]
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    n = int.from_bytes(head[2 : 2 + width], "big") if width else head[1]
+    return width <= 4 and 2 + width + n <= room
+
+
+def _run_spans(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """Keys in one run of base64 lines; each may start at any line."""
+    lines, at = [], lo
+    for b in BREAK.finditer(text, lo, hi):
+        lines.append((at, b.start()))
+        at = b.end()
+    lines.append((at, hi))
+    whole = "".join(text[a:b] for a, b in lines)
+    first, done = 0, lo  # where the line begins in ``whole``
+    for k, (a, b) in enumerate(lines):
+        rest, first = first, first + b - a
+        if a < done or not HEAD.match(text, a) or len(whole) - rest < LEAST_KEY or not _may_fit(whole[rest : rest + 8], (len(whole) - rest) * 3 // 4):
             continue
-        whole = run.replace("\r", "").replace("\n", "")
-        data = _decode(whole) or _decode(whole.rstrip("=")[: len(whole) // 4 * 4])
+        part = whole[rest:]
+        full = _decode(part)
+        data = full or _decode(part.rstrip("=")[: len(part) // 4 * 4])
         end = key_end(data)
         if end is None:
             continue
-        if end == len(data) and _decode(whole) is not None:
-            yield m.span()
-            continue
+        if end == len(data) and full is not None:
+            yield a, hi
+            return
         # text follows on further lines: the span ends where the lengths inside say
-        need, at = -(-end * 4 // 3), 0
-        while need:
-            need -= run[at] not in "\r\n"
-            at += 1
-        yield m.start(), m.start() + at
+        need = -(-end * 4 // 3)
+        for c, d in lines[k:]:
+            if need <= d - c:
+                done = c + need
+                break
+            need -= d - c
+        yield a, done
+
+
+def _key_spans(text: str) -> Iterator[tuple[int, int]]:
+    for m in BASE64.finditer(text):
+        if len(m[0]) >= LEAST_KEY:
+            yield from _run_spans(text, *m.span())
     for m in HEX_KEY.finditer(text):
         end = key_end(bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))
         if end is not None:
@@ -175,7 +208,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if "eyJ" in text:
+    if "." in text:
         found += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
     found += [(a, 4, b) for a, b in _key_spans(text)]
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
