@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from .shared import pin
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """``parents(a, b)`` of a forest (each ``a`` once, ``b`` another node) to
+    ``(node, label)`` for each ``a``: the root above it.  Each round jumps twice as
+    far, so there are as many rounds as the depth has binary digits."""
+    p = pin(parents.select("a", "b"), "roots")
+    while True:
+        up = p.select(F.col("a").alias("via"), F.col("b").alias("top"))
+        jumped = p.join(up, p["b"] == up["via"], "left").select("a", F.coalesce("top", "b").alias("b"), F.col("top").isNotNull().alias("moved"))
+        jumped = pin(jumped, "roots")
+        if jumped.where("moved").isEmpty():
+            return jumped.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        p = jumped.select("a", "b")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` to ``(node, label)``: the smallest node reachable.
 
