@@ -56,6 +56,48 @@ def test_odd_rows(request, table):
     assert sorted(map(str, [r["doc_id"] for r in kept.collect()])) == sorted(map(str, [1, 2, 3, 4, 6, None, 7, 8, 9]))
 
 
+def test_different_texts_under_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b + " more"), (9, a.upper()), (5, a), (None, c), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, minhash.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept").collect()), key=repr)
+    assert got == sorted([(5, 26, 5, True), (5, 26, 3, False), (3, 27, 3, True), (9, 26, 5, False), (5, 26, 5, True), (None, 26, None, False), (None, 26, None, False)], key=repr)
+    kept = sorted(map(tuple, minhash.keep_one_of_each(df).collect()), key=repr)
+    assert kept == sorted([(5, a), (3, b + " more"), (None, c), (None, c)], key=repr)
+
+
+def test_recall_against_all_pairs(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for k, percent in ((3, 85), (5, 80)):
+        got = as_dict(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, percent))
+        assert got == brute.near_groups(rows, k, percent)  # recall and precision 1
+
+
+def test_settling_alone_finds_all_links(spark, monkeypatch):
+    """Without the star, by rare shingles and small blocks only."""
+    monkeypatch.setattr(minhash, "FEW", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "COLUMNS", 64)
+    star = minhash._confirmer
+    monkeypatch.setattr(minhash, "_confirmer", lambda percent: star(101))
+    rows = families(3, 160)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = as_dict(minhash.near_duplicates(df, 3, 85))
+    assert got == brute.near_groups(rows, 3, 85)
+
+
+def test_pins_go(spark):
+    import os
+
+    from trackforge.llm import shared
+
+    a = shared.pin(spark.range(3), "x")
+    path = a.pinned_at.removeprefix("file:").replace("//", "/")
+    assert os.path.isdir(path) and a.count() == 3
+    shared.unpin(a)
+    assert not os.path.exists(path)
+
+
 def test_empty_tables(none):
     assert minhash.near_duplicates(none).count() == 0
     assert minhash.keep_one_of_each(none).columns == none.columns

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pin
+from .shared import pin, unpin
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -18,8 +18,10 @@ def roots(parents: DataFrame) -> DataFrame:
         jumped = p.join(up, p["b"] == up["via"], "left").select("a", F.coalesce("top", "b").alias("b"), F.col("top").isNotNull().alias("moved"))
         jumped = pin(jumped, "roots")
         if jumped.where("moved").isEmpty():
+            unpin(p)
             return jumped.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        p = jumped.select("a", "b")
+        unpin(p)
+        p = jumped
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -41,7 +43,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        e = pin(small.where("u <> v").distinct(), "cc")
+        before, e = e, pin(small.where("u <> v").distinct(), "cc")
+        unpin(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

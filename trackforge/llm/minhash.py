@@ -15,12 +15,14 @@ How the work is kept whole:
 * The members of open buckets meet anew by their rarest shingles (prefix
   filter): two sets that are similar enough share one of them, so texts that
   have only a template in common never meet.  Shingles whose holders are one
-  component are done.  Buckets of ``FEW`` members are their own groups.
+  component are done.  Buckets of ``FEW`` members go on as they are.
+* Holders of a shingle (members of a small bucket) join the group of the
+  smallest of them, once however many shingles they share with it.
 * A group is settled by matrix products that count common shingles, in one task
   for each block of members.  Links between components come back, as few as
   join them.  Where there are several blocks, only members outside the group's
   largest component are sent to every block, since that component has nothing
-  left to settle within itself.  Equal groups are settled once.
+  left to settle within itself.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql.window import Window
 
 from . import kernels as K
 from .graph import connected_components, roots
-from .shared import pin, shuffle_width, table
+from .shared import pin, shuffle_width, table, unpin
 
 ROWS = 4  # signature values in a band
 MISS = 1e-8  # chance that no band of a pair just at the threshold agrees
@@ -248,11 +250,10 @@ def _parts(n: Column, size: Column) -> Column:
 
 def _settled(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``groups(grp, node, comp, n_shingles)`` to links (a, b) between components."""
-    by = groups.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
-    by = by.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("same").alias("same"))
-    by = by.where("top.n < n").groupBy("same", "n", "size").agg(F.min(F.struct("grp", "top")).alias("x"))
-    others = F.col("n") - F.col("x.top.n")
-    by = by.select("x.grp", F.col("x.top.comp").alias("top"), _parts(F.col("n"), F.col("size")).alias("ni"), _parts(others, F.col("size") * others / F.col("n")).alias("nj"))
+    by = groups.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    by = by.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    others = F.col("n") - F.col("top.n")
+    by = by.where(others > 0).select("grp", F.col("top.comp").alias("top"), _parts(F.col("n"), F.col("size")).alias("ni"), _parts(others, F.col("size") * others / F.col("n")).alias("nj"))
     rows = groups.join(by, "grp")
 
     def deal(n: str) -> Column:
@@ -277,8 +278,10 @@ def _spell_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(nodes)], names=["grp", "node"])
 
 
-def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``nodes(node, comp, n_shingles)`` grouped by the shingles of their prefixes.
+def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Groups ``grp, node, comp, n_shingles`` of ``nodes(node, comp, n_shingles)``
+    that hold a shingle of their prefixes in common; ``grp`` is their smallest node.
+    Also the table that they are read from.
 
     Two sets with 100 * common >= ``percent`` * union have at least that share of
     either set in common.  So they share one of the first n - ceil(n * percent / 100)
@@ -291,7 +294,9 @@ def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFr
     shared = each.join(held, "grp").withColumns({"nth": F.row_number().over(own.orderBy("n", "grp")), "shared": F.count(F.lit(1)).over(own)})
     shared = shared.join(nodes, "node")
     first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
-    return shared.where(F.col("n_shingles") - F.col("shared") + F.col("nth") <= first).select("grp", "node", "comp", "n_shingles")
+    rare = pin(shared.where(F.col("n_shingles") - F.col("shared") + F.col("nth") <= first).select("grp", "node", "comp", "n_shingles"), "rare")
+    crossed = rare.groupBy("grp").agg(F.min("node").alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    return rare.join(crossed, "grp").select(F.col("head").alias("grp"), "node", "comp", "n_shingles"), rare
 
 
 def _labelled(nodes: DataFrame, on: str, labels: DataFrame, name: str) -> DataFrame:
@@ -345,12 +350,16 @@ def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     first = roots(linked)
 
     # what is left between the components of open buckets
-    located = pin(_labelled(members.drop("hub"), "node", first, "comp"), "located")
+    located = pin(_labelled(members, "node", first, "comp"), "located")
     state = located.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-    open_ = located.join(state.where("lo < hi").select("band", (F.col("n") <= FEW).alias("few")), "band").withColumnRenamed("band", "grp")
+    open_ = located.join(state.where("lo < hi").select("band", (F.col("n") <= FEW).alias("few")), "band")
     many = open_.where("not few").select("node", "comp", "n_shingles").distinct()
-    groups = open_.where("few").drop("few").select("grp", "node", "comp", "n_shingles").unionAll(_by_rare_shingles(many, sets, percent))
-    second = connected_components(pin(_settled(pin(groups, "groups"), sets, percent), "links"))
+    few = open_.where("few").select(F.col("hub").alias("grp"), "node", "comp", "n_shingles")
+    more, rare = _by_rare_shingles(many, sets, percent)
+    groups = pin(few.unionAll(more).distinct(), "groups")
+    links = pin(_settled(groups, sets, percent), "links")
+    second = connected_components(links)
+    unpin(members, sets, linked, located, rare, groups, links)
 
     final = _labelled(_labelled(reps.select("key", "node", "doc_id"), "node", first, "c1"), "c1", second, "comp")
     lowest = final.groupBy("comp").agg(F.min("doc_id").alias("found"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
