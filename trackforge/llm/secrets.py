@@ -4,13 +4,18 @@ Three plain patterns give the base spans.  The method adds spans only after it
 has decoded a candidate and understood what is inside:
 
 * ``jwt``: a dotted token whose first part decodes to a JSON object that names
-  an algorithm, and whose second decodes to a JSON object;
+  an algorithm, and whose second decodes to a JSON object; it may follow other
+  token characters directly;
 * ``key``: base64 (with or without PEM lines) or hex that decodes to a private
   key: ASN.1 DER whose nested lengths add up exactly and whose integers start
   as PKCS#1, PKCS#8 or SEC 1 say, or an OpenSSH key with consistent length
   prefixes.
 
 A run of base64 or hex that decodes to anything else is not reported.
+
+All steps take time in proportion to the text, whatever it holds: a token's
+header is found from its end, and of a key's candidate only the bytes that hold
+nested lengths are decoded.
 """
 
 from __future__ import annotations
@@ -32,20 +37,47 @@ KINDS = ("assign", "access", "hex", "jwt", "key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: the header is {" or { and white space
-JWT = re.compile(r"(?:ey[ABIJ]|ew[klop01])[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?", re.A)
+#: how the base64 of { and a quote or white space starts; and runs of token characters
+TOKEN_START = re.compile(r"ey[ABIJ]|ew[klop01]")
+TOKEN_RUN = re.compile(r"[A-Za-z0-9_.-]+", re.A)
 #: between the lines of a key: a line break, as such or as in a JSON string, and indentation
 BREAK = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[ \t]*", re.A)
 #: base64 on one line or folded as in PEM files; a DER sequence starts with M, an OpenSSH key with b3BlbnNzaC1rZXktdjE
 HEAD = re.compile(r"M[A-P]|b3BlbnNzaC1rZXktdjEA", re.A)
 BASE64 = re.compile(rf"(?:(?<![A-Za-z0-9+/])|(?<=\\n))(?:{HEAD.pattern})[A-Za-z0-9+/]+(?:{BREAK.pattern}[A-Za-z0-9+/]+)*={{0,2}}", re.A)
-#: hex of at least 48 bytes that starts as a DER sequence or an OpenSSH key
-HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6f70656e7373682d6b65792d7631|6F70656E7373682D6B65792D7631)[0-9A-Fa-f]{94,}", re.A)
 OPENSSH = b"openssh-key-v1\0"
-LEAST_KEY = 40
+LEAST_KEY = 40  # bytes
+MOST_FIELDS = 12  # no private key has more fields side by side
+#: hex that starts as a DER sequence or an OpenSSH key
+HEX_KEY = re.compile(rf"(?<![0-9A-Fa-f])(?=[0-9A-Fa-f]{{{2 * LEAST_KEY}}})(?:30|6f70656e7373682d6b65792d7631|6F70656E7373682D6B65792D7631)[0-9A-Fa-f]+", re.A)
+
+
+class Base64:
+    """Bytes of base64 text from ``start`` on, decoded where they are asked for."""
+
+    def __init__(self, text: str, start: int):
+        self.text, self.start = text, start
+        n = len(text) - start
+        self.size = n // 4 * 3 + max(0, n % 4 - 1)
+        self.whole = n % 4 != 1
+
+    def __len__(self) -> int:
+        return self.size
 
+    def __getitem__(self, at: int | slice) -> int | bytes:
+        if isinstance(at, int):
+            return self[at : at + 1][0]
+        a, b, _ = at.indices(self.size)
+        if a >= b:
+            return b""
+        lo = self.start + a // 3 * 4
+        return (_decode(self.text[lo : self.start + min(-(-b // 3) * 4, len(self.text) - self.start - (not self.whole))]) or b"")[a % 3 : a % 3 + b - a]
 
-def _header(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+
+Data = bytes | Base64
+
+
+def _header(data: Data, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, start and end of the DER value at ``at``; None unless it fits before ``end``."""
     if at + 2 > end:
         return None
@@ -61,20 +93,20 @@ def _header(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
-def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+def _children(data: Data, at: int, end: int) -> list[tuple[int, int, int]] | None:
     out = []
     while at < end:
-        if (h := _header(data, at, end)) is None:
+        if len(out) == MOST_FIELDS or (h := _header(data, at, end)) is None:
             return None
         out.append(h)
         at = h[2]
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """A DER sequence that fills ``data`` and has the fields of a private key."""
-    top = _header(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
+def is_der_key(data: Data, end: int) -> bool:
+    """A DER sequence that ends at ``end`` and has the fields of a private key."""
+    top = _header(data, 0, end)
+    if top is None or top[0] != 0x30 or top[2] != end:
         return False
     parts = _children(data, top[1], top[2])
     if not parts or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1:
@@ -92,20 +124,21 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def openssh_end(data: bytes) -> int | None:
+def openssh_end(data: Data) -> int | None:
     """Where an OpenSSH private key ends: magic, names, count, that many public
     keys and the private part, each under its length.  None for anything else."""
-    if not data.startswith(OPENSSH):
+    if data[: len(OPENSSH)] != OPENSSH:
         return None
     at = len(OPENSSH)
 
-    def field() -> bytes | None:
+    def field() -> int | None:
+        """Length of the next field."""
         nonlocal at
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
             return None
         at += 4 + n
-        return data[at - n : at]
+        return n
 
     names = [field(), field(), field()]  # cipher, derivation, its options
     if None in names or not names[0]:
@@ -116,14 +149,14 @@ def openssh_end(data: bytes) -> int | None:
     return None if None in [field() for _ in range(count + 1)] else at
 
 
-def key_end(data: bytes | None) -> int | None:
+def key_end(data: Data) -> int | None:
     """Length of the private key at the start of ``data``."""
-    if not data or len(data) < LEAST_KEY:
+    if len(data) < LEAST_KEY:
         return None
     if (end := openssh_end(data)) is not None:
         return end
     top = _header(data, 0, len(data))
-    return top[2] if top is not None and top[2] >= LEAST_KEY and is_der_key(data[: top[2]]) else None
+    return top[2] if top is not None and top[2] >= LEAST_KEY and is_der_key(data, top[2]) else None
 
 
 def _decode(part: str, urlsafe: bool = False) -> bytes | None:
@@ -136,23 +169,71 @@ def _decode(part: str, urlsafe: bool = False) -> bytes | None:
         return None
 
 
-def is_signed_token(token: str) -> bool:
-    parts = token.split(".")
+def _object(data: bytes | None) -> dict | None:
     try:
-        head, body = (json.loads(_decode(p, urlsafe=True) or b"") for p in parts[:2])
+        out = json.loads(data or b"")
     except (ValueError, RecursionError):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+        return None
+    return out if isinstance(out, dict) else None
 
 
-def _may_fit(start: str, room: int) -> bool:
-    """Whether the DER value whose base64 begins with ``start`` can end within ``room`` bytes."""
-    head = _decode(start[:8]) or b""
-    if len(head) < 6 or head[0] != 0x30:
-        return head[:6] == OPENSSH[:6]
-    width = head[1] & 0x7F if head[1] & 0x80 else 0
-    n = int.from_bytes(head[2 : 2 + width], "big") if width else head[1]
-    return width <= 4 and 2 + width + n <= room
+def _opening(data: bytes) -> int | None:
+    """Place of the brace that the last one closes, found from the end."""
+    depth, at = 0, len(data.rstrip()) - 1
+    if at < 0 or data[at] != 0x7D:
+        return None
+    while at >= 0:
+        c = data[at]
+        if c == 0x7D:
+            depth += 1
+        elif c == 0x7B:
+            depth -= 1
+            if not depth:
+                return at
+        elif c == 0x22:  # back to the quote that opens the string
+            while True:
+                at = data.rfind(b'"', 0, at)
+                if at < 0:
+                    return None
+                escapes = at
+                while escapes and data[escapes - 1] == 0x5C:
+                    escapes -= 1
+                if (at - escapes) % 2 == 0:
+                    break
+                at = escapes
+        at -= 1
+    return None
+
+
+def header_start(part: str) -> int | None:
+    """Where in a part without dots the header of a signed token starts that ends
+    with it: base64 of a JSON object that names an algorithm.  The object's last
+    brace tells where it opens, so there is one candidate for each of four phases."""
+    for phase in range(4):
+        data = _decode(part[phase:], urlsafe=True)
+        if data and (at := _opening(data)) is not None and at % 3 == 0 and (head := _object(data[at:])) and isinstance(head.get("alg"), str):
+            return phase + at // 3 * 4
+    return None
+
+
+def _token_spans(text: str) -> Iterator[tuple[int, int]]:
+    if not TOKEN_START.search(text):
+        return
+    for run in TOKEN_RUN.finditer(text):
+        parts = run[0].split(".")
+        if len(parts) < 2 or not TOKEN_START.search(run[0]):
+            continue
+        at, k = run.start(), 0
+        while k < len(parts) - 1:
+            start = header_start(parts[k]) if TOKEN_START.search(parts[k]) else None
+            if start is not None and _object(_decode(parts[k + 1], urlsafe=True)) is not None:
+                n = min(3, len(parts) - k)
+                end = at + sum(map(len, parts[k : k + n])) + n - 1
+                yield at + start, end
+            else:
+                n = 1
+            at += sum(map(len, parts[k : k + n])) + n
+            k += n
 
 
 def _run_spans(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
@@ -162,28 +243,25 @@ def _run_spans(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         lines.append((at, b.start()))
         at = b.end()
     lines.append((at, hi))
-    whole = "".join(text[a:b] for a, b in lines)
+    whole = "".join(text[a:b] for a, b in lines).rstrip("=")
     first, done = 0, lo  # where the line begins in ``whole``
     for k, (a, b) in enumerate(lines):
         rest, first = first, first + b - a
-        if a < done or not HEAD.match(text, a) or len(whole) - rest < LEAST_KEY or not _may_fit(whole[rest : rest + 8], (len(whole) - rest) * 3 // 4):
+        if a < done or not HEAD.match(text, a):
             continue
-        part = whole[rest:]
-        full = _decode(part)
-        data = full or _decode(part.rstrip("=")[: len(part) // 4 * 4])
+        data = Base64(whole, rest)
         end = key_end(data)
         if end is None:
             continue
-        if end == len(data) and full is not None:
+        if end == len(data) and data.whole:
             yield a, hi
             return
         # text follows on further lines: the span ends where the lengths inside say
-        need = -(-end * 4 // 3)
-        for c, d in lines[k:]:
-            if need <= d - c:
-                done = c + need
-                break
-            need -= d - c
+        need, j = -(-end * 4 // 3), k
+        while need > lines[j][1] - lines[j][0]:
+            need -= lines[j][1] - lines[j][0]
+            j += 1
+        done = lines[j][0] + need
         yield a, done
 
 
@@ -208,8 +286,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if "." in text:
-        found += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+    found += [(a, 3, b) for a, b in _token_spans(text)]
     found += [(a, 4, b) for a, b in _key_spans(text)]
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
@@ -233,7 +310,13 @@ SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, ...)`` to ``doc_id, spans``; one row per row."""
+    """``docs(doc_id, text, ...)`` to ``doc_id, spans``; one row per row.
+
+    Null and empty texts have no spans; a null doc_id stays null; repeated rows are
+    scanned one by one; an empty table gives none.  Texts are scanned whole, however
+    long.  Spans of different kinds may overlap; of equal starts the kind listed
+    first in ``KINDS`` comes first.  Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -259,12 +342,18 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of ``find_secrets`` over the whole documents table; nulls,
+    ties and repeated rows as there."""
     return find_secrets(table(spark, sf_dir, "documents")).mapInArrow(_digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, with the secrets in ``text`` replaced and
-    ``n_chars`` counted anew in the texts that changed."""
+    """All rows and columns of ``docs``, with the secrets in ``text`` replaced and
+    ``n_chars`` (where there is such a column) counted anew in the texts that changed.
+
+    Null and empty texts stay as they are, repeated rows change alike, and overlapping
+    spans become one mark.  Columns of other names pass through.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
