@@ -46,7 +46,8 @@ class Encoder:
 
     Where the file is of the plain kind (ids in the order of the merges, the usual
     splitting pattern), tiktoken applies the same merges several times faster.
-    Other files, and texts with one of the special strings, go through tokenizers.
+    Other files, texts with one of the special strings, and texts whose runs of white
+    space are too long for its pattern matcher (about a million) go through tokenizers.
     """
 
     def __init__(self, path: str):
@@ -65,7 +66,10 @@ class Encoder:
             return np.zeros(0, np.uint32)
         if self.fast is None or any(s in text for s in self.special):
             return self._whole(text)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # its matcher's stack is full
+            return self._whole(text)
 
 
 def _plain_bpe(spec: dict):
@@ -313,10 +317,15 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Null and empty texts are one piece of length 1 (the end id); repeated rows are
-    packed one by one; a null doc_id stays null.
+    packed one by one; a null doc_id stays null; an empty table gives no pieces.
+    Texts are tokenised whole, however long.  Of pieces of one length those with
+    smaller doc_id, then piece, take earlier places within their counter.  Other
+    columns are not read.
     """
     return pack(pin(tokenised_pieces(docs, tokenizer, capacity), "pieces"), capacity)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pack_documents`` of the whole documents table, 2048 tokens a sequence; nulls,
+    ties and repeated rows as there."""
     return pack_documents(table(spark, sf_dir, "documents"))
