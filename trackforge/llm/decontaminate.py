@@ -12,8 +12,10 @@ The cursors of many text segments advance together as one numpy vector; each
 step is a handful of vector operations, and positions that the shifts skip are
 never touched.
 
-The benchmark is read in blocks of bounded size (``BLOCK_BYTES`` of item text);
-each block is one search over all documents.  One block is the common case.
+Windows are places in one buffer of the benchmark's words, and the tables over
+them numpy arrays, so a block of items costs a few times its bytes.  The benchmark is
+read in blocks of bounded size (``BLOCK_BYTES`` of item text), one at a time; each
+is one search over all documents.
 """
 
 from __future__ import annotations
@@ -43,52 +45,67 @@ def normal_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_SPACED).split() if text else []
 
 
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums from which ``_hashes`` takes the hash of any stretch."""
+    up, _ = K.powers(len(data) + 1)
+    s = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(K._LETTER[data] * up[: len(data)], out=s[1:])
+    return s
+
+
+def _hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    _, down = K.powers(len(sums))
+    return K.mix((sums[end] - sums[start]) * down[start])
+
+
 class WuManber:
-    """Finds all occurrences of byte patterns (each at least two bytes)."""
+    """Finds all occurrences of byte patterns (each at least two bytes), given as
+    places ``start`` and ``size`` in the buffer ``book``."""
 
-    def __init__(self, patterns: list[bytes]):
-        self.m = min(map(len, patterns))
+    def __init__(self, book: bytes, sums: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.book, self.m = book, int(size.min())
         self.b = max(1, min(8, self.m // 2))
-        self.bits = min(22, max(12, (8 * len(patterns) * self.m).bit_length()))
-        shift = np.full(1 << self.bits, self.m - self.b + 1, np.uint16)
-        heads = np.frombuffer(b"".join(p[: self.m] for p in patterns), np.uint8).reshape(-1, self.m)
+        self.bits = min(22, max(12, (8 * len(start) * self.m).bit_length()))
+        shift = np.full(1 << self.bits, self.m - self.b + 1, np.uint32)
+        words, mask = self._words(book)
         for end in range(self.b, self.m + 1):  # later ends allow smaller shifts
-            block = np.zeros(len(patterns), np.uint64)
-            for j in range(self.b):
-                block |= heads[:, end - self.b + j].astype(np.uint64) << K.U64(8 * j)
-            np.minimum.at(shift, self._hash(block), self.m - end)
+            at = self._hash(words[start + end - self.b] & mask)
+            shift[at] = np.minimum(shift[at], self.m - end)
         self.shift = shift
-        # suffix bucket: patterns by the whole last block of their heads, then by the head
-        self.buckets: dict[bytes, list[int]] = {}
-        for i, p in enumerate(patterns):
-            self.buckets.setdefault(p[self.m - self.b : self.m], []).append(i)
-        self.patterns = patterns
-        self.by_head: dict[bytes, list[int]] = {}
-        for i, p in enumerate(patterns):
-            self.by_head.setdefault(p[: self.m], []).append(i)
+        # suffix buckets: patterns by the last block of their heads and the rest of them
+        head = _hashes(sums, start, start + self.m)
+        order = np.argsort(head, kind="stable")
+        self.head, self.order, self.start, self.size = head[order], order, start[order], size[order]
+
+    def _words(self, text: bytes) -> tuple[np.ndarray, np.uint64]:
+        """The eight bytes from each place on, and which of them are a block."""
+        padded = text + b"\0" * 8
+        return np.ndarray(len(text) + 1, "<u8", buffer=padded, strides=(1,)), K.U64((1 << (8 * self.b)) - 1)
 
     def _hash(self, block: np.ndarray) -> np.ndarray:
         block = block * K.U64(0x9E3779B97F4A7C15)
         return ((block ^ (block >> K.U64(32))) * K.U64(0xD6E8FEB86659FD93) >> K.U64(64 - self.bits)).astype(np.int64)
 
-    def search(self, text: bytes) -> Iterator[tuple[int, int]]:
+    def search(self, text: bytes, sums: np.ndarray) -> Iterator[tuple[int, int]]:
         """(start, pattern number) of every occurrence."""
         n = len(text)
         if n < self.m:
             return
-        buf = np.frombuffer(text + b"\0" * 8, np.uint8)
-        words = np.ndarray(n + 1, "<u8", buffer=buf.data, strides=(1,))
-        mask = K.U64((1 << (8 * self.b)) - 1)
+        words, mask = self._words(text)
         at = np.arange(self.m, n + 1, SEGMENT)  # end of the head under the cursor
         stop = np.minimum(at + SEGMENT, n + 1)
         while len(at):
-            step = self.shift[self._hash(words[at - self.b] & mask)]
-            for end in at[step == 0].tolist():
-                if text[end - self.b : end] in self.buckets:
-                    start = end - self.m
-                    for i in self.by_head.get(text[start:end], ()):
-                        if text.startswith(self.patterns[i], start):
-                            yield start, i
+            step = self.shift[self._hash(words[at - self.b] & mask)].astype(np.int64)
+            ends = at[step == 0]
+            if len(ends):
+                head = _hashes(sums, ends - self.m, ends)
+                lo, hi = np.searchsorted(self.head, head, "left"), np.searchsorted(self.head, head, "right")
+                for k in np.flatnonzero(lo < hi).tolist():
+                    at_ = int(ends[k]) - self.m
+                    for i in range(lo[k], hi[k]):
+                        p = int(self.start[i])
+                        if text.startswith(self.book[p : p + int(self.size[i])], at_):
+                            yield at_, int(self.order[i])
             at = at + np.maximum(step, 1)
             live = at < stop
             at, stop = at[live], stop[live]
@@ -99,20 +116,35 @@ class Matcher:
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.source = items
-        owners: dict[bytes, set[str]] = {}
-        lengths: dict[bytes, int] = {}
-        for item, text in items:
-            words = normal_words(text)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                part = words[i : i + window]
-                key = b" " + b" ".join(part) + b" "
-                owners.setdefault(key, set()).update([] if item is None else [item])
-                lengths[key] = len(part)
-        self.owners, self.lengths = owners, lengths
-        classes: dict[int, list[bytes]] = {}
-        for p in sorted(owners):
-            classes.setdefault(sum(len(p) > c for c in CLASSES), []).append(p)
-        self.searchers = [WuManber(ps) for _, ps in sorted(classes.items())]
+        self.names = [item for item, _ in items]
+        texts = [b" " + b" ".join(words) + b" " if (words := normal_words(t)) else b"" for _, t in items]
+        self.book = b"".join(texts)
+        data = np.frombuffer(self.book, np.uint8)
+        sums = _sums(data)
+        spaces = np.flatnonzero(data == 0x20)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        owner = np.searchsorted(np.cumsum(sizes), spaces, side="right")
+        count = np.bincount(owner, minlength=len(texts))  # spaces of each item: its words and one
+        last = np.cumsum(count) - 1
+        nth = np.arange(len(spaces)) - (last + 1 - count)[owner] if len(spaces) else spaces
+        n_words = np.minimum(window, count[owner] - 1) if len(spaces) else spaces
+        opens = np.flatnonzero((nth == 0) | (nth + window < count[owner])) if len(spaces) else spaces
+        opens = opens[nth[opens] + n_words[opens] < count[owner[opens]]] if len(spaces) else spaces
+        start, words = spaces[opens], n_words[opens]
+        size = spaces[opens + words] + 1 - start
+        whose = owner[opens]
+        # equal windows are one pattern with several owners
+        whole = _hashes(sums, start, start + size)
+        order = np.lexsort((whose, start, size, whole))
+        start, size, words, whose, whole = (x[order] for x in (start, size, words, whose, whole))
+        new = np.ones(len(start), bool)
+        for i in np.flatnonzero((whole[1:] == whole[:-1]) & (size[1:] == size[:-1])) + 1 if len(start) else ():
+            new[i] = self.book[start[i] : start[i] + size[i]] != self.book[start[i - 1] : start[i - 1] + size[i - 1]]
+        first = np.flatnonzero(new)
+        self.start, self.size, self.words = start[first], size[first], words[first]
+        self.owners, self.owner_at = whose, np.append(first, len(start))
+        kind = np.searchsorted(np.array(CLASSES), self.size)
+        self.searchers = [(pick, WuManber(self.book, sums, self.start[pick], self.size[pick])) for k in np.unique(kind) if len(pick := np.flatnonzero(kind == k))]
 
     def search(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
         """Per text: its word count, the word ranges hit, the items found."""
@@ -125,17 +157,17 @@ class Matcher:
         firsts = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
         found: list[tuple[list, set]] = [([], set()) for _ in texts]
         spaces: dict[int, np.ndarray] = {}
-        for s in self.searchers:
-            for start, i in s.search(whole):
+        sums = _sums(np.frombuffer(whole, np.uint8)) if self.searchers else None
+        for pick, s in self.searchers:
+            for start, i in s.search(whole, sums):
                 row = int(np.searchsorted(firsts, start, side="right")) - 1
                 at = start - int(firsts[row])
                 if row not in spaces:
                     spaces[row] = np.flatnonzero(np.frombuffer(parts[row], np.uint8) == 0x20)
-                word = int(np.searchsorted(spaces[row], at))
-                pattern = s.patterns[i]
-                found[row][0].append((word, word + self.lengths[pattern]))
-                found[row][1].update(self.owners[pattern])
-        return [(n, merge(ranges), items) for n, (ranges, items) in zip(sizes, found, strict=True)]
+                word, p = int(np.searchsorted(spaces[row], at)), pick[i]
+                found[row][0].append((word, word + int(self.words[p])))
+                found[row][1].update(int(o) for o in self.owners[self.owner_at[p] : self.owner_at[p + 1]])
+        return [(n, merge(ranges), {self.names[o] for o in items} - {None}) for n, (ranges, items) in zip(sizes, found, strict=True)]
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -181,46 +213,58 @@ def _searcher(shared, window: int, names: list[str]):
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str]]]:
-    """Items (id as text or null, text) in blocks of about ``block_bytes``."""
+TAG = "row_tag"
+
+
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """Items (id as text or null, text, block) and how many blocks of about ``block_bytes`` they are."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    if n > 1:
-        items = pin(items.withColumn("block", F.expr(f"pmod(xxhash64(item, text), {n})")), "items")
-    for i in range(n):
-        yield [(r["item"], r["text"]) for r in (items.where(F.col("block") == i) if n > 1 else items).collect()]
+    items = items.withColumn("block", F.expr(f"pmod(xxhash64(item, text), {n})"))
+    return (pin(items, "items") if n > 1 else items), n
+
+
+def block(items: DataFrame, i: int = 0) -> list[tuple[str | None, str]]:
+    """One block, small by the number of blocks."""
+    return [(r["item"], r["text"]) for r in items.where(F.col("block") == i).collect()]
 
 
 def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` columns of ``docs`` with ``n_words``, hit word ranges and ``items``.
 
-    One row per row of ``docs``; null, empty and wordless texts have no words.
-    Hits of an item whose id is null count, but add nothing to ``items``.
+    One row per row of ``docs``, whole texts however long; null, empty and wordless
+    texts have no words; repeated rows have equal results; an empty benchmark hits
+    nothing.  Items with one id are one item, and hits of an item whose id is null
+    count, but add nothing to ``items``.  Columns in ``keep`` may not be called as
+    those that are added.
     """
+    if clash := {n.lower() for n in keep} & {"n_words", "starts", "ends", "items", TAG}:
+        raise ValueError(f"keep has columns that are added: {sorted(clash)}")
     sc = docs.sparkSession.sparkContext
     columns = list(dict.fromkeys([*keep, "text"]))
     src = docs.select(*columns)
     schema = ", ".join(f"`{n}` {src.schema[n].dataType.simpleString()}" for n in keep) + ", "
-    parts = [src.mapInArrow(_searcher(sc.broadcast(b), window, keep), schema + RESULT) for b in benchmark_blocks(benchmark, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
+    items, n_blocks = benchmark_blocks(benchmark, block_bytes)
+    if n_blocks == 1:
+        return src.mapInArrow(_searcher(sc.broadcast(block(items)), window, keep), schema + RESULT)
     # several blocks: the hits of each, keyed by the row's content, meet once per row
-    tag = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    keyed = src.withColumn("row_tag", tag)
+    keyed = src.withColumn(TAG, F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
     hits = None
-    for b in benchmark_blocks(benchmark, block_bytes):
-        part = keyed.mapInArrow(_searcher(sc.broadcast(b), window, ["row_tag"]), "row_tag string, " + RESULT)
-        part = pin(part.where("size(starts) > 0").dropDuplicates(["row_tag"]), "hits")
+    for i in range(n_blocks):
+        shared = sc.broadcast(block(items, i))
+        part = keyed.mapInArrow(_searcher(shared, window, [TAG]), f"{TAG} string, {RESULT}")
+        part = pin(part.where("size(starts) > 0").dropDuplicates([TAG]), "hits")
+        shared.destroy()
         hits = part if hits is None else hits.unionAll(part)
-    met = hits.groupBy("row_tag").agg(
+    met = hits.groupBy(TAG).agg(
         F.flatten(F.collect_list("starts")).alias("starts"),
         F.flatten(F.collect_list("ends")).alias("ends"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
     empty = sc.broadcast([])
-    counted = keyed.mapInArrow(_searcher(empty, window, [*keep, "row_tag"]), schema + "row_tag string, " + RESULT)
-    out = counted.drop("starts", "ends", "items").join(met, "row_tag", "left").drop("row_tag")
+    counted = keyed.mapInArrow(_searcher(empty, window, [*keep, TAG]), f"{schema}{TAG} string, {RESULT}")
+    out = counted.drop("starts", "ends", "items").join(met, TAG, "left").drop(TAG)
     return out.select(
         *keep, "n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("starts", "array<int>"), ("ends", "array<int>"), ("items", "array<string>")))
     )
@@ -241,6 +285,8 @@ DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of ``search`` over the whole documents table, for all items
+    of the benchmark; nulls, ties and repeated rows as there."""
     docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
     return search(docs, table(spark, sf_dir, "benchmark"), ["doc_id"]).mapInArrow(_digest, DIGEST)
 
@@ -248,7 +294,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, whole, in whose text no benchmark window occurs.
 
-    Several blocks of a large benchmark filter one after the other.
+    Null, empty and wordless texts stay, and repeated rows stay or go together; with an
+    empty benchmark all stay.  Columns keep their names.  Several blocks of a large
+    benchmark filter one after the other.
     """
     sc = docs.sparkSession.sparkContext
 
@@ -261,7 +309,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    out = None
-    for block in benchmark_blocks(benchmark):
-        out = (docs if out is None else pin(out, "clean")).mapInArrow(without(sc.broadcast(block)), docs.schema)
+    items, n_blocks = benchmark_blocks(benchmark)
+    out = docs
+    for i in range(n_blocks):
+        out = out.mapInArrow(without(sc.broadcast(block(items, i))), docs.schema)
+        if i + 1 < n_blocks:
+            out = pin(out, "clean")
     return out
