@@ -1,14 +1,16 @@
 """License scan: Dice coefficient over word bigrams against templates.
 
-A text is cut into sentences and lines.  A template is sought in every run of
-consecutive segments: with A and B the sets of word bigrams, a run matches when
-``2 |A & B| / (|A| + |B|) >= LEAST``.
+A template is sought in every window of consecutive words: with A and B the sets
+of word bigrams, a window matches when ``2 |A & B| / (|A| + |B|) >= LEAST``.  The
+best window of each template counts.
 
 Bounds leave few comparisons.  A match shares at least ``LEAST / (2 - LEAST)``
 of the template's bigrams, so one look at the bigrams of a whole text (hashes, no
-strings) names the templates it can hold at all; most texts end there.  And a
-run's set is at least that share, and at most its inverse, of the template's
-size, so a run stops growing when it is too large.
+strings) names the templates it can hold at all; most texts end there.  A window
+can only be best if it starts with the last and ends with the first occurrence
+of bigrams it shares with the template, and its set is at most the inverse of
+that share larger than the template's; so each occurrence ends few windows, and
+repeated lines cost no more than others.
 """
 
 from __future__ import annotations
@@ -67,7 +69,6 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
-SEGMENT = re.compile(r"[^\n]+?(?:[.!?](?=[ \t\r])|(?=\n)|$)", re.S)
 
 
 def words(text: str) -> list[str]:
@@ -82,10 +83,6 @@ def bigrams(ws: list[str]) -> set[tuple[str, str]]:
     return set(zip(ws, ws[1:], strict=False))
 
 
-def dice(a: set, b: set) -> float:
-    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
-
-
 @dataclass(frozen=True)
 class Match:
     license: str
@@ -136,32 +133,49 @@ class Scanner:
         return out
 
     def scan(self, text: str, able: list[int]) -> list[Match]:
-        """The best run of segments for each template that matches: highest score,
+        """The best window of words for each template that matches: highest score,
         then earliest, then shortest."""
-        cuts = [(m.start(), m.end(), words(m[0])) for m in SEGMENT.finditer(text)]
+        spans = [m.span() for m in WORD.finditer(text)]
+        ws = [text[a:b].translate(_LOWER) for a, b in spans]
+        # bigram p is words p and p + 1; earlier[p] is its occurrence before, or -1
+        pairs = list(zip(ws, ws[1:], strict=False))
+        earlier, last = np.full(len(pairs), -1, np.int64), {}
+        for p, pair in enumerate(pairs):
+            earlier[p] = last.get(pair, -1)
+            last[pair] = p
         out = []
         for t in able:
-            want, best = self.sets[t], None
-            known = {w for pair in want for w in pair}
-            mine = [i for i, (_, _, ws) in enumerate(cuts) if not known.isdisjoint(ws)]
-            for i in mine:
-                got: set[tuple[str, str]] = set()
-                common, last = 0, None
-                for j in range(i, len(cuts)):
-                    for w in cuts[j][2]:
-                        if last is not None and (last, w) not in got:
-                            got.add((last, w))
-                            common += (last, w) in want
-                        last = w
-                    if len(got) > self.high[t]:
-                        break
-                    score = 2 * common / (len(got) + len(want))
-                    if score >= self.least and (best is None or score > best.score):
-                        best = Match(self.names[t], t, cuts[i][0], cuts[j][1], score)
+            best = self._best(pairs, earlier, t)
             if best:
-                out.append(best)
+                score, a, b = best
+                end = spans[b + 1][1]
+                end += text[end : end + 1] in (".", "!", "?")  # the sentence's own
+                out.append(Match(self.names[t], t, spans[a][0], end, score))
         return out
 
+    def _best(self, pairs: list[tuple[str, str]], earlier: np.ndarray, t: int) -> tuple[float, int, int] | None:
+        """Score, first and last bigram of the best window."""
+        want, high = self.sets[t], self.high[t]
+        best: tuple[float, int, int] | None = None
+        recent: dict[tuple[str, str], int] = {}  # where each shared bigram was seen last, latest at the end
+        for end, pair in enumerate(pairs):
+            if pair not in want:
+                continue
+            was = recent.pop(pair, -1)
+            recent[pair] = end
+            common = 0
+            for start in reversed(recent.values()):
+                if start <= was:
+                    break  # the window would do without this end
+                common += 1
+                got = int(np.count_nonzero(earlier[start : end + 1] < start))
+                if got > high:
+                    break
+                score = 2 * common / (got + len(want))
+                if score >= self.least and (best is None or (score, -start, -end) > (best[0], -best[1], -best[2])):
+                    best = (score, start, end)
+        return best
+
 
 def strongest(matches: list[Match]) -> list[Match]:
     """One match per license, and none that overlaps a better one (similar wordings)."""
@@ -185,7 +199,10 @@ def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     comma-joined, the best one (ties: first by name), and where each was found.
 
     Null, empty and other texts without a match have no licenses, no best one and
-    score 0.
+    score 0.  A null doc_id stays null, repeated rows are scanned one by one, and an
+    empty table gives no rows.  Texts are scanned whole; of equal scores the earlier
+    window, then the shorter counts, and licenses with equal scores on overlapping
+    windows go by name.  Other columns are not read.
     """
     chosen = TEMPLATES if templates is None else templates
 
@@ -215,4 +232,6 @@ def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``find_licenses`` in the whole documents table; nulls, ties and repeated rows as
+    there."""
     return find_licenses(table(spark, sf_dir, "documents"))
