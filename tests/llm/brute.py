@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+import xxhash
+
 
 def lower(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -36,13 +38,14 @@ def near_groups(rows, k, percent):
 
 
 def removed(rows, length):
-    """(doc, bytes, removed, spans, sha256 of the rest); rows of one id are one place."""
+    """(doc, bytes, removed, spans, sha256 of the rest); rows of one id and text are one
+    place, and different texts of one id come in the order of their hashes."""
     seen, out = {}, []
-    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
-        b = (t or "").encode()
+    rows = [(d, (t or "").encode()) for d, t in rows]
+    for d, b in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (xxhash.xxh64_intdigest(r[1], 42) + 2**63) % 2**64)):
         gone = [False] * len(b)
         for i in range(len(b) - length + 1):
-            if seen.setdefault(b[i : i + length], (d, i)) != (d, i):
+            if seen.setdefault(b[i : i + length], (d, b, i)) != (d, b, i):
                 gone[i : i + length] = [True] * length
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)

@@ -2,7 +2,9 @@ import base64
 import hashlib
 import json
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,6 +53,17 @@ def test_cut_random(spark, monkeypatch, seed, crowd):
     assert cut(df, length, max(2, length // 4), crowd) == sorted(brute.removed(rows, length), key=repr)
 
 
+def test_cut_equal_and_missing_ids(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    x, y, z = text(200), text(150), text(400)
+    rows = [(5, x + x), (5, z), (5, z), (None, x), (None, y), (None, y + z[:120]), (7, y), (7, x[:120] + y), (3, z[100:300])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(brute.removed(rows, 100), key=repr)
+    assert cut(df) == want == sorted(map(tuple, cut(df, 100, 24, 1)), key=repr)
+    assert cut(spark.createDataFrame([(5, x + x), (5, z)], "doc_id long, text string")) == sorted(brute.removed([(5, x + x), (5, z)], 100), key=repr)
+
+
 def test_cut_odd(odd, crowded, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     want = sorted(brute.removed(rows, 20), key=repr)
@@ -128,6 +141,20 @@ def test_search_random(items, text):
         assert (n, sum(b - a for a, b in ranges), len(names)) == want[1:4]
 
 
+def test_long_words_and_large_blocks():
+    long = "x" * 70_000
+    m = D.Matcher([("1", long), ("2", f"{long} y"), (None, "only one here")], 3)
+    got = m.search([f"a {long} y b", "only one here", "x " * 1000])
+    assert [(n, r, sorted(i)) for n, r, i in got[:2]] == [(4, [(1, 3)], ["1", "2"]), (3, [(0, 3)], [])] and not got[2][1]
+    rng = random.Random(5)
+    items = [(str(i), " ".join(f"w{rng.randrange(50_000)}" for _ in range(400))) for i in range(500)]  # 1.2 MB
+    began = time.time()
+    m = D.Matcher(items)
+    assert time.time() - began < 20
+    part = items[77][1].split()[40:60]
+    assert m.search([" ".join(["before", *part, "after"])])[0] == (22, [(1, 21)], {"77"})
+
+
 # ---- secrets
 
 
@@ -224,30 +251,70 @@ def test_redaction(spark, crowded, none):
     assert tuple(S.redact_secrets(one).first()) == (1, "key [secret].", 13)
 
 
+@pytest.mark.parametrize("unit", ["eyJ", "eyJ.", "MIIEvQIBADANBgkqhkiG9w0BAQEFAASC\n", "MA\n", "IiIi", "token  ", "XFxc", "30", "MIIE\\"])
+def test_scan_time_goes_with_length(unit):
+    began = time.time()
+    S.scan(unit * (1_500_000 // len(unit)))
+    assert time.time() - began < 30
+
+
+def test_keys_behind_words_and_tokens_behind_letters():
+    rng = random.Random(4)
+    key = base64.b64encode(der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, rsa_key(rng)))).decode()
+    for word in ("MAIN", "MANAGER", "MIIEvQIBADAN"):
+        assert kinds(f"{word}\n{key}") == [("key", key)]
+    short = der(0x30, der(2, b"\1") + der(4, rng.randbytes(36))).hex()  # 43 bytes
+    assert kinds(short) == [("key", short)]
+    part = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256', 'note': 'a } brace, a quote \\" and {'})}.{part({'sub': '1'})}.c2ln"
+    for before in ("", "n", "xy", "zzz", "abcd", "eyJ", "v1."):
+        assert kinds(f"{before}{token} end") == [("jwt", token)]
+    assert kinds(f"{token}.{token}") == [("jwt", token), ("jwt", token)]
+
+
 # ---- licenses
 
 
-def plain_licenses(text, least=L.LEAST):
-    """Best Dice of every template over all runs of segments, without any bound."""
-    cuts = [m[0] for m in L.SEGMENT.finditer(text or "")]
+def best_windows(ws, templates, least):
+    """Best Dice of every template over all windows of words, without any bound."""
     out = {}
-    for name, template in L.TEMPLATES:
+    for t, (_, template) in enumerate(templates):
         want = L.bigrams(L.words(template))
-        for i in range(len(cuts)):
-            for j in range(i, min(len(cuts), i + 12)):
-                got = L.bigrams([w for c in cuts[i : j + 1] for w in L.words(c)])
-                if (s := L.dice(got, want)) >= least:
-                    out[name] = max(out.get(name, 0), s)
+        for i in range(len(ws)):
+            got = set()
+            for j in range(i + 1, len(ws)):
+                got.add((ws[j - 1], ws[j]))
+                s = 2 * len(got & want) / (len(got) + len(want))
+                if s >= least and s > out.get(t, (0,))[0]:
+                    out[t] = (s, i, j)
     return out
 
 
+@given(st.lists(st.sampled_from("a b c d e".split()), max_size=40), st.lists(st.lists(st.sampled_from("a b c d e".split()), min_size=2, max_size=6), min_size=1, max_size=3), st.sampled_from([0.5, 0.8, 1.0]))
+@settings(max_examples=150, deadline=None)
+def test_license_windows(ws, templates, least):
+    templates = [(str(i), " ".join(t)) for i, t in enumerate(templates)]
+    text = ", ".join(ws)
+    s = L.Scanner(templates, least)
+    want = best_windows(ws, templates, least)
+    able = s.possible(pa.array([text])).get(0, [])
+    assert set(want) <= set(able)
+    got = {m.template: m for m in s.scan(text, able)}
+    assert {t: m.score for t, m in got.items()} == {t: pytest.approx(v[0]) for t, v in want.items()}
+    for t, m in got.items():  # the span has that score, and starts as early as any
+        cut, two = L.bigrams(L.words(text[m.start : m.end])), L.bigrams(L.words(templates[t][1]))
+        assert 2 * len(cut & two) / (len(cut) + len(two)) == pytest.approx(m.score)
+
+
 def test_license_query(spark, small):
     got = {r["doc_id"]: r for r in L.op9_licenses(spark, small).collect()}
     seen = 0
-    for r in read(spark, small).limit(120).collect():
-        want = plain_licenses(r["text"]) if len(r["text"] or "") < 4000 else None
-        if want is None:
-            continue
+    for r in read(spark, small).where("length(text) < 1500").limit(60).collect():
+        best = best_windows(L.words(r["text"]), L.TEMPLATES, L.LEAST)
+        want = {}
+        for t, (score, _, _) in best.items():
+            name = L.TEMPLATES[t][0]
+            want[name] = max(want.get(name, 0), score)
         g = got[r["doc_id"]]
         assert (g["n_licenses"] > 0) == bool(want)
         if want:
@@ -256,6 +323,22 @@ def test_license_query(spark, small):
     assert seen
 
 
+@pytest.mark.parametrize("line", ["All rights reserved.\n", "all rights are reserved here\n", "Licensed under the terms of the license\n", "- - -\n", "under the "])
+def test_license_time_goes_with_length(line):
+    scanner = L.Scanner(L.TEMPLATES)
+    text = line * (1_000_000 // len(line))
+    began = time.time()
+    found = scanner.scan(text, list(range(len(L.TEMPLATES))))
+    assert time.time() - began < 60
+    assert ("Proprietary" in {m.license for m in found}) == ("rights reserved" in line)
+
+
+def test_license_inside_a_sentence():
+    text = "This file is released under the MIT License (see LICENSE for details)."
+    (m,) = L.strongest(L.Scanner(L.TEMPLATES).scan(text, list(range(len(L.TEMPLATES)))))
+    assert (m.license, m.score, text[m.start : m.end]) == ("MIT", 1.0, "released under the MIT License")
+
+
 def test_license_wordings(spark, odd, none):
     texts = [f"Some words.\n{t.upper()}\nMore words here." for _, t in L.TEMPLATES] + ["Licensed under the MIT", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -84,8 +84,9 @@ def parse(buf: np.ndarray, offs: np.ndarray, length: int, trigger: int) -> tuple
     return first, count, h[at], whole
 
 
-#: how phrases travel: columns one after the other
-_FIELDS = (("trigger", "<u8"), ("phrase", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("count", "<u2"))
+#: how phrases travel: columns one after the other; a row's place in the corpus is its
+#: doc_id and, where ids repeat, a hash of its text
+_FIELDS = (("trigger", "<u8"), ("phrase", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("count", "<u2"))
 
 
 def _pack(columns: dict[str, np.ndarray]) -> bytes:
@@ -106,31 +107,32 @@ def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
 def _ordered(c: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Phrases by trigger, phrase and corpus order; which open a group of equal ones;
     and which are the same place as that first (repeated rows)."""
-    order = np.lexsort((c["start"], c["doc"], c["phrase"], c["trigger"]))
+    order = np.lexsort((c["start"], c["tag"], c["doc"], c["phrase"], c["trigger"]))
     c = {n: x[order] for n, x in c.items()}
     head = np.ones(len(order), bool)
     head[1:] = (c["phrase"][1:] != c["phrase"][:-1]) | (c["trigger"][1:] != c["trigger"][:-1])
     group = np.cumsum(head) - 1
     top = np.flatnonzero(head)
-    same = (c["doc"] == c["doc"][top][group]) & (c["start"] == c["start"][top][group]) if len(order) else head
+    same = np.all([c[n] == c[n][top][group] for n in ("doc", "tag", "start")], axis=0) if len(order) else head
     return c, head, same
 
 
-REMOVED = "place long, starts array<long>"  # start << 16 | count
+FOUND = "kind int, place long, tag long, starts array<long>, triggers array<long>"  # start << 16 | count
 KIND_SENT, KIND_REMOVED, KIND_OPEN, KIND_CROWDED = 0, 1, 2, 3
 
 
 def _by_doc(kind: int, c: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """Rows (kind, place, list of coded starts with their triggers) per document."""
-    order = np.lexsort((c["start"], c["doc"]))
-    doc = c["doc"][order]
+    """Rows (kind, place, tag, list of coded starts with their triggers) per text."""
+    order = np.lexsort((c["start"], c["tag"], c["doc"]))
+    doc, tag = c["doc"][order], c["tag"][order]
     code = (c["start"][order].astype(np.int64) << 16) | c["count"][order].astype(np.int64)
-    edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))) if len(doc) else np.zeros(0, np.int64)
     offs = np.append(edge, len(doc)).astype(np.int32)
     lists = lambda x: pa.ListArray.from_arrays(pa.array(offs), pa.array(x, pa.int64()))
     n = len(edge)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.array(doc[edge], pa.int64()), lists(code), lists(c["trigger"][order].view(np.int64))], names=["kind", "place", "starts", "triggers"]
+        [pa.array(np.full(n, kind, np.int32)), pa.array(doc[edge], pa.int64()), pa.array(tag[edge], pa.int64()), lists(code), lists(c["trigger"][order].view(np.int64))],
+        names=["kind", "place", "tag", "starts", "triggers"],
     )
 
 
@@ -145,18 +147,21 @@ def _parser(parts: int, length: int, trigger: int):
             gone = _by_doc(KIND_REMOVED, {n: x[~same] for n, x in c.items()})
             if gone.num_rows:
                 n = gone.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), gone.column("place"), gone.column("starts"), pa.nulls(n, pa.binary())], names=["part", "place", "starts", "blob"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, -1, np.int32)), gone.column("place"), gone.column("tag"), gone.column("starts"), pa.nulls(n, pa.binary())], names=["part", "place", "tag", "starts", "blob"]
+                )
             # of repeated rows the first place is sent once
             c = {n: x[head] for n, x in c.items()}
             part = (c["trigger"] % U64(parts)).astype(np.int64)
-            order = np.lexsort((c["start"], c["doc"], part))
+            order = np.lexsort((c["start"], c["tag"], c["doc"], part))
             c, part = {n: x[order] for n, x in c.items()}, part[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
             used = np.flatnonzero(np.diff(cuts))
             blobs = [_pack({n: x[cuts[i] : cuts[i + 1]] for n, x in c.items()}) for i in used]
             n = len(used)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["part", "place", "starts", "blob"]
+                [pa.array(used.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(blobs, pa.binary())],
+                names=["part", "place", "tag", "starts", "blob"],
             )
 
         for whole in batches:
@@ -164,8 +169,8 @@ def _parser(parts: int, length: int, trigger: int):
                 buf, offs = K.text_bytes(batch.column("text"))
                 first, count, trig, phrase = parse(buf, offs, length, trigger)
                 row = np.searchsorted(offs, first, side="right") - 1
-                ids = batch.column("place").to_numpy(zero_copy_only=False)
-                held.append({"trigger": trig, "phrase": phrase, "doc": ids[row].astype(np.int64), "start": (first - offs[row]).astype(np.int64), "count": count})
+                ids, tags = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("place", "tag"))
+                held.append({"trigger": trig, "phrase": phrase, "doc": ids[row], "tag": tags[row], "start": (first - offs[row]).astype(np.int64), "count": count})
                 if sum(len(x["doc"]) for x in held) >= FLUSH:
                     yield from flush()
         if held:
@@ -203,8 +208,8 @@ def _fetch(parts: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in K.slices(whole, "text"):
-                out: tuple[list, ...] = ([], [], [], [])
-                for place, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("place", "text", "wanted")), strict=True):
+                out: tuple[list, ...] = ([], [], [], [], [])
+                for place, tag, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("place", "tag", "text", "wanted")), strict=True):
                     data = text.encode()
                     for w in wanted:
                         for code, trig in zip(w["starts"], w["triggers"], strict=True):
@@ -216,9 +221,9 @@ def _fetch(parts: int, length: int):
                             for key, at, phrase in rows:
                                 if key is None:
                                     key = int.from_bytes(hashlib.blake2b(phrase, digest_size=8).digest(), "little")
-                                for column, value in zip(out, ((key & (2**64 - 1)) % parts, place, at, phrase), strict=True):
+                                for column, value in zip(out, ((key & (2**64 - 1)) % parts, place, tag, at, phrase), strict=True):
                                     column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "place", "start", "phrase"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "place", "tag", "start", "phrase"])
 
     return run
 
@@ -261,11 +266,11 @@ def _settle(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: list[bytes] = []
-        places, starts = [], []
+        at: list[list[np.ndarray]] = [[], [], []]
         for batch in batches:
             phrases += batch.column("phrase").to_pylist()
-            places.append(batch.column("place").to_numpy())
-            starts.append(batch.column("start").to_numpy())
+            for column, name in zip(at, ("place", "tag", "start"), strict=True):
+                column.append(batch.column(name).to_numpy())
         if not phrases:
             return
         data = np.frombuffer(b"".join(phrases), np.uint8)
@@ -275,22 +280,23 @@ def _settle(length: int):
         owner = np.repeat(np.arange(len(sizes)), count)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         rank = suffix_ranks(data, length)[base[owner] + nth]
-        doc, start = np.concatenate(places)[owner], np.concatenate(starts)[owner] + nth
-        order = np.lexsort((start, doc, rank))
-        rank, doc, start = rank[order], doc[order], start[order]
+        doc, tag, start = (np.concatenate(c)[owner] for c in at)
+        start = start + nth
+        order = np.lexsort((start, tag, doc, rank))
+        rank, doc, tag, start = rank[order], doc[order], tag[order], start[order]
         head = np.ones(len(rank), bool)
         head[1:] = rank[1:] != rank[:-1]
         group, top = np.cumsum(head) - 1, np.flatnonzero(head)
-        later = (doc != doc[top][group]) | (start != start[top][group])
-        doc, start = doc[later], start[later]
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
+        later = (doc != doc[top][group]) | (tag != tag[top][group]) | (start != start[top][group])
+        doc, tag, start = doc[later], tag[later], start[later]
+        order = np.lexsort((start, tag, doc))
+        doc, tag, start = doc[order], tag[order], start[order]
         run_ = np.ones(len(doc), bool)
-        run_[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+        run_[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] != start[:-1] + 1)
         run_[:: 1 << 15] = True  # a run's length must fit in 16 bits
         i = np.flatnonzero(run_)
         lengths = np.diff(np.append(i, len(doc)))
-        c = {"doc": doc[i], "start": start[i], "count": lengths, "trigger": np.zeros(len(i), U64)}
+        c = {"doc": doc[i], "tag": tag[i], "start": start[i], "count": lengths, "trigger": np.zeros(len(i), U64)}
         yield _by_doc(KIND_REMOVED, c)
 
     return run
@@ -312,30 +318,33 @@ def covered(n: int, codes: list[int], length: int) -> list[tuple[int, int]]:
 def removal(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, crowded: int = CROWDED) -> DataFrame:
     """``docs(doc_id, text, ...)`` to ``doc_id, text, spans``: the byte runs to remove.
 
-    One row per row.  Null and empty texts, and texts shorter than ``length``,
-    lose nothing.  Rows without an id come before all others in corpus order.
-    Repeated rows (one doc_id) are one place in the corpus: none makes another
-    lose bytes, and all lose the same.
+    One row per row, none for an empty table.  Null and empty texts, and texts shorter
+    than ``length``, lose nothing; texts are read whole, however long.  Rows without
+    an id come before all others in corpus order.  Repeated rows (one doc_id and one
+    text) are one place in the corpus: none makes another lose bytes, and all lose
+    the same.  Different texts under one id, or without one, follow each other in the
+    order of a hash of theirs.  Other columns are not read.
     """
     if not 1 <= trigger <= length <= 60_000:
         raise ValueError("the trigger must fit in the strings, and their length in 16 bits")
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+    base = base.withColumn("tag", F.xxhash64("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_width(spark), -(-size // PART_BYTES))
 
-    parsed = pin(base.mapInArrow(_parser(parts, length, trigger), "part int, place long, starts array<long>, blob binary"), "phrases")
-    early = parsed.where("part < 0").select("place", "starts")
+    parsed = pin(base.mapInArrow(_parser(parts, length, trigger), "part int, place long, tag long, starts array<long>, blob binary"), "phrases")
+    early = parsed.where("part < 0").select("place", "tag", "starts")
     met = parsed.where("part >= 0").select("part", "blob").repartitionById(parts, F.col("part"))
-    met = pin(met.mapInArrow(_meet(crowded), "kind int, place long, starts array<long>, triggers array<long>"), "met")
+    met = pin(met.mapInArrow(_meet(crowded), FOUND), "met")
 
-    wanted = met.where(F.col("kind") >= KIND_OPEN).groupBy("place").agg(F.collect_list(F.struct("kind", "starts", "triggers")).alias("wanted"))
-    phrases = base.join(wanted, "place").mapInArrow(_fetch(DICTIONARY_PARTS * parts, length), "part int, place long, start long, phrase binary")
-    late = phrases.repartitionById(DICTIONARY_PARTS * parts, F.col("part")).mapInArrow(_settle(length), "kind int, place long, starts array<long>, triggers array<long>")
+    wanted = met.where(F.col("kind") >= KIND_OPEN).groupBy("place", "tag").agg(F.collect_list(F.struct("kind", "starts", "triggers")).alias("wanted"))
+    phrases = base.join(wanted, ["place", "tag"]).mapInArrow(_fetch(DICTIONARY_PARTS * parts, length), "part int, place long, tag long, start long, phrase binary")
+    late = phrases.repartitionById(DICTIONARY_PARTS * parts, F.col("part")).mapInArrow(_settle(length), FOUND)
 
-    gone = early.unionAll(met.where(F.col("kind") == KIND_REMOVED).select("place", "starts")).unionAll(late.select("place", "starts"))
-    gone = gone.groupBy("place").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    return base.join(gone, "place", "left").withColumn("doc_id", F.when(F.col("place") > NULL_ID, F.col("place"))).select("doc_id", "text", "starts")
+    gone = early.unionAll(met.where(F.col("kind") == KIND_REMOVED).select("place", "tag", "starts")).unionAll(late.select("place", "tag", "starts"))
+    gone = gone.groupBy("place", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return base.join(gone, ["place", "tag"], "left").withColumn("doc_id", F.when(F.col("place") > NULL_ID, F.col("place"))).select("doc_id", "text", "starts")
 
 
 def _digest(length: int):
@@ -359,5 +368,7 @@ def _digest(length: int):
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of ``removal`` over the whole documents table, 100 bytes;
+    nulls, repeated ids and ties as there."""
     found = removal(table(spark, sf_dir, "documents"))
     return found.mapInArrow(_digest(LENGTH), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
