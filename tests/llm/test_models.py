@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import duckdb
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackforge.llm import langid, packing, quality, urlrules
+from trackforge.llm.sampling import per_class
 
 SF = "/root/testdata/sf0.01"
 
@@ -45,6 +47,47 @@ def test_gradients():
         model.p[name][at] = old
 
 
+def test_forward_pass_by_a_plain_loop():
+    model, rng = quality.Model(), np.random.default_rng(1)
+    x, first = passages_of(["short", "A long text. " * 200, "", "x1 y2\n" * 300])
+    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 0.02
+    for k in model.p:
+        model.p[k] = (model.p[k] + rng.normal(0, 0.1, model.p[k].shape)).astype(np.float32)
+    p, got = model.p, model.forward(x, first)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for d, (a, b) in enumerate(zip(first, [*first[1:], len(x)], strict=True)):
+        codes, weights = [], []
+        for row in x[a:b]:
+            z = [(v - m) / s for v, m, s in zip(row, model.mean, model.scale, strict=True)]
+            h = [math.tanh(sum(z[i] * p["enc"][i, j] for i in range(len(z))) + p["enc0"][j]) for j in range(quality.HIDDEN)]
+            dot = lambda w, w0, j: sum(h[i] * p[w][i, j] for i in range(len(h))) + p[w0][j]
+            gated = [math.tanh(dot("v", "v0", j)) * sigmoid(dot("u", "u0", j)) for j in range(quality.ATTENTION)]
+            codes.append(h)
+            weights.append(math.exp(sum(g * w for g, w in zip(gated, p["w"][:, 0], strict=True))))
+        mean = [sum(w * h[j] for w, h in zip(weights, codes, strict=True)) / sum(weights) for j in range(quality.HIDDEN)]
+        want = sigmoid(sum(m * w for m, w in zip(mean, p["out"][:, 0], strict=True)) + p["out0"][0])
+        assert got[d] == pytest.approx(want, rel=1e-3)
+
+
+def passages_of(texts):
+    return quality.passages(pa.array(texts))
+
+
+def test_training_sees_every_passage(spark):
+    """One bad passage in long texts, at any place, tells the labels."""
+    rng, rows, labels = np.random.default_rng(2), [], []
+    for i in range(160):
+        parts = ["some good plain words here and there. " * 13] * 60
+        if i % 2:
+            parts[rng.integers(60)] = "#$%& 1|2 ## $$ %% 77 && " * 21
+        rows.append((i, "".join(parts)))
+        labels.append((i, 1 - i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.train(docs.where("doc_id < 120"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs.where("doc_id >= 120"), model).collect()}
+    assert all((s >= 0.5) == (i % 2 == 0) for i, s in got.items())
+
+
 def test_quality_odd(spark, odd, crowded, none):
     labels = spark.createDataFrame([(4, 1), (6, 1), (7, 0), (8, 0), (8, None), (99, 5)], "doc_id long, quality int")
     model = quality.train(odd, labels)
@@ -93,6 +136,65 @@ def test_language_learns_from_whole_texts(spark):
     assert names == ["a", "b"] and min(score) > 0.8
 
 
+def test_scores_by_a_plain_loop():
+    """One n-gram after the other, from the embedding table's folded scores."""
+    texts = ["Le chat dort. ", "the cat sleeps", "il dort, le chat!", "a cat, the cat"] * 30
+    model = langid.fit(texts, ["fr", "en", "fr", "en"] * 30)
+    for text in ["le cat 7 dort", "the", "été là", "x y"]:
+        plain = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in text.encode())
+        total, n = [0.0, 0.0], 0
+        for size in langid.GRAMS:
+            for i in range(len(plain) - size + 1):
+                g = plain[i : i + size]
+                if g[:2] == b"  ":
+                    continue
+                code = (int.from_bytes(g, "little") + (size << 40)) & (2**64 - 1)
+                cell = int(langid.K.mix(np.array([code], np.uint64))[0]) >> 49
+                n += 1
+                for c in (0, 1):
+                    total[c] += float(model.scores[cell, c])
+        z = [(total[c] / n + model.bias[c]) / model.temperature for c in (0, 1)]
+        p = [math.exp(v) / sum(map(math.exp, z)) for v in z]
+        names, score, _ = model.predict(pa.array([text]))
+        assert names[0] == model.languages[p.index(max(p))] and score[0] == pytest.approx(max(p), rel=1e-5)
+
+
+def test_strange_texts_are_rejected_and_mixed_ones_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs.where("lang <> 'de'"))
+    rng = np.random.default_rng(3)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 400)) for _ in range(50)]
+    text = lambda lang: [r["text"] for r in docs.where(f"lang = '{lang}' and n_chars between 600 and 3000").limit(40).collect()]
+    unseen, en, fr = text("de"), text("en"), text("fr")
+    assert model.predict(pa.array(noise))[2].all()
+    assert model.predict(pa.array(unseen))[2].mean() > 0.9
+    mixed = [a[:500] + "\n" + b[:500] for a, b in zip(en, fr, strict=False)]
+    assert not model.predict(pa.array(en + fr + mixed))[2].any()
+
+
+def test_stage_rejects_and_judges_what_it_did_not_learn(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = np.random.default_rng(4)
+    noise = [(10_000 + i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 300)), None, "x", 300) for i in range(20)]
+    learned = []
+    train = langid.train
+    monkeypatch.setattr(langid, "train", lambda d: learned.append({r["doc_id"] for r in d.collect()}) or train(d))
+    kept = {r["doc_id"] for r in langid.keep_identified(docs.unionAll(spark.createDataFrame(noise, docs.schema))).collect()}
+    assert not any(i >= 10_000 for i in kept)
+    assert len(kept) >= 0.99 * docs.count()
+    assert not learned[0] & learned[1] and len(learned[0] | learned[1]) == docs.count() + 20
+
+
+def test_samples_are_bounded(spark):
+    rows = spark.range(4000).selectExpr("id", "cast(id % 4 as string) lang")
+    assert 350 < per_class(rows, "lang", "id", 100).count() < 450
+    assert 30 < per_class(rows, "lang", "id", 100, 40).count() < 55
+    assert per_class(rows, "lang", "id", 1000).count() == 4000
+    assert per_class(rows.limit(0), "lang", "id", 10).count() == 0
+    with pytest.raises(ValueError, match="different values"):
+        per_class(spark.range(5000), "id", "id", 1)
+
+
 # ---- packing
 
 
@@ -148,6 +250,12 @@ def test_encoder_equals_tokenizers(spark):
     assert [e.encode(t).tolist() for t in texts] == want
 
 
+@pytest.mark.parametrize("text", [" " * 3_000_000 + "x", "\n" * 1_100_000, "a b " * 500_000 + "\t" * 1_200_000 + " z"])
+def test_encoder_on_long_white_space(text):
+    e = packing.Encoder(packing.public_tokenizer())
+    assert e.encode(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def check_packed(rows, capacity=2048):
     at = {}
     for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):

@@ -5,8 +5,13 @@ everything else one space); a linear layer and a softmax give the language.
 Embeddings and layer are trained by stochastic gradient descent in numpy on a
 bounded sample of rows (``SAMPLE`` texts per language).  Of each the whole text
 and shorter snippets count: executors turn them into n-gram counts, of which at
-most ``BUCKETS`` reach the driver, however long the text.  A held-back part of
-the sample sets the temperature and the rejection limit.
+most ``BUCKETS`` reach the driver, however long the text.
+
+A text is rejected for being unlike all that was learned, not for being torn between
+languages: its familiarity is the mean log share of its n-grams in the training
+texts of all languages together, so a text in two of them is as familiar as its
+parts.  A held-back part of the sample sets the temperature, and for each size of
+text the familiarity under which only ``REJECT_SHARE`` of its texts lie.
 
 As the text vector is a mean, embedding and layer fold into one table of
 n-gram scores, and whole texts are scored by summing table rows.
@@ -31,10 +36,10 @@ from .shared import doc_crc, table
 BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 DIM = 16
-SAMPLE = 800
+SAMPLE = 900  # rows per language
+MOST_ROWS = 14_400  # of all languages together: beyond 16 languages each has fewer
 EPOCHS = 4
-REJECT_SHARE = 0.001  # of the calibration texts that are named rightly
-ABOVE_CHANCE = 0.2  # a probability this far from chance to certainty is never rejected: mixed texts stay
+REJECT_SHARE = 0.001  # of the calibration texts of a size
 UNKNOWN = "und"
 
 _PLAIN = np.full(256, 0x20, np.uint8)
@@ -63,20 +68,23 @@ class Model:
     scores: np.ndarray  # (BUCKETS + 1) x languages
     bias: np.ndarray
     temperature: float
-    reject_under: float
+    familiar: np.ndarray  # log share of each bucket in training
+    limits: np.ndarray  # least familiarity by the binary logarithm of the number of n-grams
 
-    def logits(self, column: pa.Array) -> np.ndarray:
+    def measure(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, familiarity and number of n-grams of each text."""
         buf, offs = K.text_bytes(column)
         out = np.zeros((len(column), len(self.languages)), np.float64)
+        known, count = np.zeros(len(column)), np.zeros(len(column))
         some = np.flatnonzero(np.diff(offs))
         if len(some):
-            count = np.zeros(len(some))
             for h in grams(buf, offs):
-                count += np.add.reduceat((h < BUCKETS).astype(np.int64), offs[some])
+                count[some] += np.add.reduceat((h < BUCKETS).astype(np.int64), offs[some])
+                known[some] += np.add.reduceat(self.familiar[h], offs[some], dtype=np.float64)
                 for c in range(len(self.languages)):
                     out[some, c] += np.add.reduceat(self.scores[:, c][h], offs[some], dtype=np.float64)
-            out[some] /= np.maximum(count, 1)[:, None]
-        return (out + self.bias) / self.temperature
+        out /= np.maximum(count, 1)[:, None]
+        return (out + self.bias) / self.temperature, known / np.maximum(count, 1), count
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, probability and whether it is rejected, for each text."""
@@ -84,11 +92,35 @@ class Model:
         lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        p = softmax(self.logits(column))
+        logits, known, count = self.measure(column)
+        p = softmax(logits)
         best = p.argmax(axis=1)
         score = np.where(lettered, p[np.arange(len(p)), best], 0.0)
         names = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-        return names, score, ~lettered | (score < self.reject_under)
+        strange = (count > 0) & (known < self.limits[sizes(count)])
+        return names, score, ~lettered | strange
+
+
+SIZES = 40
+
+
+def sizes(count: np.ndarray) -> np.ndarray:
+    """Size class of texts by their number of n-grams."""
+    return np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), SIZES - 1)
+
+
+def _limits(known: np.ndarray, count: np.ndarray, least: int = 200) -> np.ndarray:
+    """The rejection limit of each size class, from calibration texts of about that size;
+    classes with fewer than ``least`` of those take the limit of the class below."""
+    out, kind = np.full(SIZES, -np.inf), sizes(count)
+    for k in range(SIZES):
+        near = known[np.abs(kind - k) <= 1]
+        out[k] = np.quantile(near, REJECT_SHARE) if len(near) >= least else out[k - 1] if k else -np.inf
+    return out
+
+
+def _untaught() -> Model:
+    return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, np.zeros(BUCKETS + 1), np.full(SIZES, -np.inf))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -137,7 +169,7 @@ def learn(bags: list[list[Bag]], labels: list[str], seed: int = 7) -> Model:
     """As ``fit``, of the bags of each text and its snippets."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 1.0)
+        return _untaught()
     rng = np.random.default_rng(seed)
     number = {name: i for i, name in enumerate(languages)}
     items, y, held = [], [], []
@@ -149,7 +181,7 @@ def learn(bags: list[list[Bag]], labels: list[str], seed: int = 7) -> Model:
                 held.append(i % 4 == 3)
     y, held = np.array(y, np.int64), np.array(held, bool)
     if not len(y):
-        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 1.0)
+        return _untaught()
     train = np.flatnonzero(~held) if (~held).any() else np.arange(len(y))
     emb = rng.normal(0, 1 / DIM, (BUCKETS + 1, DIM)).astype(np.float32)
     emb[BUCKETS] = 0
@@ -180,12 +212,14 @@ def learn(bags: list[list[Bag]], labels: list[str], seed: int = 7) -> Model:
     raw = np.stack([items[i].share() @ scores[items[i].cells] for i in check]).astype(np.float64) + bias
     loss = lambda t: -np.log(softmax(raw / t)[np.arange(len(check)), y[check]] + 1e-12).mean()
     temperature = min(np.geomspace(0.2, 5, 33), key=loss)
-    p = softmax(raw / temperature)
-    right = p.argmax(axis=1) == y[check]
-    limit = float(np.quantile(p.max(axis=1)[right], REJECT_SHARE)) if right.any() else 0.0
-    chance = 1 / len(languages)
-    most = chance + ABOVE_CHANCE * (1 - chance)
-    return Model(languages, scores, bias.astype(np.float64), float(temperature), min(limit, most))
+    seen = np.zeros(BUCKETS + 1)
+    for i in train:
+        seen[items[i].cells] += items[i].counts
+    familiar = np.log((seen + 1) / (seen.sum() + BUCKETS))
+    familiar[BUCKETS] = 0
+    known = np.array([items[i].share() @ familiar[items[i].cells] for i in check])
+    limits = _limits(known, np.array([items[i].counts.sum() for i in check]))
+    return Model(languages, scores, bias.astype(np.float64), float(temperature), familiar, limits)
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +235,11 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on ``docs(doc_id, text, lang)`` where text and lang are not null."""
-    rows = per_class(docs.where("text is not null and lang is not null").select("doc_id", "lang", "text"), "lang", "doc_id", sample)
+    """Fit on ``docs(doc_id, text, lang)`` where text and lang are not null: about
+    ``sample`` rows of each language, ``MOST_ROWS`` of all, whole texts.  Without such
+    rows the model knows no language and rejects all texts.
+    """
+    rows = per_class(docs.where("text is not null and lang is not null").select("doc_id", "lang", "text"), "lang", "doc_id", sample, MOST_ROWS)
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = rows.mapInArrow(_bags, f"lang string, doc_id {kind}, tag string, nth int, cells binary, counts binary").toPandas()
     # equal rows give equal bags: after the sort a text is a run of rows from nth = 0
@@ -220,8 +257,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs(doc_id, text, ...)`` to ``doc_id, lang_pred, score, rejected``; one row per row.
 
-    ``und`` with score 0, and rejected, where the text is null or has no letter,
-    or where there was nothing to learn from.
+    ``und`` with score 0, and rejected, where the text is null, empty or has no letter,
+    or where there was nothing to learn from.  A null doc_id stays null, repeated rows
+    are judged alike, and of equally likely languages the first by name counts.
+    Texts are scored whole, however long; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -235,6 +274,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``identify`` over the whole documents table, learned from the rows whose
+    crc32(doc_id) mod 5 is not 0; null ids are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = F.pmod(doc_crc(), F.lit(5))
     found = identify(docs, train(docs.where(fold != 0)))
@@ -242,12 +283,30 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, whole, that a model trained on their ``lang`` does not reject."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+    """The rows of ``docs``, whole, whose language is recognised.
+
+    Two models learn from the ``lang`` values of one half of the texts each (by a hash
+    of the text, so copies stay together), and each judges the other half.  Null, empty
+    and letterless texts go; rows without an id or a language are judged like others,
+    and repeated rows stay or go together.  Where a half has nothing to learn from, both
+    halves are judged by the other model; where neither has, all rows go.
+    """
+    names = docs.columns
+    half = next(n for i in range(len(names) + 1) if (n := f"half_{i}") not in {c.lower() for c in names})
+    parted = docs.withColumn(half, F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    models = [train(parted.where(F.col(half) != i)) for i in (0, 1)]
+    models = [m if m.languages else models[1 - i] for i, m in enumerate(models)]
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in K.slices(whole, "text", K.SLICE_BYTES // 2):
-                yield batch.filter(pa.array(~shared.value.predict(batch.column("text"))[2]))
-
-    return docs.mapInArrow(run, docs.schema)
+                mine = batch.column(half).to_numpy()
+                keep = np.zeros(batch.num_rows, bool)
+                for i, model in enumerate(shared.value):
+                    rows = np.flatnonzero(mine == i)
+                    if len(rows):
+                        keep[rows] = ~model.predict(batch.column("text").take(pa.array(rows)))[2]
+                yield batch.select(names).filter(pa.array(keep))
+
+    return parted.mapInArrow(run, docs.schema)

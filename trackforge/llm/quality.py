@@ -5,7 +5,7 @@ from its byte-class bigrams and word statistics; a gated attention layer (Ilse,
 Tomczak and Welling, 2018) weighs the encoded passages, and the weighted sum is
 scored.  Only document labels are needed: the attention learns which passages
 decide.  Encoder, attention and scorer are trained together in numpy on a
-bounded sample of labelled rows (``SAMPLE`` per label).
+bounded sample of labelled rows (``SAMPLE`` per label), each with all its passages.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from .shared import doc_crc, table
 
 PASSAGE = 512
 SAMPLE = 1500
-TRAIN_PASSAGES = 48  # of a training document, evenly spread; scoring takes all
 HIDDEN, ATTENTION = 24, 12
 EPOCHS = 40
 
@@ -149,6 +148,10 @@ def fit(bags: list[np.ndarray], target: np.ndarray, seed: int = 5) -> Model:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, quality)`` of 0 or 1.
 
+    Other labels and null ones do not count; of different labels of one document the
+    lower counts; rows without an id have none; several rows of one id all count.  With
+    labels of one kind only, or none, all texts get one score.
+
     The sampled labels are about ``sample`` rows for each of the two, whatever the
     input, and so they are sent to all tasks; texts are not shuffled for them.
     """
@@ -160,10 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for whole in batches:
             for batch in K.slices(whole, "text"):
                 x, first = passages(batch.column("text"))
-                out = []
-                for a, b in zip(first, np.append(first[1:], len(x)), strict=True):
-                    pick = np.unique(np.linspace(a, b - 1, min(b - a, TRAIN_PASSAGES)).astype(np.int64))
-                    out.append(x[pick].tobytes())
+                out = [x[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(x)), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.binary())], names=["doc_id", "quality", "x"])
 
     got = rows.selectExpr("cast(doc_id as long) doc_id", "text", "cast(quality as int) quality").mapInArrow(run, "doc_id long, quality int, x binary").toPandas()
@@ -173,7 +173,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs(doc_id, text, ...)`` to ``doc_id, score``; one row per row."""
+    """``docs(doc_id, text, ...)`` to ``doc_id, score``; one row per row.
+
+    Null and empty texts are one passage without content; repeated rows get equal
+    scores; a null doc_id stays null; an empty table gives no rows.  Every passage
+    of a text counts, however long it is.  Other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +192,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score`` of the whole documents table, learned from labels whose crc32(doc_id)
+    mod 3 is not 1; null ids are not held out."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fold = F.pmod(doc_crc(), F.lit(3))
     model = train(docs.where(fold != 1), table(spark, sf_dir, "labels").where(fold != 1))
