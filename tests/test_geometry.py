@@ -34,18 +34,27 @@ def test_half_court_and_margin(spark):
     assert one(spark, G.zone_label("x", "y"), G.zone_label("x", "y", margin=0.5), x=-0.3, y=2.0) == (None, "A5")
 
 
-def test_in_court(spark):
-    df = spark.createDataFrame([(4.5, 4.5), (20.0, 20.0), (9.3, 4.5), (None, 1.0)], "x double, y double")
-    assert [r[0] for r in df.select(G.in_court("x", "y", 9.0, 9.0)).collect()] == [True, False, True, False]
+def test_margins_of_the_court(spark):
+    """Edges and corners of a court of 6 x 8 with a margin of a quarter."""
+    cases = {(0.0, 0.0): True, (-0.25, 8.25): True, (6.25, -0.25): True, (-0.26, 4.0): False, (3.0, 8.26): False, (6.5, 7.0): False, (3.0, None): False, (None, None): False}
+    df = spark.createDataFrame(list(cases), "x double, y double")
+    assert [r[0] for r in df.select(G.in_court("x", "y", 6.0, 8.0, 0.25)).collect()] == list(cases.values())
 
 
-def test_polygon_edges_are_inside(spark):
-    roi = [(float(x), float(y)) for x, y in C.roi_polygon(np.eye(3), 9, 9, 1)]
-    assert roi == [(-2, -2), (11, -2), (11, 11), (-2, 11)]
-    df = spark.createDataFrame([(4.5, 4.5), (10.0, 4.5), (50.0, 50.0), (4.5, 30.0), (11.0, 3.0), (-2.0, -2.0)], "x double, y double")
-    assert [r[0] for r in df.select(G.in_polygon("x", "y", roi)).collect()] == [True, True, False, False, True, True]
-    assert one(spark, G.in_polygon("x", "y", None), x=99.0, y=99.0) == (True,)
-    assert C.roi_polygon(np.array([[1, 0, 0], [2, 0, 0], [0, 0, 1]]), 9, 9, 1) is None
+def test_polygons(spark):
+    """An arrow head: a notch is outside, vertices and edges are inside."""
+    arrow = [(0.0, 0.0), (8.0, 4.0), (0.0, 8.0), (3.0, 4.0)]
+    cases = {(5.0, 4.0): True, (1.0, 4.0): False, (3.0, 4.0): True, (4.0, 2.0): True, (8.0, 4.0): True, (8.1, 4.0): False, (1.5, 2.0): True, (2.0, 7.5): False, (-1.0, 0.0): False}
+    df = spark.createDataFrame(list(cases), "x double, y double")
+    assert [r[0] for r in df.select(G.in_polygon("x", "y", arrow)).collect()] == list(cases.values())
+    assert one(spark, G.in_polygon("x", "y", None), x=-7.0, y=1e9) == (True,)
+
+
+def test_region_of_a_scaled_court():
+    """Twenty pixels a metre, shifted: the court of 6 x 8 and half a metre around it."""
+    h = np.array([[1.0, 0.0, -100.0], [0.0, 1.0, -40.0], [0.0, 0.0, 1.0]])
+    assert C.roi_polygon(h, 6, 8, 20, 0.5) == [(90, 30), (230, 30), (230, 210), (90, 210)]
+    assert C.roi_polygon(np.ones((3, 3)), 6, 8, 20) is None
 
 
 def test_projection_round_trip(spark):
@@ -116,8 +125,24 @@ def test_bodies(spark):
     assert tuple(spark.range(1).select(G.torso_crop(F.lit(0), F.lit(0), F.lit(100), F.lit(200), F.lit(None).cast("array<array<double>>"), F.lit(None).cast("array<double>"), 640, 480)).first()[0]) == (0, 22, 101, 123)
 
 
-def test_words(spark):
-    df = spark.createDataFrame([(85, 45.0), (72, 89.0), (50, None), (20, 600.4)], "s int, t double")
-    got = [tuple(r) for r in df.select(G.verdict("s"), G.spoken_seconds("t")).collect()]
-    assert got == [("excelente", "45s"), ("bueno", "1m 29s"), ("regular", "0s"), ("bajo", "10m 00s")]
-    assert one(spark, *G.render_point("x", "y", 10.0, 5.0), x=1.0, y=17.0) == (15, 15)
+def test_words_at_their_thresholds(spark):
+    marks = [(100, "excelente"), (80, "excelente"), (79, "bueno"), (60, "bueno"), (59, "regular"), (40, "regular"), (39, "bajo"), (0, "bajo")]
+    df = spark.createDataFrame([(n,) for n, _ in marks], "s int")
+    assert [r[0] for r in df.select(G.verdict("s")).collect()] == [w for _, w in marks]
+    times = [(0.0, "0s"), (59.4, "59s"), (59.6, "1m 00s"), (61.0, "1m 01s"), (3725.0, "62m 05s"), (None, "0s")]
+    df = spark.createDataFrame([(t,) for t, _ in times], "t double")
+    assert [r[0] for r in df.select(G.spoken_seconds("t")).collect()] == [w for _, w in times]
+    counts = [(50, "alta"), (49, "media"), (25, "media"), (24, "baja")]
+    df = spark.createDataFrame([(n,) for n, _ in counts], "n int")
+    assert [r[0] for r in df.select(G.reliability("n")).collect()] == [w for _, w in counts]
+    assert one(spark, *G.render_point("x", "y", 12.0, 7.0), x=2.5, y=18.0) == (37, 7)
+
+
+def test_mask_quality_is_the_same_in_both_forms(spark):
+    for solid, fit, share in [(0.9, 0.8, 0.05), (0.9, 0.8, 0.06), (0.5, 1.0, 0.7)]:
+        assert one(spark, G.mask_quality("a", "b", "c"), a=solid, b=fit, c=share) == (pytest.approx(C.mask_quality(solid, fit, share)),)
+
+
+def test_default_corners_are_a_court_from_behind():
+    tl, tr, br, bl = C.default_corners(1000, 500)
+    assert C.order_corners([br, tl, bl, tr]) == [tl, tr, br, bl] and tr[0] - tl[0] < br[0] - bl[0] and tl[1] < bl[1]

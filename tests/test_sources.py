@@ -10,28 +10,51 @@ def put(tmp_path, name, doc):
     return f"file://{tmp_path / name}"
 
 
-RAW = [{"frame": 1, "court_x": 1.0, "court_y": 2.0}]
-BALL = [{"frame": 1, "img_x": 1, "img_y": 2, "court_x": 1, "court_y": 1, "conf": 0.5}]
+def spots(n, x=2.0):
+    return [{"frame": 10 * i, "court_x": x, "court_y": 0.5 * i} for i in range(n)]
 
 
-@pytest.mark.parametrize(
-    ("doc", "track"),
-    [
-        ({"track_samples": [{"id": 3, "samples": RAW}], "tracks": [{"id": 9, "samples": 40}]}, 3),
-        ({"tracks": [{"id": 5, "samples": RAW}]}, 5),
-        ({"track_samples": {"7": RAW}}, 7),
-    ],
-)
-def test_scouting_forms(spark, tmp_path, doc, track):
-    _, balls, samples = S.read_scouting(spark, put(tmp_path, "a.json", {"duration_s": 2.0, "ball_track": BALL, **doc}))
-    assert balls.count() == 1
-    assert [(r["track_id"], r["frame"]) for r in samples.collect()] == [(track, 1)]
+SHOTS = [{"frame": f, "img_x": 3 * f, "img_y": 7, "court_x": 4, "court_y": 9, "conf": 0.25} for f in (4, 8, 12)]
 
 
-@pytest.mark.parametrize("doc", [{"ball_track": BALL, "tracks": [{"id": 1, "samples": 40}]}, {"ball_track": [], "tracks": [{"id": 1, "samples": RAW}]}])
-def test_scouting_errors(spark, tmp_path, doc):
-    with pytest.raises(ValueError, match="no ball track"):
-        S.read_scouting(spark, put(tmp_path, "a.json", doc))
+def read_back(spark, tmp_path, **fields):
+    _, balls, samples = S.read_scouting(spark, put(tmp_path, "doc.json", {"duration_s": 4.5, "ball_track": SHOTS, **fields}))
+    assert [(r["frame"], r["det_id"], r["img_x"]) for r in balls.orderBy("frame").collect()] == [(4, 0, 12.0), (8, 1, 24.0), (12, 2, 36.0)]
+    return sorted((r["track_id"], r["frame"], r["court_y"]) for r in samples.collect())
+
+
+def test_samples_from_a_list_of_tracks(spark, tmp_path):
+    got = read_back(spark, tmp_path, track_samples=[{"id": 21, "samples": spots(2)}, {"id": 22, "samples": spots(1)}, {"id": 23, "samples": []}])
+    assert got == [(21, 0, 0.0), (21, 10, 0.5), (22, 0, 0.0)]
+
+
+def test_samples_from_a_map_by_id(spark, tmp_path):
+    assert read_back(spark, tmp_path, track_samples={"31": spots(1), "40": spots(3)}) == [(31, 0, 0.0), (40, 0, 0.0), (40, 10, 0.5), (40, 20, 1.0)]
+
+
+def test_old_documents_have_samples_in_their_tracks(spark, tmp_path):
+    assert read_back(spark, tmp_path, tracks=[{"id": 8, "samples": spots(2), "side": "A"}]) == [(8, 0, 0.0), (8, 10, 0.5)]
+
+
+def test_samples_win_over_summaries(spark, tmp_path):
+    summary = [{"id": 77, "samples": 512, "reliability": "alta"}]
+    assert read_back(spark, tmp_path, tracks=summary, track_samples=[{"id": 6, "samples": spots(1)}]) == [(6, 0, 0.0)]
+
+
+def test_documents_that_cannot_be_used(spark, tmp_path):
+    whole = {"duration_s": 1, "ball_track": SHOTS, "track_samples": [{"id": 6, "samples": spots(1)}]}
+    for field, value in (("track_samples", [{"id": 6, "samples": 512}]), ("track_samples", None), ("ball_track", []), ("ball_track", None)):
+        with pytest.raises(ValueError, match="no ball track or no raw player samples"):
+            S.read_scouting(spark, put(tmp_path, "doc.json", whole | {field: value}))
+
+
+def test_tables_with_schemas(spark, tmp_path):
+    spark.createDataFrame([(1, 2, 3, None, 0, 1, 1, 2, 2, 0.5, "x")], S.DETECTIONS.replace("x1 double, y1 double, x2 double, y2 double", "x1 int, y1 int, x2 int, y2 int") + ", more string").write.parquet(f"file://{tmp_path}/d")
+    r = S.read_detections(spark, f"file://{tmp_path}/d")
+    assert r.columns[-1] == "conf" and dict(r.dtypes)["x1"] == "double" and r.count() == 1
+    for read in (S.read_shirt_reads, S.read_poses):
+        with pytest.raises(ValueError, match="columns are missing"):
+            read(spark, f"file://{tmp_path}/d")
 
 
 def test_roster(spark, tmp_path):
@@ -47,31 +70,34 @@ def test_ball_csv(spark, tmp_path):
 
 
 def test_calibration_round_trip(spark, tmp_path):
-    S.write_calibration(str(tmp_path / "c.json"), [[1, 0, 0], [0, 1, 0], [0, 0, 1]], [(0, 0), (9, 0), (9, 9), (0, 9)], (9.0, 9.0), 40.0, (720, 1280))
+    S.write_calibration(spark, f"file://{tmp_path}/c.json", [[1, 0, 0], [0, 1, 0], [0, 0, 1]], [(0, 0), (9, 0), (9, 9), (0, 9)], (9.0, 9.0), 40.0, (720, 1280))
     r = S.read_calibration(spark, f"file://{tmp_path / 'c.json'}").first()
     assert (r["court_w"], r["ppm"], r["half_court"], r["frame_w"]) == (9.0, 40.0, True, 1280)
 
 
 def test_cache(spark, tmp_path):
-    runs = []
-
-    def compute():
-        runs.append(1)
-        return spark.createDataFrame([(1, 1.0, 2.0, 3.0, 0.5)], S.RAW_BALL)
-
-    folder = f"file://{tmp_path}/cache"
-    key = {"video": "v", "size": 1, "mtime": 2, "model": "m", "threshold": 0.5}
-    for stride, total in ((1, 1), (1, 1), (2, 2)):
-        assert S.cached(spark, folder, compute, stride=stride, **key).count() == 1
-        assert len(runs) == total
-    S.cached(spark, None, compute, stride=1, **key)
-    assert len(runs) == 3
-    for f in (tmp_path / "cache" / S.signature(stride=1, **key)).glob("part-*"):
-        f.write_bytes(b"broken")
-    for f in (tmp_path / "cache" / S.signature(stride=1, **key)).glob(".part-*"):
-        f.unlink()
-    assert S.cached(spark, folder, compute, stride=1, **key).count() == 1
-    assert len(runs) == 4
+    made = []
+
+    def tracked(folder, **inputs):
+        def compute():
+            made.append(inputs)
+            return spark.createDataFrame([(len(made), 0.5, 0.5, 4.0, 0.9)], S.RAW_BALL)
+
+        return S.cached(spark, folder, compute, **inputs).first()["frame"]
+
+    folder = f"file://{tmp_path}/kept"
+    a = {"clip": "gym.mp4", "every": 3, "least": 0.25}
+    assert [tracked(folder, **a), tracked(folder, **a), tracked(folder, **a | {"every": 4}), tracked(folder, **a)] == [1, 1, 2, 1]
+    assert tracked(folder, **a | {"least": 0.250001}) == 1  # floats count to four digits
+    assert tracked(None, **a) == 3
+    for f in (tmp_path / "kept" / S.signature(**a)).iterdir():
+        if f.name.startswith(".part-"):
+            f.unlink()
+        elif f.name.startswith("part-"):
+            f.write_bytes(b"no parquet")
+    assert [tracked(folder, **a), tracked(folder, **a)] == [4, 4]
+    (tmp_path / "kept" / S.signature(**a) / "_SUCCESS").unlink()
+    assert tracked(folder, **a) == 5
 
 
 def test_foot_points(spark):

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +147,43 @@ def test_find_peaks():
     assert B.find_peaks(np.array([]), 0, 1, 0).tolist() == []
 
 
+def plain_peaks(x, height, distance, prominence):
+    n = len(x)
+    tops = []
+    for i in range(1, n - 1):
+        j = i
+        while j < n - 1 and x[j + 1] == x[i]:
+            j += 1
+        if x[i - 1] < x[i] and j < n - 1 and x[j + 1] < x[i]:
+            tops.append((i + j) // 2)
+    kept = []
+    for p in sorted((p for p in set(tops) if x[p] >= height), key=lambda p: (-x[p], -p)):
+        if all(abs(p - q) >= distance for q in kept):
+            kept.append(p)
+    out = []
+    for p in sorted(kept):
+        a = max([q for q in range(p) if x[q] > x[p]], default=-1)
+        b = min([q for q in range(p + 1, n) if x[q] > x[p]], default=n)
+        if x[p] - max(min(x[a + 1 : p + 1]), min(x[p:b])) >= prominence:
+            out.append(p)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_find_peaks_against_a_loop(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 8, 200).astype(float).tolist()
+    for distance, prominence in ((1, 0), (3, 2), (7, 5)):
+        assert B.find_peaks(np.array(x), 2, distance, prominence).tolist() == plain_peaks(x, 2, distance, prominence)
+
+
+def test_find_peaks_time_goes_with_length():
+    x = np.random.default_rng(1).random(400_000)
+    began = time.time()
+    assert len(B.find_peaks(x, 0.5, 12, 0.1)) > 10_000
+    assert time.time() - began < 20
+
+
 def test_attribution(spark):
     touches = spark.createDataFrame([(0, 0, 50)], "video_id long, touch_id long, frame long")
     players = samples(spark, (1, range(40, 61, 5), (1, 1)), (2, range(40, 61, 5), (8, 8)))

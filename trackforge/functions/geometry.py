@@ -153,7 +153,13 @@ def torso_crop(x1, y1, x2, y2, kp, scores, frame_w: int, frame_h: int, least: fl
     return F.when((w >= 4) & (h >= 4) & (box["x2"] - box["x1"] >= 6) & (box["y2"] - box["y1"] >= 6), box)
 
 
-# ---- words for people
+def mask_quality(solidity, fit, share, least: float = 0.06) -> Column:
+    """How far a court mask can be trusted, from its contour's measures."""
+    share = _c(share)
+    return F.when(share >= least, _c(solidity) * _c(fit) * (F.lit(0.5) + share)).otherwise(0.0)
+
+
+# ---- words for people; these are fixed values
 
 
 def reliability(samples) -> Column:

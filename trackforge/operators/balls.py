@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,6 +55,13 @@ def reconstruct(ball: DataFrame, part: list[str], max_gap: int = 5, width: int =
     return W.smooth(W.fill_gaps(dense, part, values, max_gap), part, values, width)
 
 
+def ball_rate(ball: DataFrame, part: list[str], stride: int = 5) -> DataFrame:
+    """Frames with a ball, evaluated frames (one in ``stride`` up to the last), and
+    their ratio."""
+    r = ball.groupBy(*part).agg(F.count_distinct("frame").alias("ball_frames"), F.greatest(F.lit(1), F.floor(F.max("frame") / stride)).alias("evaluated"))
+    return r.withColumn("rate", F.col("ball_frames") / F.col("evaluated"))
+
+
 def accel_threshold(moves: DataFrame, part: list[str], percentile: float = 0.92) -> DataFrame:
     return moves.where("accel is not null").groupBy(*part).agg(F.percentile("accel", percentile).alias("threshold"), F.count(F.lit(1)).alias("n"))
 
@@ -70,21 +79,27 @@ def find_peaks(signal: np.ndarray, height: float, distance: int, prominence: flo
             peaks.append((i + j) // 2)
         i = j + 1
     peaks = [p for p in peaks if x[p] >= height]
-    kept: list[int] = []
+    kept: list[int] = []  # in order
     for p in sorted(peaks, key=lambda p: (-x[p], -p)):
-        if all(abs(p - q) >= distance for q in kept):
-            kept.append(p)
-    out = []
-    for p in sorted(kept):
-        left = p
-        while left > 0 and x[left - 1] <= x[p]:
-            left -= 1
-        right = p
-        while right < n - 1 and x[right + 1] <= x[p]:
-            right += 1
-        if x[p] - max(x[left : p + 1].min(), x[p : right + 1].min()) >= prominence:
-            out.append(p)
-    return np.array(out, int)
+        i = bisect_left(kept, p)
+        if (i == 0 or p - kept[i - 1] >= distance) and (i == len(kept) or kept[i] - p >= distance):
+            kept.insert(i, p)
+    if not kept:
+        return np.array([], int)
+    low = np.maximum(_least_since_higher(x), _least_since_higher(x[::-1])[::-1])
+    return np.array([p for p in kept if x[p] - low[p] >= prominence], int)
+
+
+def _least_since_higher(x: np.ndarray) -> np.ndarray:
+    """For each place the least value since the last higher one, itself included."""
+    out, stack = np.empty(len(x)), []
+    for i, v in enumerate(x.tolist()):
+        low = v
+        while stack and stack[-1][0] <= v:
+            low = min(low, stack.pop()[1])
+        stack.append((v, low))
+        out[i] = low
+    return out
 
 
 TOUCH = "video_id long, touch_id long, frame long, img_x double, img_y double, accel double, accel_z double"
@@ -115,7 +130,7 @@ def attribute(touches: DataFrame, ball: DataFrame, samples: DataFrame, reach_m:
     within ``reach_m``; of equal distances the track that was first seen wins.
     """
     at = W.nearest_frame(touches, ball, ["video_id"], ["court_x", "court_y"])
-    where = W.asof_position(touches.select("video_id", "touch_id", "frame"), samples, hold_exact=hold_exact)
+    where = W.asof_position(touches.select("video_id", "touch_id", "frame"), samples, hold_exact=hold_exact, near_only=True)
     order = samples.groupBy("video_id", "track_id").agg(F.min(F.struct("frame", "det_id")).alias("seen"))
     pairs = where.where("x is not null").join(order, ["video_id", "track_id"]).join(at.select("video_id", "touch_id", "near_court_x", "near_court_y"), ["video_id", "touch_id"])
     d = F.hypot(F.col("x") - F.col("near_court_x"), F.col("y") - F.col("near_court_y"))
@@ -127,14 +142,15 @@ def attribute(touches: DataFrame, ball: DataFrame, samples: DataFrame, reach_m:
     )
 
 
-def touch_rallies(touches: DataFrame, part: list[str], fps: float, gap_s: float = 3.5) -> DataFrame:
+def touch_rallies(touches: DataFrame, part: list[str], fps: float | Column, gap_s: float = 3.5) -> DataFrame:
     """Touches numbered within rallies; both counts start at 0."""
-    runs = W.frame_islands(touches, part, int(gap_s * fps), "rally_id", order=("frame", "touch_id"))
+    most = (gap_s * fps).cast("int") if isinstance(fps, Column) else int(gap_s * fps)
+    runs = W.frame_islands(touches, part, most, "rally_id", order=("frame", "touch_id"))
     w = Window.partitionBy(*part, "rally_id").orderBy("frame", "touch_id")
     return runs.withColumn("rally_id", F.col("rally_id") - 1).withColumn("seq_in_rally", F.row_number().over(w) - 1)
 
 
-def rally_totals(grouped: DataFrame, part: list[str], fps: float) -> DataFrame:
+def rally_totals(grouped: DataFrame, part: list[str], fps: float | Column) -> DataFrame:
     """One row per touch rally with the touches of each player."""
     keys = [*part, "rally_id"]
     by = grouped.where("track_id is not null").groupBy(*keys, "track_id").agg(F.count(F.lit(1)).alias("n"))

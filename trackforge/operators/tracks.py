@@ -57,31 +57,95 @@ def dominant_zone(df: DataFrame, zone: Column, part: list[str]) -> DataFrame:
     return zone_profile(df, zone, part).where("place = 1").select(*part, F.col("zone").alias("dominant_zone"))
 
 
-def summarise(samples: DataFrame, part: list[str], fps: float, court_h: float = 18.0, half: bool = False) -> DataFrame:
-    """One row per track: samples, span, distance, speed, side, mean position."""
+def track_stats(samples: DataFrame, part: list[str], fps: float, court_h: float = 18.0, half: bool = False) -> DataFrame:
+    """One row per track: samples, seconds, metres, side and sums of positions."""
     steps = W.step_length(samples, part, ["frame", "det_id"])
     t = steps.groupBy(*part).agg(
         F.count(F.lit(1)).alias("samples"),
-        ((F.max("frame") - F.min("frame")) / fps).alias("_span"),
-        F.coalesce(F.sum("step"), F.lit(0.0)).alias("_dist"),
+        ((F.max("frame") - F.min("frame")) / fps).alias("span"),
+        F.coalesce(F.sum("step"), F.lit(0.0)).alias("distance"),
         F.median("court_y").alias("_mid"),
-        F.avg("court_x").alias("_x"),
-        F.avg("court_y").alias("_y"),
+        F.sum("court_x").alias("sum_x"),
+        F.sum("court_y").alias("sum_y"),
     )
     side = F.lit("A") if half else F.when(F.col("_mid") <= court_h / 2, "A").otherwise("B")
-    return t.select(
+    speed = F.when(F.col("span") > 0, F.try_divide("distance", "span"))
+    return t.withColumns({"reliability": G.reliability("samples"), "speed": speed, "side": side}).drop("_mid")
+
+
+def summarise(samples: DataFrame, part: list[str], fps: float, court_h: float = 18.0, half: bool = False) -> DataFrame:
+    """``track_stats`` with the names and digits of the scouting document."""
+    return track_stats(samples, part, fps, court_h, half).select(
         *part,
         "samples",
-        F.bround("_span", 1).alias("seconds_tracked"),
-        G.reliability("samples").alias("reliability"),
-        F.bround("_dist", 1).alias("distance_m"),
-        F.when(F.col("_span") > 0, F.bround(F.try_divide("_dist", "_span"), 2)).alias("avg_speed_m_per_s"),
-        side.alias("side"),
-        F.bround("_x", 2).alias("avg_x_m"),
-        F.bround("_y", 2).alias("avg_y_m"),
+        F.bround("span", 1).alias("seconds_tracked"),
+        "reliability",
+        F.bround("distance", 1).alias("distance_m"),
+        F.bround("speed", 2).alias("avg_speed_m_per_s"),
+        "side",
+        F.bround(F.col("sum_x") / F.col("samples"), 2).alias("avg_x_m"),
+        F.bround(F.col("sum_y") / F.col("samples"), 2).alias("avg_y_m"),
     )
 
 
+# ---- choices and distributions
+
+
+def frame_scores(det: DataFrame, least: float) -> DataFrame:
+    """How many sure detections each frame has, and how sure they are."""
+    return det.where(F.col("conf") >= least).groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("mean"))
+
+
+def _top(df: DataFrame, score: str) -> DataFrame:
+    """The row of each video with the highest score; the first frame of equal ones."""
+    best = df.groupBy("video_id").agg(F.max(F.struct(score, (-F.col("frame")).alias("_f"))).alias("b"))
+    return best.select("video_id", (-F.col("b._f")).alias("frame"), F.col(f"b.{score}").alias(score))
+
+
+def best_frame(det: DataFrame, least: float = 0.5) -> DataFrame:
+    """The frame to calibrate on: most points, then surest."""
+    return _top(frame_scores(det, least).withColumn("score", F.round(F.col("n") + F.col("mean"), 6)), "score")
+
+
+def fullest_frame(det: DataFrame, least: float = 0.3) -> DataFrame:
+    """The frame with most sure detections."""
+    return _top(frame_scores(det, least), "n")
+
+
+def best_mask(masks: DataFrame, score: Column) -> DataFrame:
+    """The mask of each video with the highest score; earlier ones of equal."""
+    best = masks.withColumn("score", score).groupBy("video_id").agg(F.min(F.struct((-F.col("score")).alias("_s"), "frame", "det_id", "score")).alias("b"))
+    return best.select("video_id", "b.frame", "b.score")
+
+
+def density_grid(det: DataFrame, cell: int, weight: Column, percentile: float = 0.75) -> DataFrame:
+    """Weights in square cells of the picture, with their percentile in the video."""
+    g = det.groupBy("video_id", F.floor(F.col("img_x") / cell).alias("gx"), F.floor(F.col("img_y") / cell).alias("gy")).agg(F.sum(weight).alias("weight"))
+    p = g.groupBy("video_id").agg(F.percentile("weight", percentile).alias("threshold"))
+    return g.join(p, "video_id").select("video_id", "gx", "gy", "weight", "threshold")
+
+
+def by_half(samples: DataFrame, part: list[str], half_frame: int, least: int = 5) -> DataFrame:
+    """Samples of each track in each half of the video, where there are enough."""
+    h = F.when(F.col("frame") < half_frame, 1).otherwise(2).alias("half")
+    return samples.groupBy(*part, h).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def zone_order(visits: DataFrame) -> DataFrame:
+    """``visits(zone, visits)`` with their share of the fullest zone and their place on
+    the display, front row first."""
+    place = F.array_position(F.array(*map(F.lit, (4, 3, 2, 5, 6, 1))), F.right("zone", F.lit(1)).cast("int")).cast("int")
+    top = visits.agg(F.max("visits").alias("_top"), F.lit(1).alias("_one"))
+    both = visits.withColumn("_one", F.lit(1)).join(top, "_one")
+    return both.select("zone", "visits", (F.col("visits") / F.col("_top")).alias("share"), place.alias("place"))
+
+
+def first_frames(det: DataFrame, most: int) -> DataFrame:
+    """Detections of the first ``most`` frames of each video."""
+    start = det.groupBy("video_id").agg(F.min("frame").alias("_start"))
+    return det.join(start, "video_id").where(F.col("frame") < F.col("_start") + most).drop("_start")
+
+
 # ---- stitching
 
 
@@ -177,8 +241,10 @@ def quality(tracks: DataFrame, zones: DataFrame, ball_frames: int | Column, reje
     each track, ``zones(visits)`` the visits of each zone."""
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     most = 6 if half else 12
-    ranked = tracks.select("n", F.row_number().over(Window.orderBy(F.desc("n"))).alias("k"))  # tens of tracks
-    t = ranked.agg(F.count(F.lit(1)).alias("n_tracks"), F.coalesce(F.sum("n"), F.lit(0)).alias("kept"), F.avg(F.when(F.col("k") <= most, F.col("n"))).alias("top"))
+    one = F.lit(1).alias("_one")
+    top = tracks.orderBy(F.desc("n")).limit(most).agg(F.avg("n").alias("top"))
+    t = tracks.agg(F.count(F.lit(1)).alias("n_tracks"), F.coalesce(F.sum("n"), F.lit(0)).alias("kept"))
+    t = t.select("*", one).join(top.select("*", one), "_one").drop("_one")
     z = zones.agg(F.count_if(F.col("visits") > 3).alias("n_zones"))
     n = F.col("n_tracks")
     rate = lit(ball_frames) / F.greatest(lit(evaluated if evaluated is not None else samples), F.lit(1))
@@ -186,7 +252,6 @@ def quality(tracks: DataFrame, zones: DataFrame, ball_frames: int | Column, reje
     persist = F.least(F.lit(1.0), F.col("top") / lit(samples) / 0.5)
     consol = F.greatest(F.lit(0.0), 1 - F.abs(n - most) / most)
     steady = F.bround(10 * (0.5 * persist + 0.5 * consol), 0).cast("int")
-    one = F.lit(1).alias("_one")
     row = t.select("*", one).join(z.select("*", one), "_one").select(
         F.bround(30 * F.least(n, F.lit(most)) / F.greatest(n, F.lit(most)), 0).cast("int").alias("tracks_pts"),
         F.least(F.lit(25), (F.col("n_zones") / most * 25).cast("int")).alias("zones_pts"),

@@ -99,7 +99,23 @@ def nearest_frame(left: DataFrame, right: DataFrame, part: list[str], values: li
     return out.select(*left.columns, F.col("hit.near_frame").alias("near_frame"), *(F.col(f"hit.near.{v}").alias(f"near_{v}") for v in values))
 
 
-def asof_position(moments: DataFrame, samples: DataFrame, most: int = 30, hold_exact: bool = False) -> DataFrame:
+SPAN = 1024  # frames in a bin of moments
+
+
+def near_tracks(moments: DataFrame, samples: DataFrame, most: int) -> DataFrame:
+    """Each moment with the tracks seen within ``most`` frames of it or around it.
+
+    Moments and tracks meet in bins of frames, so a moment is not held against all
+    tracks of a long video.
+    """
+    width = max(most, SPAN)
+    spans = samples.groupBy("video_id", "track_id").agg((F.min("frame") - most).alias("_lo"), (F.max("frame") + most).alias("_hi"))
+    spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
+    asked = moments.withColumn("_bin", F.floor(F.col("frame") / width))
+    return asked.join(spans, ["video_id", "_bin"]).where(F.col("frame").between(F.col("_lo"), F.col("_hi"))).drop("_bin", "_lo", "_hi")
+
+
+def asof_position(moments: DataFrame, samples: DataFrame, most: int = 30, hold_exact: bool = False, near_only: bool = False) -> DataFrame:
     """Where every track was at each moment.
 
     ``moments(video_id, touch_id, frame)``, ``samples(video_id, track_id, frame,
@@ -107,10 +123,14 @@ def asof_position(moments: DataFrame, samples: DataFrame, most: int = 30, hold_e
     Between the last sample at or before and the first after the moment the
     position is interpolated, unless they are more than ``most`` frames apart (then
     null; with ``hold_exact`` a sample on the very frame still counts).  Before the
-    first and after the last sample it is held for ``most`` frames.
+    first and after the last sample it is held for ``most`` frames.  With ``near_only``
+    there are no rows for tracks that begin or end farther off.
     """
-    tracks = samples.select("video_id", "track_id").distinct()
-    asks = moments.join(tracks, "video_id").select("video_id", "track_id", "frame", F.lit(1).alias("kind"), "touch_id", F.lit(None).cast("struct<frame:bigint,x:double,y:double>").alias("at"), F.lit(0).cast("long").alias("det_id"))
+    if near_only:
+        pairs = near_tracks(moments, samples, most)
+    else:
+        pairs = moments.join(samples.select("video_id", "track_id").distinct(), "video_id")
+    asks = pairs.select("video_id", "track_id", "frame", F.lit(1).alias("kind"), "touch_id", F.lit(None).cast("struct<frame:bigint,x:double,y:double>").alias("at"), F.lit(0).cast("long").alias("det_id"))
     seen = samples.select("video_id", "track_id", "frame", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("touch_id"), F.struct(F.col("frame"), F.col("court_x").alias("x"), F.col("court_y").alias("y")).alias("at"), F.col("det_id").cast("long").alias("det_id"))
     w = Window.partitionBy("video_id", "track_id").orderBy("frame", "kind", "det_id")
     a = F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))

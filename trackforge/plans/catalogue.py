@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..operators import balls as B
+from ..operators import bodies, courts
 from ..operators import tracks as T
 from ..operators import windows as W
 from . import frames as P
@@ -151,16 +152,8 @@ def track_filter(spark, d):
       round(dist / span, 6) AS speed, CASE WHEN mid <= 9 THEN 'A' ELSE 'B' END AS side, round(x, 4) AS sum_x, round(y, 4) AS sum_y FROM t""",
 )
 def track_summary(spark, d):
-    """The unrounded inputs of the summary, at more digits than it shows."""
-    steps = W.step_length(kept(spark, d), VT, ["frame", "det_id"])
-    t = steps.groupBy(*VT).agg(
-        F.count(F.lit(1)).alias("samples"), ((F.max("frame") - F.min("frame")) / FPS).alias("span"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("dist"),
-        F.median("court_y").alias("mid"), F.sum("court_x").alias("sum_x"), F.sum("court_y").alias("sum_y"),
-    )
-    return t.select(
-        *VT, "samples", G.reliability("samples").alias("reliability"), F.round("dist", 4).alias("distance"), F.round(F.try_divide("dist", "span"), 6).alias("speed"),
-        F.when(F.col("mid") <= 9, "A").otherwise("B").alias("side"), F.round("sum_x", 4).alias("sum_x"), F.round("sum_y", 4).alias("sum_y"),
-    )
+    """What the summary rounds, at more digits than it shows."""
+    return _rounded(_rounded(T.track_stats(kept(spark, d), VT, FPS), "distance", "sum_x", "sum_y").drop("span"), "speed", dp=6)
 
 
 PROFILE = f"""{ZONED}, prof AS (SELECT video_id, track_id, zone, count(*) AS visits, min({{'f': frame, 'd': det_id}}) AS fst FROM zoned WHERE zone IS NOT NULL GROUP BY ALL),
@@ -234,8 +227,7 @@ def ball_dedup(spark, d):
 
 @query("ball_rate", f"WITH {BALL} SELECT video_id, count(DISTINCT frame) AS ball_frames, greatest(1, max(frame) // 5) AS evaluated, round(count(DISTINCT frame) / greatest(1, max(frame) // 5), 4) AS rate FROM ball GROUP BY ALL")
 def ball_rate(spark, d):
-    r = ball_rows(spark, d).groupBy("video_id").agg(F.count_distinct("frame").alias("ball_frames"), F.greatest(F.lit(1), F.floor(F.max("frame") / 5)).alias("evaluated"))
-    return r.withColumn("rate", F.round(F.col("ball_frames") / F.col("evaluated"), 4))
+    return _rounded(B.ball_rate(ball_rows(spark, d), V), "rate")
 
 
 GAP = 40
@@ -293,11 +285,11 @@ def accel_threshold(spark, d):
 
 # ---- joins at moments
 
-TOUCHES = "touch AS (SELECT video_id, det_id AS touch_id, frame FROM det WHERE det_id % 37 = 0)"
+TOUCHES = "touch AS (SELECT video_id, det_id AS touch_id, frame FROM det)"  # every event is a moment
 
 
 def touches(spark, d):
-    return detections(spark, d).where("det_id % 37 = 0").select("video_id", F.col("det_id").alias("touch_id"), "frame")
+    return detections(spark, d).select("video_id", F.col("det_id").alias("touch_id"), "frame")
 
 
 def _ball_for_touches(spark, d):
@@ -330,13 +322,17 @@ ASOF = """samples AS (SELECT video_id, track_id, frame, det_id, court_x, court_y
     CASE WHEN af IS NOT NULL AND zf IS NOT NULL THEN CASE WHEN zf - af <= 600 THEN ay + (zy - ay) * ((frame - af) / (zf - af)) END WHEN af IS NOT NULL THEN CASE WHEN frame - af <= 600 THEN ay END WHEN zf - frame <= 600 THEN zy END AS y FROM aft)"""
 
 
+LIFT = 1e-7  # interpolated positions often lie between two roundings; this lifts them off
+
+
 def _samples(spark, d):
     return detections(spark, d).where("conf < 0.6")
 
 
-@query("asof_interp", f"WITH {DET}, {TOUCHES}, {ASOF} SELECT video_id, touch_id, frame, track_id, round(x, 4) AS x, round(y, 4) AS y FROM pos WHERE x IS NOT NULL")
+@query("asof_interp", f"WITH {DET}, {TOUCHES}, {ASOF} SELECT video_id, touch_id, frame, track_id, round(x + {LIFT}, 4) AS x, round(y + {LIFT}, 4) AS y FROM pos WHERE x IS NOT NULL")
 def asof_interp(spark, d):
-    return _rounded(W.asof_position(touches(spark, d), _samples(spark, d), most=600).where("x is not null"), "x", "y")
+    found = W.asof_position(touches(spark, d), _samples(spark, d), most=600, near_only=True).where("x is not null")
+    return _rounded(found.withColumns({c: F.col(c) + LIFT for c in ("x", "y")}), "x", "y")
 
 
 @query(
@@ -352,45 +348,11 @@ def attribute_touches(spark, d):
 
 @query(
     "touch_rallies",
-    f"""WITH {DET}, t AS (SELECT video_id, det_id AS touch_id, frame, track_id FROM det WHERE det_id % 5 = 0), l AS (SELECT *, CASE WHEN frame - lag(frame) OVER w <= 90 THEN 0 ELSE 1 END AS st FROM t WINDOW w AS (PARTITION BY video_id ORDER BY frame, touch_id)),
+    f"""WITH {DET}, t AS (SELECT video_id, det_id AS touch_id, frame, track_id FROM det), l AS (SELECT *, CASE WHEN frame - lag(frame) OVER w <= 90 THEN 0 ELSE 1 END AS st FROM t WINDOW w AS (PARTITION BY video_id ORDER BY frame, touch_id)),
     r AS (SELECT *, sum(st) OVER (PARTITION BY video_id ORDER BY frame, touch_id ROWS UNBOUNDED PRECEDING) - 1 AS rally_id FROM l)
     SELECT video_id, touch_id, frame, track_id, CAST(rally_id AS BIGINT) AS rally_id, CAST(row_number() OVER (PARTITION BY video_id, rally_id ORDER BY frame, touch_id) - 1 AS INT) AS seq_in_rally FROM r""",
 )
 def touch_rallies(spark, d):
-    t = detections(spark, d).where("det_id % 5 = 0").select("video_id", F.col("det_id").alias("touch_id"), "frame", "track_id")
-    return B.touch_rallies(t, V, FPS, gap_s=5400)
-
-
-# ---- the same joins at every event; the queries above and their SQL see one event of 37, or of 5
-
-EVERY = "touch AS (SELECT video_id, det_id AS touch_id, frame FROM det)"
-
-
-def _every(name: str) -> str:
-    return ORACLES[name].replace(TOUCHES, EVERY).replace(" WHERE det_id % 5 = 0", "")
-
-
-def every_touch(spark, d):
-    return detections(spark, d).select("video_id", F.col("det_id").alias("touch_id"), "frame")
-
-
-@query("nearest_ball_all", _every("nearest_ball"))
-def nearest_ball_all(spark, d):
-    return _rounded(W.nearest_frame(every_touch(spark, d), _ball_for_touches(spark, d), V, ["court_x", "court_y"], reach=30), "near_court_x", "near_court_y")
-
-
-@query("asof_interp_all", _every("asof_interp"))
-def asof_interp_all(spark, d):
-    return _rounded(W.asof_position(every_touch(spark, d), _samples(spark, d), most=600).where("x is not null"), "x", "y")
-
-
-@query("attribute_touches_all", _every("attribute_touches"))
-def attribute_touches_all(spark, d):
-    return B.attribute(every_touch(spark, d), _ball_for_touches(spark, d), _samples(spark, d), dp=4)
-
-
-@query("touch_rallies_all", _every("touch_rallies"))
-def touch_rallies_all(spark, d):
     t = detections(spark, d).select("video_id", F.col("det_id").alias("touch_id"), "frame", "track_id")
     return B.touch_rallies(t, V, FPS, gap_s=5400)
 
@@ -442,12 +404,8 @@ POSE_SQL = f"""m AS (SELECT vec_id, vec_id % 7 AS track_id,
     FROM m GROUP BY ALL HAVING count(lean) + count(stance) + count(coalesce(lk, rk)) > 0""",
 )
 def pose_metrics(spark, d):
-    m = poses(spark, d).select("track_id", *(f("kp", "sc").alias(n) for n, f in G.POSE_METRICS.items()))
-    t = m.groupBy("track_id").agg(
-        F.count("lean").alias("samples_with_pose"), F.round(F.avg("lean"), 4).alias("lean_avg"), F.round(F.max("lean"), 4).alias("lean_max"),
-        F.round(F.avg("stance"), 4).alias("stance_avg"), F.round(F.avg("knee"), 3).alias("knee_avg"),
-    )
-    return t.where("samples_with_pose > 0 or stance_avg is not null or knee_avg is not null")
+    t = bodies.pose_stats(poses(spark, d), ["track_id"], dp=4, knee_dp=3)
+    return t.select("track_id", "samples_with_pose", F.col("torso_lean_deg_avg").alias("lean_avg"), F.col("torso_lean_deg_max").alias("lean_max"), F.col("stance_width_px_avg").alias("stance_avg"), F.col("knee_flexion_deg_avg").alias("knee_avg"))
 
 
 GRID = f"{DET}, grid AS (SELECT video_id, CAST(floor(img_x / 40) AS BIGINT) AS gx, CAST(floor(img_y / 40) AS BIGINT) AS gy, sum(CASE WHEN conf >= 0.6 THEN 0.3::DOUBLE ELSE 1 END) AS weight FROM det GROUP BY ALL)"
@@ -455,38 +413,30 @@ GRID = f"{DET}, grid AS (SELECT video_id, CAST(floor(img_x / 40) AS BIGINT) AS g
 
 @query("density_grid", f"WITH {GRID} SELECT video_id, gx, gy, round(weight, 4) AS weight, round(quantile_cont(weight, 0.75) OVER (PARTITION BY video_id), 4) AS p75 FROM grid")
 def density_grid(spark, d):
-    g = detections(spark, d).groupBy("video_id", F.floor(F.col("img_x") / 40).alias("gx"), F.floor(F.col("img_y") / 40).alias("gy")).agg(F.sum(F.when(F.col("conf") >= 0.6, 0.3).otherwise(1.0)).alias("weight"))
-    p = g.groupBy("video_id").agg(F.percentile("weight", 0.75).alias("p75"))
-    return _rounded(g.join(p, "video_id"), "weight", "p75").select("video_id", "gx", "gy", "weight", "p75")
+    g = T.density_grid(detections(spark, d), 40, F.when(F.col("conf") >= 0.6, 0.3).otherwise(1.0))
+    return _rounded(g.withColumnRenamed("threshold", "p75"), "weight", "p75")
 
 
 @query("best_frame", f"WITH {DET}, f AS (SELECT video_id, frame, round(count(*) + avg(conf), 6) AS score FROM det WHERE conf >= 0.5 GROUP BY ALL) SELECT video_id, frame, score FROM f QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame) = 1")
 def best_frame(spark, d):
-    f = detections(spark, d).where("conf >= 0.5").groupBy("video_id", "frame").agg(F.round(F.count(F.lit(1)) + F.avg("conf"), 6).alias("score"))
-    best = f.groupBy("video_id").agg(F.max(F.struct("score", (-F.col("frame")).alias("_f"))).alias("b"))
-    return best.select("video_id", (-F.col("b._f")).alias("frame"), F.col("b.score").alias("score"))
+    return T.best_frame(detections(spark, d))
 
 
 @query("best_mask", f"WITH {DET}, q AS (SELECT video_id, frame, det_id, CASE WHEN img_x / 1280 >= 0.06 THEN round(conf * (img_y / 720) * (0.5 + img_x / 1280), 6) ELSE 0 END AS score FROM det) SELECT video_id, frame, score FROM q QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame, det_id) = 1")
 def best_mask(spark, d):
-    share = F.col("img_x") / 1280
-    score = F.when(share >= 0.06, F.round(F.col("conf") * (F.col("img_y") / 720) * (F.lit(0.5) + share), 6)).otherwise(0.0)
-    q = detections(spark, d).withColumn("score", score)
-    best = q.groupBy("video_id").agg(F.min(F.struct((-F.col("score")).alias("_s"), "frame", "det_id", "score")).alias("b"))
-    return best.select("video_id", "b.frame", "b.score")
+    score = G.mask_quality("conf", F.col("img_y") / 720, F.col("img_x") / 1280)
+    return T.best_mask(detections(spark, d), F.round(score, 6))
 
 
 @query("union_long", f"WITH {DET} SELECT frame, round(frame / 30, 3) AS t, 'player' AS kind, track_id, round(court_x, 3) AS x_m, round(court_y, 3) AS y_m, round(conf, 3) AS conf FROM det WHERE conf < 0.6 UNION ALL SELECT frame, round(frame / 30, 3), 'ball', -1, round(court_x, 3), round(court_y, 3), round(conf, 3) FROM det WHERE conf >= 0.6")
 def union_long(spark, d):
     det = detections(spark, d)
-    cols = lambda kind, track: ["frame", F.round(F.col("frame") / 30, 3).alias("t"), F.lit(kind).alias("kind"), track.alias("track_id"), F.round("court_x", 3).alias("x_m"), F.round("court_y", 3).alias("y_m"), F.round("conf", 3).alias("conf")]
-    return det.where("conf < 0.6").select(*cols("player", F.col("track_id"))).unionByName(det.where("conf >= 0.6").select(*cols("ball", F.lit(-1).cast("long"))))
+    return P.union_long(det.where("conf < 0.6"), det.where("conf >= 0.6"), 30)
 
 
 @query("landing_points", f"WITH {DET} SELECT frame, det_id, round(court_x, 3) AS x_m, round(court_y, 3) AS y_m FROM det WHERE conf >= 0.6 AND court_x BETWEEN -0.1 AND 9.1 AND court_y BETWEEN -0.1 AND 18.1")
 def landing_points(spark, d):
-    b = detections(spark, d).where((F.col("conf") >= 0.6) & G.in_court("court_x", "court_y", margin=0.1))
-    return b.select("frame", "det_id", F.round("court_x", 3).alias("x_m"), F.round("court_y", 3).alias("y_m"))
+    return P.landing_points(detections(spark, d).where("conf >= 0.6"))
 
 
 @query("sampled_frames", f"WITH {DET} SELECT det_id, frame, track_id FROM det WHERE frame % 5 = 0 AND conf >= 0.4 AND track_id IS NOT NULL")
@@ -503,21 +453,18 @@ def centre_windows(spark, d):
 
 @query("pose_frames", f"WITH {DET}, f AS (SELECT video_id, frame, count(*) AS n FROM det WHERE conf >= 0.3 GROUP BY ALL) SELECT video_id, frame, n FROM f QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY n DESC, frame) = 1")
 def pose_frames(spark, d):
-    f = detections(spark, d).where("conf >= 0.3").groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n"))
-    return f.groupBy("video_id").agg(F.max(F.struct("n", (-F.col("frame")).alias("_f"))).alias("b")).select("video_id", (-F.col("b._f")).alias("frame"), "b.n")
+    return T.fullest_frame(detections(spark, d))
 
 
 @query("half_tracks", f"WITH {DET} SELECT video_id, track_id, CASE WHEN frame < {HALF_FRAME} THEN 1 ELSE 2 END AS half, count(*) AS n FROM det GROUP BY ALL HAVING count(*) >= 5")
 def half_tracks(spark, d):
-    h = F.when(F.col("frame") < HALF_FRAME, 1).otherwise(2).alias("half")
-    return detections(spark, d).groupBy(*VT, h).agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    return T.by_half(detections(spark, d), VT, HALF_FRAME)
 
 
 @query("zone_display", f"WITH {ZONED}, z AS (SELECT zone, count(*) AS visits FROM zoned WHERE zone IS NOT NULL GROUP BY ALL) SELECT zone, visits, round(visits / max(visits) OVER (), 4) AS share, list_position([4, 3, 2, 5, 6, 1], CAST(right(zone, 1) AS INT)) AS place FROM z")
 def zone_display(spark, d):
     z = detections(spark, d).withColumn("zone", zone()).where("zone is not null").groupBy("zone").agg(F.count(F.lit(1)).alias("visits"))
-    place = F.array_position(F.array(*map(F.lit, (4, 3, 2, 5, 6, 1))), F.right("zone", F.lit(1)).cast("int")).cast("int")
-    return z.select("zone", "visits", F.round(F.col("visits") / F.max("visits").over(Window.partitionBy()), 4).alias("share"), place.alias("place"))
+    return _rounded(T.zone_order(z), "share")
 
 
 QUALITY = f"""{KEPT}, lens AS (SELECT track_id, count(*) AS n FROM kept GROUP BY ALL), tops AS (SELECT avg(n) AS top FROM (SELECT n FROM lens ORDER BY n DESC LIMIT 12)),
@@ -599,3 +546,132 @@ def trajectory(spark, d):
 @query("touch_peaks")
 def touch_peaks(spark, d):
     return B.detect_touches(B.reconstruct(ball_rows(spark, d), V, max_gap=GAP))
+
+
+# ---- many cameras, bodies, names
+
+CAMERAS = """cam AS (SELECT v AS video_id, 0.012 + v * 0.0001::DOUBLE AS a, 0.02 + v * 0.0001::DOUBLE AS e, CASE WHEN v % 3 = 0 THEN 9.0 ELSE 18.0 END AS court_h, v % 2 = 0 AS corners FROM (SELECT unnest(range(7)) AS v)),
+  rows_ AS (SELECT d.*, (a * img_x + 0.001::DOUBLE * img_y - 1.5::DOUBLE) / (0.0004::DOUBLE * img_y + 1) AS px, (0.0005::DOUBLE * img_x + e * img_y - 0.8::DOUBLE) / (0.0004::DOUBLE * img_y + 1) AS py, court_h, corners FROM det d JOIN cam USING (video_id))"""
+
+
+def cameras(spark) -> DataFrame:
+    """A calibration for each of seven of the eight videos; every other one has corners."""
+    v, z = F.col("id"), F.lit(0.0)
+    row = lambda *c: F.array(*(F.lit(x) if isinstance(x, float) else x for x in c))
+    h = F.array(row(v * 0.0001 + 0.012, 0.001, -1.5), row(0.0005, v * 0.0001 + 0.02, -0.8), row(z, 0.0004, 1.0))
+    corners = F.array(row(300.0, 200.0), row(900.0, 220.0), row(1100.0, 600.0), row(150.0, 620.0))
+    return spark.range(7).select(
+        v.alias("video_id"), h.alias("h"), F.lit(9.0).alias("court_w"), F.when(v % 3 == 0, 9.0).otherwise(18.0).alias("court_h"), F.lit(1.0).alias("ppm"),
+        F.when(v % 2 == 0, corners).alias("pixel_corners"), F.lit(FRAME_H).alias("frame_h"), F.lit(FRAME_W).alias("frame_w"),
+    )
+
+
+@query(
+    "calibrated",
+    f"WITH {DET}, {CAMERAS} SELECT video_id, count(*) AS n, count(*) FILTER (px BETWEEN -0.5 AND 9.5 AND py BETWEEN -0.5 AND court_h + 0.5) AS inside, round(sum(px), 3) AS sum_x, round(sum(py), 3) AS sum_y FROM rows_ GROUP BY ALL",
+)
+def calibrated(spark, d):
+    rows = courts.calibrated(detections(spark, d).drop("court_x", "court_y"), cameras(spark))
+    inside = G.in_court("court_x", "court_y", F.col("cal.court_w"), F.col("cal.court_h"))
+    t = rows.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("inside"), F.sum("court_x").alias("sum_x"), F.sum("court_y").alias("sum_y"))
+    return _rounded(t, "sum_x", "sum_y", dp=3)
+
+
+@query(
+    "ball_region",
+    f"""WITH {DET}, {CAMERAS}, f AS (SELECT det_id, video_id, CASE WHEN corners THEN 'pixel_polygon' ELSE 'court_projection_fallback' END AS ball_filter,
+      CASE WHEN corners THEN img_x BETWEEN 150 - 38.4::DOUBLE AND 1100 + 38.4::DOUBLE AND img_y BETWEEN 0 AND 620 + 21.6::DOUBLE ELSE px BETWEEN -2 AND 11 AND py BETWEEN -2 AND court_h + 2 END AS ok FROM rows_ WHERE conf >= 0.6)
+    SELECT det_id, video_id, ball_filter FROM f WHERE ok""",
+)
+def ball_region(spark, d):
+    balls = detections(spark, d).where("conf >= 0.6").drop("court_x", "court_y")
+    return courts.balls_near_court(courts.calibrated(balls, courts.with_regions(cameras(spark)))).select("det_id", "video_id", "ball_filter")
+
+
+@query("calibration_cascade", "WITH v AS (SELECT unnest(range(7)) AS video_id) SELECT video_id, CASE WHEN video_id % 2 = 0 THEN 0 WHEN video_id % 3 = 0 THEN 1 ELSE 2 END AS source, CASE WHEN video_id % 2 = 0 THEN 9.0 WHEN video_id % 3 = 0 THEN 8.0 ELSE 7.0 END::DOUBLE AS court_w FROM v")
+def calibration_cascade(spark, d):
+    cal = cameras(spark)
+    some = lambda w, keep: cal.withColumns({"court_w": F.lit(w), "h": F.when(keep, F.col("h"))})
+    found = courts.cascade(some(9.0, F.col("video_id") % 2 == 0), some(8.0, F.col("video_id") % 3 == 0), some(7.0, F.lit(True)))
+    return found.select("video_id", "source", "court_w")
+
+
+POSED = f"""{DET}, boxes AS (SELECT det_id, video_id, frame, row_number() OVER (PARTITION BY video_id, frame ORDER BY det_id) AS position FROM det),
+  pose AS (SELECT vec_id, video_id, frame, (list_sum(list_transform(embedding[35:51], lambda v: v::DOUBLE + 0.5))) / 17 AS mean, row_number() OVER (PARTITION BY video_id, frame ORDER BY vec_id) AS position FROM embeddings JOIN det ON det_id = vec_id)"""
+
+
+def _posed(spark, d) -> DataFrame:
+    """A frame's poses, taken as those of the vectors whose ids its detections have."""
+    at = detections(spark, d).select("video_id", "frame", F.col("det_id").alias("vec_id"))
+    return bodies.positions(poses(spark, d).drop("track_id").join(at, "vec_id"), "vec_id")
+
+
+@query("pose_boxes", f"WITH {POSED} SELECT b.video_id, b.frame, b.det_id, coalesce(mean >= 0.3, false) AS posed FROM boxes b LEFT JOIN pose p ON p.video_id = b.video_id AND p.frame = b.frame AND p.position = b.position")
+def pose_boxes(spark, d):
+    return bodies.pose_to_boxes(detections(spark, d), _posed(spark, d)).select("video_id", "frame", "det_id", F.col("kp").isNotNull().alias("posed"))
+
+
+@query(
+    "pose_of_tracks",
+    f"""WITH {DET}, {POSE_SQL}, st AS (SELECT track_id, count(lean) AS n, round(avg(lean), 4) AS lean FROM m GROUP BY ALL HAVING count(lean) + count(stance) + count(coalesce(lk, rk)) > 0), t AS (SELECT track_id, count(*) AS samples FROM det GROUP BY ALL)
+    SELECT t.track_id, samples, n AS samples_with_pose, lean FROM t LEFT JOIN st USING (track_id)""",
+)
+def pose_of_tracks(spark, d):
+    tracks = detections(spark, d).groupBy("track_id").agg(F.count(F.lit(1)).alias("samples"))
+    found = bodies.attach(tracks, bodies.pose_stats(poses(spark, d), ["track_id"], dp=4), "pose_stats", ["track_id"])
+    return found.select("track_id", "samples", "pose_stats.samples_with_pose", F.col("pose_stats.torso_lean_deg_avg").alias("lean"))
+
+
+@query("identity_of_tracks", f"WITH v AS ({ORACLES['jersey_vote']}) SELECT video_id, count(*) FILTER (name <> 'desconocida') AS players_identified, count(*) AS tracks FROM v GROUP BY ALL")
+def identity_of_tracks(spark, d):
+    tracks = detections(spark, d).select(*VT).distinct()
+    named = bodies.attach(tracks, jersey_vote(spark, d), "identity")
+    return bodies.identified(named.select(*VT, "identity.*"), V)
+
+
+@query("fragments", f"WITH {DET}, l AS (SELECT *, CASE WHEN frame - lag(frame) OVER w <= 600 THEN 0 ELSE 1 END AS st FROM det WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame, det_id)), r AS (SELECT *, sum(st) OVER (PARTITION BY video_id, track_id ORDER BY frame, det_id ROWS UNBOUNDED PRECEDING) AS fragment FROM l) SELECT video_id, track_id, CAST(fragment AS BIGINT) AS fragment, count(*) AS n, min(frame) AS a, max(frame) AS b FROM r GROUP BY ALL")
+def fragments(spark, d):
+    f = W.frame_islands(detections(spark, d), VT, 600, "fragment")
+    return f.groupBy(*VT, "fragment").agg(F.count(F.lit(1)).alias("n"), F.min("frame").alias("a"), F.max("frame").alias("b"))
+
+
+@query(
+    "touch_totals",
+    f"""WITH {DET}, t AS (SELECT video_id, det_id AS touch_id, frame, CASE WHEN conf < 0.8 THEN track_id END AS track_id FROM det), l AS (SELECT *, CASE WHEN frame - lag(frame) OVER w <= 30 THEN 0 ELSE 1 END AS st FROM t WINDOW w AS (PARTITION BY video_id ORDER BY frame, touch_id)),
+    r AS (SELECT *, sum(st) OVER (PARTITION BY video_id ORDER BY frame, touch_id ROWS UNBOUNDED PRECEDING) - 1 AS rally_id FROM l),
+    p AS (SELECT video_id, rally_id, track_id, count(*) AS n FROM r WHERE track_id IS NOT NULL GROUP BY ALL), q AS (SELECT video_id, rally_id, string_agg(track_id || ':' || n, ',' ORDER BY CAST(track_id AS VARCHAR)) AS players FROM p GROUP BY ALL),
+    g AS (SELECT video_id, rally_id, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS n_touches FROM r GROUP BY ALL)
+    SELECT g.video_id, CAST(g.rally_id AS BIGINT) AS rally_id, start_frame, end_frame, n_touches, (end_frame - start_frame) * 60.0::DOUBLE AS duration_s, coalesce(players, '') AS players FROM g LEFT JOIN q USING (video_id, rally_id)""",
+)
+def touch_totals(spark, d):
+    t = detections(spark, d).select("video_id", F.col("det_id").alias("touch_id"), "frame", F.when(F.col("conf") < 0.8, F.col("track_id")).alias("track_id"))
+    r = B.rally_totals(B.touch_rallies(t, V, FPS, gap_s=1800), V, FPS)
+    pairs = F.transform(F.array_sort(F.map_entries("touches_by_player")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return r.select("video_id", "rally_id", "start_frame", "end_frame", "n_touches", "duration_s", F.concat_ws(",", pairs).alias("players"))
+
+
+@query("words", f"WITH {DET} SELECT det_id, CASE WHEN det_id % 101 >= 80 THEN 'excelente' WHEN det_id % 101 >= 60 THEN 'bueno' WHEN det_id % 101 >= 40 THEN 'regular' ELSE 'bajo' END AS verdict, CASE WHEN frame % 900 < 60 THEN (frame % 900) || 's' ELSE (frame % 900 // 60) || 'm ' || lpad(CAST(frame % 60 AS VARCHAR), 2, '0') || 's' END AS seconds, CAST(round_even(court_x * 40 + 20, 0) AS INT) AS px, CAST(round_even((18 - court_y) * 40 + 20, 0) AS INT) AS py FROM det")
+def words(spark, d):
+    px, py = G.render_point("court_x", "court_y", 40.0, 20.0)
+    return detections(spark, d).select("det_id", G.verdict(F.col("det_id") % 101).alias("verdict"), G.spoken_seconds(F.col("frame") % 900).alias("seconds"), px.alias("px"), py.alias("py"))
+
+
+@query("first_frames", f"WITH {DET}, s AS (SELECT video_id, min(frame) AS a FROM det GROUP BY ALL) SELECT det_id, video_id, frame FROM det JOIN s USING (video_id) WHERE frame < a + 500")
+def first_frames(spark, d):
+    return T.first_frames(detections(spark, d), 500).select("det_id", "video_id", "frame")
+
+
+CROP = "(x2 - x1) AS w, (y2 - y1) AS h, x1 + (x2 - x1) * 0.12::DOUBLE AS lx, x2 - (x2 - x1) * 0.12::DOUBLE AS rx, y1 + (y2 - y1) * 0.18::DOUBLE AS ty, y1 + (y2 - y1) * 0.55::DOUBLE AS by_"
+
+
+@query(
+    "torso_crop",
+    f"""WITH {DET}, c AS (SELECT det_id, {CROP} FROM det), p AS (SELECT *, (rx - lx) * 0.18::DOUBLE AS px, (by_ - ty) * 0.18::DOUBLE AS py FROM c),
+    q AS (SELECT det_id, w, h, greatest(0, least(1280, CAST(trunc(lx - px) AS INT))) AS x1, greatest(0, least(720, CAST(trunc(ty - py) AS INT))) AS y1, greatest(0, least(1280, CAST(trunc(rx + px) AS INT))) AS x2, greatest(0, least(720, CAST(trunc(by_ + py) AS INT))) AS y2 FROM p)
+    SELECT det_id, x1, y1, x2, y2 FROM q WHERE w >= 4 AND h >= 4 AND x2 - x1 >= 6 AND y2 - y1 >= 6""",
+)
+def torso_crop(spark, d):
+    """Boxes without a pose: by shares of the box."""
+    none = F.lit(None).cast("array<array<double>>"), F.lit(None).cast("array<double>")
+    crop = detections(spark, d).select("det_id", G.torso_crop("x1", "y1", "x2", "y2", *none, FRAME_W, FRAME_H).alias("c"))
+    return crop.where("c is not null").select("det_id", "c.x1", "c.y1", "c.x2", "c.y2")

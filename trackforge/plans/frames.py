@@ -42,3 +42,21 @@ def zone_occupancy(rows: DataFrame) -> DataFrame:
 def ball_places(rows: DataFrame) -> DataFrame:
     """Where the ball was, in frame order."""
     return rows.where("kind = 'ball'").select("video_id", "frame", "x_m", "y_m", "low").orderBy("video_id", "frame")
+
+
+def union_long(players: DataFrame, balls: DataFrame, fps: float) -> DataFrame:
+    """Players and balls as one long table with seconds; the ball's track is -1."""
+
+    def rows(df: DataFrame, kind: str, track: Column) -> DataFrame:
+        return df.select(
+            "frame", F.round(F.col("frame") / fps, 3).alias("t"), F.lit(kind).alias("kind"), track.alias("track_id"),
+            F.round("court_x", 3).alias("x_m"), F.round("court_y", 3).alias("y_m"), F.round("conf", 3).alias("conf"),
+        )
+
+    return rows(players, "player", F.col("track_id")).unionByName(rows(balls, "ball", F.lit(-1).cast("long")))
+
+
+def landing_points(balls: DataFrame, margin: float = 0.1) -> DataFrame:
+    """Balls whose floor point lies in the court."""
+    b = balls.where(G.in_court("court_x", "court_y", margin=margin))
+    return b.select("frame", "det_id", F.round("court_x", 3).alias("x_m"), F.round("court_y", 3).alias("y_m"))

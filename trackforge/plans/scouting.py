@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,6 +80,7 @@ def scouting(det: DataFrame, video: Video, court: Court, stride: int = 5, person
     pct = profile.groupBy(*keys).agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("place", "zone", "pct"))), lambda e: F.struct(e["zone"], e["pct"]))).alias("zone_profile_pct"))
     summary = summary.join(T.dominant_zone(tracks, zone, keys), keys, "left").join(pct, keys, "left")
     return {
+        "raw": people.where("status = 'ok'"),
         "samples": tracks,
         "tracks": summary,
         "zones": T.zone_visits(tracks, zone, part, video.total_frames // 2),
@@ -135,35 +137,97 @@ def write_document(doc: DataFrame, path: str) -> None:
     doc.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_raw_tracks(raw: DataFrame, path: str) -> None:
+    """The samples of every track before stitching, one JSON line per track."""
+    point = F.struct("frame", F.round("court_x", 4).alias("court_x"), F.round("court_y", 4).alias("court_y"), "conf")
+    tracks = raw.groupBy("video_id", F.col("track_id").alias("id")).agg(F.sort_array(F.collect_list(point)).alias("samples"))
+    tracks.write.mode("overwrite").json(path)
+
+
 def enrich(spark, path: str, default_fps: float = 60.0) -> dict[str, DataFrame]:
     """Touches and touch rallies of scouting files.
 
-    ``touch_rallies`` stays apart from the ball-based rallies of the documents.  The
-    frame rate follows from the last ball frame and the duration.
+    ``touch_rallies`` stays apart from the ball-based rallies of the documents.  Each
+    video's frame rate follows from its last ball frame and duration.
     """
     docs, ball, samples = read_scouting(spark, path)
     dense = B.reconstruct(ball, ["video_id"])
     touches = B.detect_touches(dense)
     named = B.attribute(touches, ball, samples)
-    rate = ball.groupBy("video_id").agg(F.max("frame").alias("last")).join(docs, "video_id").agg(F.max(F.when(F.col("duration_s") > 0, (F.col("last") + 1) / F.col("duration_s")))).first()[0]
-    fps = rate or default_fps
-    grouped = B.touch_rallies(named, ["video_id"], fps)
-    return {"touches": grouped, "touch_rallies": B.rally_totals(grouped, ["video_id"], fps), "documents": docs}
+    last = ball.groupBy("video_id").agg(F.max("frame").alias("last"))
+    rate = F.when(F.col("duration_s") > 0, (F.col("last") + 1) / F.col("duration_s"))
+    rates = docs.join(last, "video_id").select("video_id", F.coalesce(rate, F.lit(default_fps)).alias("fps"))
+    grouped = B.touch_rallies(named.join(rates, "video_id"), ["video_id"], F.col("fps"))
+    totals = B.rally_totals(grouped, ["video_id", "fps"], F.col("fps")).drop("fps")
+    return {"touches": grouped.drop("fps"), "touch_rallies": totals, "documents": docs}
 
 
-def report(doc: dict) -> str:
-    """HTML page for people from a scouting document (as parsed JSON)."""
-    zones, score = doc.get("zone_visits_total") or {}, doc.get("quality_score", 0)
-    top = max([*zones.values(), 1])
-    shown = [f"{side}{n}" for side in ("A", "B") for n in (4, 3, 2, 5, 6, 1) if f"{side}{n}" in zones]
-    bars = "".join(f"<div>{z} <meter max='{top}' value='{zones[z]}'></meter> {zones[z]}</div>" for z in shown)
-    tracks = sorted(doc.get("tracks") or [], key=lambda t: -t["samples"])[:10]
-    lines = "".join(
-        f"<tr><td>{t['id']}</td><td>{html.escape(str((t.get('identity') or {}).get('name', '')))}</td><td>{t['samples']}</td><td>{t['reliability']}</td><td>{t.get('dominant_zone') or '-'}</td>"
-        f"<td>{', '.join(f'{z} {p}%' for z, p in list((t.get('zone_profile_pct') or {}).items())[:3])}</td></tr>"
-        for t in tracks
-    )
-    tier = "excelente" if score >= 80 else "bueno" if score >= 60 else "regular" if score >= 40 else "bajo"
+def enriched_documents(found: dict[str, DataFrame]) -> DataFrame:
+    """``video, doc``: the documents that ``enrich`` read, as JSON, with its results."""
+    key = ["video_id"]
+
+    def nested(name: str, *order: str) -> DataFrame:
+        df = found[name]
+        rest = [c for c in df.columns if c not in (*key, *order)]
+        items = F.collect_list(F.struct(*order, F.struct(*order, *rest).alias("item")))
+        ordered = F.transform(F.array_sort(items, lambda a, b: _ascending(a, b, order)), lambda e: e["item"])
+        return df.groupBy(*key).agg(F.to_json(ordered, {"ignoreNullFields": "false"}).alias(name))
+
+    docs = found["documents"].join(nested("touches", "frame", "touch_id"), key, "left").join(nested("touch_rallies", "rally_id"), key, "left")
+
+    def merge(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                parts = {n: json.loads(v) if v else [] for n, v in (("touches", r.touches), ("touch_rallies", r.touch_rallies))}
+                out.append(json.dumps(json.loads(r.doc) | {"touch_version": VERSION} | parts, ensure_ascii=False))
+            yield pdf[["video"]].assign(doc=out)
+
+    return docs.select("video", "doc", "touches", "touch_rallies").mapInPandas(merge, "video string, doc string")
+
+
+def _ascending(a, b, names):
+    out = F.lit(0)
+    for n in reversed(names):
+        sign = F.signum((a[n] - b[n]).cast("double")).cast("int")
+        out = F.when(sign != 0, sign).otherwise(out)
+    return out
+
+
+def write_enriched(docs: DataFrame, folder: str) -> None:
+    """One JSON line per document, in a folder of text files."""
+    docs.select(F.col("doc").alias("value")).write.mode("overwrite").text(folder)
+
+
+#: fixed value: zones as they lie on a side of the court, from the net back
+SHOWN = (4, 3, 2, 5, 6, 1)
+ADVICE = {
+    "excelente": "The numbers can be used as they are.",
+    "bueno": "The numbers can be used; single tracks may be short.",
+    "regular": "Use zones and rallies; take players' numbers as rough.",
+    "bajo": "Check the calibration and the picture before using any number.",
+}
+
+
+def _zone_bars(visits: dict, side: str, top: int) -> str:
+    shown = [f"{side}{n}" for n in SHOWN if f"{side}{n}" in visits]
+    return "".join(f"<div>{z} <meter max='{top}' value='{visits[z]}'></meter> {visits[z]}</div>" for z in shown)
+
+
+def _spoken(seconds: float | None) -> str:
+    """As ``geometry.spoken_seconds``, for a single number."""
+    t = round(seconds or 0)
+    return f"{t}s" if t < 60 else f"{t // 60}m {t % 60:02d}s"
+
+
+def _track_row(t: dict) -> str:
+    name = html.escape(str((t.get("identity") or {}).get("name") or ""))
+    zones = ", ".join(f"{z} {p}%" for z, p in list((t.get("zone_profile_pct") or {}).items())[:3])
+    cells = (t["id"], name, t["samples"], t["reliability"], _spoken(t.get("seconds_tracked")), t.get("dominant_zone") or "-", zones, t.get("distance_m", 0), t.get("avg_speed_m_per_s") or "-")
+    return "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+
+
+def _notes(doc: dict) -> list[str]:
     rate, expected = doc.get("ball_detection_rate") or 0, 6 if doc.get("half_court") else 12
     notes = []
     if len(doc.get("tracks") or []) > 1.5 * expected:
@@ -174,9 +238,28 @@ def report(doc: dict) -> str:
         notes.append("The ball was rarely found.")
     if rate < 0.30 and doc.get("play_summary"):
         notes.append("Rallies may be incomplete.")
+    return notes
+
+
+def report(doc: dict) -> str:
+    """HTML page for people from a scouting document (as parsed JSON): score and advice,
+    zones by side and half, the ten longest tracks, play."""
+    score = doc.get("quality_score", 0)
+    tier = "excelente" if score >= 80 else "bueno" if score >= 60 else "regular" if score >= 40 else "bajo"
+    parts = [("Zones", "zone_visits_total"), ("First half", "zone_visits_first_half"), ("Second half", "zone_visits_second_half")]
+    top = max([*(doc.get("zone_visits_total") or {}).values(), 1])
+    zones = "".join(
+        f"<h2>{title}</h2>" + "".join(f"<h3>Side {side}</h3>{bars}" for side in ("A", "B") if (bars := _zone_bars(doc.get(field) or {}, side, top))) for title, field in parts if doc.get(field)
+    )
+    tracks = sorted(doc.get("tracks") or [], key=lambda t: -t["samples"])[:10]
+    heads = "".join(f"<th>{h}</th>" for h in ("track", "name", "samples", "reliability", "seen", "zone", "zones", "m", "m/s"))
     play = doc.get("play_summary") or {}
+    serves = f", serves {play.get('serves_a', 0)} from A and {play.get('serves_b', 0)} from B" if play.get("n_serves") else ""
+    length = doc.get("duration_s") or 0
     return (
-        f"<!doctype html><meta charset='utf-8'><title>{html.escape(str(doc.get('video', '')))}</title><h1>{score} <small>{tier}</small></h1>"
-        + "".join(f"<p class='note'>{n}</p>" for n in notes)
-        + f"<h2>Zones</h2>{bars}<h2>Tracks</h2><table>{lines}</table><h2>Play</h2><p>{play.get('n_rallies', 0)} rallies, {play.get('total_play_s', 0)} s</p>"
+        f"<!doctype html><meta charset='utf-8'><title>{html.escape(str(doc.get('video', '')))}</title><h1>{score} <small>{tier}</small></h1><p>{ADVICE[tier]}</p>"
+        + "".join(f"<p class='note'>{n}</p>" for n in _notes(doc))
+        + f"<p>{length / 60:.1f} minutes, {doc.get('samples_processed', 0)} frames, {len(doc.get('tracks') or [])} tracks</p>"
+        + f"{zones}<h2>Tracks</h2><table><tr>{heads}</tr>{''.join(map(_track_row, tracks))}</table>"
+        + f"<h2>Play</h2><p>{play.get('n_rallies', 0)} rallies, {_spoken(play.get('avg_rally_s'))} on average, {_spoken(play.get('longest_rally_s'))} at most, {play.get('total_play_s', 0)} s of play{serves}</p>"
     )

@@ -15,6 +15,8 @@ CALIBRATION = """homography_matrix array<array<double>>, court_size_m array<doub
 BALL_CSV = "Frame INT, Visibility INT, X DOUBLE, Y DOUBLE, Radius DOUBLE"
 RAW_BALL = "frame bigint, x double, y double, radius double, confidence double"
 DETECTIONS = "video_id bigint, det_id bigint, frame bigint, track_id bigint, cls int, x1 double, y1 double, x2 double, y2 double, conf double"
+SHIRT_READS = "video_id bigint, track_id bigint, seq bigint, text string, conf double"
+POSES = "video_id bigint, frame bigint, position int, kp array<array<double>>, sc array<double>"
 SAMPLE = "struct<frame:bigint,court_x:double,court_y:double>"
 BALL = "struct<frame:bigint,img_x:double,img_y:double,court_x:double,court_y:double,conf:double>"
 
@@ -29,11 +31,38 @@ def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_calibration(path: str, h, corners, court: tuple[float, float], ppm: float, shape: tuple[int, int], video: str = "", **extra) -> None:
-    """A calibration document in a local file."""
+def write_calibration(spark: SparkSession, path: str, h, corners, court: tuple[float, float], ppm: float, shape: tuple[int, int], video: str = "", **extra) -> None:
+    """A calibration document, in a file of any store that Spark reaches."""
     doc = {"homography_matrix": [list(map(float, r)) for r in h], "court_size_m": list(court), "pixels_per_meter": ppm, "pixel_corners": [list(map(float, p)) for p in corners], "frame_shape": list(shape), "video_reference": video}
-    with open(path, "w") as f:
-        json.dump(doc | extra, f, indent=2)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(json.dumps(doc | extra, indent=2).encode()))
+    finally:
+        out.close()
+
+
+def read_detections(spark: SparkSession, path: str) -> DataFrame:
+    """Boxes of people and balls (Parquet), checked against their schema."""
+    return _checked(spark.read.parquet(path), DETECTIONS)
+
+
+def read_shirt_reads(spark: SparkSession, path: str) -> DataFrame:
+    """Numbers read from shirts (Parquet), in the order of ``seq``."""
+    return _checked(spark.read.parquet(path), SHIRT_READS)
+
+
+def read_poses(spark: SparkSession, path: str) -> DataFrame:
+    """Seventeen keypoints and their scores for the boxes of a frame, by position (Parquet)."""
+    return _checked(spark.read.parquet(path), POSES)
+
+
+def _checked(df: DataFrame, schema: str) -> DataFrame:
+    """``df`` with the columns of ``schema`` in its types; an error where one is missing."""
+    want = T._parse_datatype_string(schema)
+    if missing := [f.name for f in want.fields if f.name not in df.columns]:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in want.fields))
 
 
 def read_ball_csv(spark: SparkSession, path: str) -> DataFrame:
