@@ -7,6 +7,7 @@ from .fingerprints import op3_fingerprints
 from .langid import op6_langid
 from .licenses import op9_licenses
 from .minhash import op8_minhash
+from .oracles import OP2_SQL, OP8_SQL, OP10_SQL
 from .packing import op5_packing
 from .quality import op1_quality
 from .secrets import op4_secrets
@@ -25,4 +26,4 @@ QUERIES: dict = {
     "op9_licenses": op9_licenses,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict = {"op7_urlrules": OP7_SQL}
+ORACLES: dict = {"op2_substrings": OP2_SQL, "op7_urlrules": OP7_SQL, "op8_minhash": OP8_SQL, "op10_decontaminate": OP10_SQL}
