@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -64,6 +65,24 @@ def test_cut_equal_and_missing_ids(spark):
     assert cut(spark.createDataFrame([(5, x + x), (5, z)], "doc_id long, text string")) == sorted(brute.removed([(5, x + x), (5, z)], 100), key=repr)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_corpus_order(seed, monkeypatch):
+    monkeypatch.setattr(X, "WINDOW", 3 + seed % 2 * 5)
+    monkeypatch.setattr(X, "WORD", (3, 8, 32)[seed % 3])
+    rng, length = random.Random(seed), (12, 40, 100)[seed % 3]
+    pool = "".join(rng.choice("ab" if seed % 2 else "abcdefgh") for _ in range(600))
+    phrases = []
+    for _ in range(60):
+        a, n = rng.randrange(400), rng.randrange(length, length + 80)
+        t = (pool * 2)[a : a + n]
+        k = rng.randrange(n)
+        phrases.append((t[:k] + rng.choice("xyz") + t[k + 1 :] if rng.random() < 0.5 else "a" * n if rng.random() < 0.2 else t).encode())
+    strings = [p[i : i + length] for p in phrases for i in range(len(p) - length + 1)]
+    got = X.corpus_order(np.frombuffer(b"".join(phrases), np.uint8), np.array([len(p) for p in phrases]), length).tolist()
+    place = {s: i for i, s in enumerate(sorted(set(strings)))}
+    assert got == [place[s] for s in strings]
+
+
 def test_cut_odd(odd, crowded, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     want = sorted(brute.removed(rows, 20), key=repr)

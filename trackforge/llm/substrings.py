@@ -11,11 +11,12 @@ places around equal triggers, and the text of repeats shrinks to few phrases.
 1. The parse: phrases, as hashes, meet by trigger.  All but the first of equal
    phrases are removed wholesale.  Equal phrases of one batch meet before the
    shuffle, so a passage in a third of all texts is one phrase per batch.
-2. The dictionary: only where different phrases share a trigger can their
-   strings partly agree.  The first occurrences of those phrases are fetched, and
-   the suffix array of the dictionary part (prefix doubling up to ``LENGTH``
-   bytes) brings equal strings together; the first in corpus order stays.
-   Since no string leaves its phrase, the order of the parse beyond is not needed.
+2. Corpus order: only where different phrases share a trigger can their strings
+   partly agree.  The first occurrences of those phrases are fetched.  They repeat
+   each other for the most part, so a second parse cuts them into words by a rolling
+   hash, and the suffix arrays of the dictionary of words and of the parse combine
+   into the order of all their strings (``corpus_order``).  Equal strings stand
+   together; the first in the corpus stays.
 3. Both kinds of starts are gathered per document and its bytes cut.
 
 A trigger with more than ``CROWDED`` different phrases would load one task; its
@@ -40,7 +41,8 @@ TRIGGER = 24
 CROWDED = 20_000
 FLUSH = 250_000  # phrases held by a task before they are sent on
 PART_BYTES = 48 << 20  # text per task of the first step
-DICTIONARY_PARTS = 3  # times as many tasks for suffix arrays, which need some sixty times their bytes
+DICTIONARY_PARTS = 3  # times as many tasks for suffix arrays
+WINDOW, WORD = 8, 32  # bytes of a trigger within a phrase, and how far apart they are on average
 NULL_ID = -(1 << 63)  # rows without an id come first
 U64 = K.U64
 
@@ -228,39 +230,107 @@ def _fetch(parts: int, length: int):
     return run
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of every suffix by its first ``length`` bytes (equal ones share it).
+def suffix_ranks(values: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """Rank of every suffix by its first ``width`` values; equal ones share it.
 
-    Prefix doubling: ranks by twice as many bytes come from pairs of ranks.  The
-    last ``length - 1`` suffixes, which are shorter, get no meaning.
+    The suffix at i ends before ``ends[i]``, and comes before those it is a prefix of.
+    ``values`` are ranks from 1.  Prefix doubling: ranks by twice as many values come
+    from pairs of ranks.
     """
-    n = len(data)
-    rank, width = data.astype(np.int64), 1
-    if n >= 8 <= length:  # the first eight bytes at once, as one big-endian number
-        words = np.zeros(n, U64)
-        for j in range(8):
-            words[: n - j] |= data[j:].astype(U64) << U64(8 * (7 - j))
-        rank, width = _dense(words), 8
-    while width < length:
-        step = min(width, length - width)
+    n, rank, known = len(values), values.astype(np.int64), 1
+    place = np.arange(n)
+    while known < width:
+        step = min(known, width - known)
+        inside = np.flatnonzero(place + step < ends)
         second = np.zeros(n, np.int64)
-        if step < n:
-            second[: n - step] = rank[step:]
-        rank = _dense(rank.astype(U64) * U64(n + 256) + second.astype(U64))
-        width += step
+        second[inside] = rank[inside + step]
+        rank = _dense(rank.astype(U64) * U64(int(second.max(initial=0)) + 1) + second.astype(U64))
+        known += step
     return rank
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
+    """Ranks from 1."""
     order = np.argsort(keys)
     ranked = keys[order]
-    new = np.zeros(len(keys), np.int64)
+    new = np.ones(len(keys), np.int64)
     new[1:] = ranked[1:] != ranked[:-1]
     out = np.empty(len(keys), np.int64)
     out[order] = np.cumsum(new)
     return out
 
 
+def _word_starts(data: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where words begin: at every phrase and at every window whose rolling hash is
+    divisible by ``WORD`` and that has a byte behind it in its phrase."""
+    cut = np.zeros(len(data), bool)
+    if len(data) > WINDOW:
+        _, down = K.powers(len(data) + 1)
+        sums = prefix_sums(data)
+        cut[: len(data) - WINDOW + 1] = K.mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: len(data) - WINDOW + 1]) % U64(WORD) == 0
+    left = np.repeat(base + sizes, sizes) - np.arange(len(data))
+    cut &= left > WINDOW
+    cut[base] = True
+    return np.flatnonzero(cut)
+
+
+def corpus_order(data: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """A number for each start of ``length`` bytes within each of the phrases that make
+    up ``data``, in their order; equal strings have equal numbers, in the order of
+    strings.
+
+    Prefix-free parsing (Boucher et al., 2019): triggers cut the phrases into words that
+    overlap by a window.  The suffix array of the dictionary of different words orders
+    what is left of a word; the suffix array of the parse, a text of word ranks,
+    orders what follows where that is shorter than ``length``.  Both are small where
+    the text repeats itself.
+    """
+    base = np.cumsum(sizes) - sizes
+    begin = _word_starts(data, base, sizes)
+    owner = np.searchsorted(base, begin, side="right") - 1
+    stop = base[owner] + sizes[owner]  # end of the phrase
+    last = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.zeros(0, bool)
+    end = np.where(last, stop, np.append(begin[1:], 0) + WINDOW)
+
+    # the dictionary, its suffixes and their order
+    raw, numbers = data.tobytes(), {}
+    word = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+    text = np.frombuffer(b"".join(numbers), np.uint8)
+    widths = np.array([len(w) for w in numbers], np.int64)
+    at = np.cumsum(widths) - widths
+    ends = np.repeat(at + widths, widths)
+    in_dictionary = suffix_ranks(text.astype(np.int64) + 1, ends, length)
+
+    # the parse and the order of its suffixes; a word adds a byte at least
+    final = np.searchsorted(begin, stop, side="left")
+    in_parse = suffix_ranks(in_dictionary[at[word]], final, length)
+
+    # both together, for every start
+    count = sizes - length + 1
+    first = np.repeat(base, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    j = np.searchsorted(begin, first, side="right") - 1
+    offset = at[word[j]] + first - begin[j]
+    high = in_dictionary[offset]
+    follows = ends[offset] - offset < length
+    low = np.zeros(len(first), np.int64)
+    low[follows] = in_parse[j[follows] + 1]
+    keys = _dense(high.astype(U64) * U64(len(begin) + 2) + low.astype(U64))
+    # what follows may differ only beyond the string: neighbours in order are compared
+    order = np.argsort(keys)
+    ranked = keys[order]
+    edge = np.flatnonzero(ranked[1:] != ranked[:-1]) + 1
+    same = high[order[edge]] == high[order[edge - 1]]
+    x, y = first[order[edge[same]]], first[order[edge[same] - 1]]
+    equal = np.array([raw[a : a + length] == raw[b : b + length] for a, b in zip(x.tolist(), y.tolist(), strict=True)], bool)
+    new = np.ones(len(edge), bool)
+    new[np.flatnonzero(same)[equal]] = False
+    step = np.zeros(len(first), np.int64)
+    step[edge[new]] = 1
+    out = np.empty(len(first), np.int64)
+    out[order] = np.cumsum(step)
+    return out
+
+
 def _settle(length: int):
     """Starts of a dictionary part whose string occurs earlier."""
 
@@ -276,10 +346,9 @@ def _settle(length: int):
         data = np.frombuffer(b"".join(phrases), np.uint8)
         sizes = np.array([len(p) for p in phrases], np.int64)
         count = sizes - length + 1
-        base = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(sizes)), count)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        rank = suffix_ranks(data, length)[base[owner] + nth]
+        rank = corpus_order(data, sizes, length)
         doc, tag, start = (np.concatenate(c)[owner] for c in at)
         start = start + nth
         order = np.lexsort((start, tag, doc, rank))
