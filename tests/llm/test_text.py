@@ -36,9 +36,11 @@ def test_cut_query(spark, small):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("crowd", [2, 20_000])
-def test_cut_random(spark, monkeypatch, seed, crowd):
+@pytest.mark.parametrize(("crowd", "busy"), [(2, 64), (20_000, 64), (20_000, 1)])
+def test_cut_random(spark, monkeypatch, seed, crowd, busy):
     monkeypatch.setattr(X, "FLUSH", 500)
+    monkeypatch.setattr(X, "LEAST_BUSY", busy)
+    monkeypatch.setattr(X, "BUSY", min(8, busy))
     rng = random.Random(seed)
     length, rows = rng.choice([8, 20]), []
     for i in range(50):
@@ -54,6 +56,21 @@ def test_cut_random(spark, monkeypatch, seed, crowd):
     assert cut(df, length, max(2, length // 4), crowd) == sorted(brute.removed(rows, length), key=repr)
 
 
+def test_cut_a_common_line(spark, monkeypatch):
+    """One line with different surroundings in each text: its triggers are busy."""
+    monkeypatch.setattr(X, "FLUSH", 4000)
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    line = noise(140)
+    rows = [(i, noise(150) + line + noise(rng.randint(0, 150))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    base = df.selectExpr("doc_id place", "text", "xxhash64(text) tag")
+    parsed = base.mapInArrow(X._parser(64, 100, 24), X.PARSED)
+    assert 1 <= len(X._busy_triggers(parsed, 64)) < 64
+    monkeypatch.setattr(X, "shuffle_width", lambda spark: 64)
+    assert cut(df) == sorted(brute.removed(rows, 100), key=repr)
+
+
 def test_cut_equal_and_missing_ids(spark):
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))

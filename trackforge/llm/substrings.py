@@ -19,8 +19,11 @@ places around equal triggers, and the text of repeats shrinks to few phrases.
    together; the first in the corpus stays.
 3. Both kinds of starts are gathered per document and its bytes cut.
 
-A trigger with more than ``CROWDED`` different phrases would load one task; its
-strings go one by one to the tasks their own hashes name.
+A trigger that opens far more phrases than others (a common line with different
+surroundings) would load one task.  Each batch names those it meets too often; the
+few that are so in the whole corpus are dealt by phrase instead, and the strings of
+their phrases, like those of a trigger with more than ``CROWDED`` different ones,
+go to the tasks their own hashes name, once for each batch of texts.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ LENGTH = 100
 TRIGGER = 24
 CROWDED = 20_000
 FLUSH = 250_000  # phrases held by a task before they are sent on
+LEAST_BUSY = 64  # phrases of a trigger in a batch that name it, at least
+BUSY = 8  # times a task's fair share of a batch: from so many phrases on a trigger is named
 PART_BYTES = 48 << 20  # text per task of the first step
 DICTIONARY_PARTS = 3  # times as many tasks for suffix arrays
 WINDOW, WORD = 8, 32  # bytes of a trigger within a phrase, and how far apart they are on average
@@ -121,6 +126,27 @@ def _ordered(c: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarra
 
 FOUND = "kind int, place long, tag long, starts array<long>, triggers array<long>"  # start << 16 | count
 KIND_SENT, KIND_REMOVED, KIND_OPEN, KIND_CROWDED = 0, 1, 2, 3
+#: rows of the parse that are no blobs: removed starts; a busy trigger and how often; how many phrases in all
+PART_REMOVED, PART_BUSY, PART_TOTAL = -1, -2, -3
+PARSED = "part int, place long, tag long, starts array<long>, blob binary"
+
+
+def _blobs(c: dict[str, np.ndarray], part: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Phrases packed by the part that each goes to."""
+    order = np.lexsort((c["start"], c["tag"], c["doc"], part))
+    c, part = {n: x[order] for n, x in c.items()}, part[order]
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    used = np.flatnonzero(np.diff(cuts))
+    blobs = [_pack({n: x[cuts[i] : cuts[i + 1]] for n, x in c.items()}) for i in used]
+    return _parsed(used, blob=pa.array(blobs, pa.binary()))
+
+
+def _parsed(part: np.ndarray, place=None, tag=None, starts=None, blob=None) -> pa.RecordBatch:
+    n = len(part)
+    kinds = {"place": pa.int64(), "tag": pa.int64(), "starts": pa.list_(pa.int64()), "blob": pa.binary()}
+    given = {"place": place, "tag": tag, "starts": starts, "blob": blob}
+    rest = [pa.nulls(n, kind) if given[name] is None else given[name] for name, kind in kinds.items()]
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *rest], names=["part", *kinds])
 
 
 def _by_doc(kind: int, c: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -148,23 +174,15 @@ def _parser(parts: int, length: int, trigger: int):
             c, head, same = _ordered(c)
             gone = _by_doc(KIND_REMOVED, {n: x[~same] for n, x in c.items()})
             if gone.num_rows:
-                n = gone.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, -1, np.int32)), gone.column("place"), gone.column("tag"), gone.column("starts"), pa.nulls(n, pa.binary())], names=["part", "place", "tag", "starts", "blob"]
-                )
+                yield _parsed(np.full(gone.num_rows, PART_REMOVED), gone.column("place"), gone.column("tag"), gone.column("starts"))
             # of repeated rows the first place is sent once
             c = {n: x[head] for n, x in c.items()}
-            part = (c["trigger"] % U64(parts)).astype(np.int64)
-            order = np.lexsort((c["start"], c["tag"], c["doc"], part))
-            c, part = {n: x[order] for n, x in c.items()}, part[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            used = np.flatnonzero(np.diff(cuts))
-            blobs = [_pack({n: x[cuts[i] : cuts[i + 1]] for n, x in c.items()}) for i in used]
-            n = len(used)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(blobs, pa.binary())],
-                names=["part", "place", "tag", "starts", "blob"],
-            )
+            yield _parsed(np.array([PART_TOTAL]), tag=pa.array([len(c["doc"])], pa.int64()))
+            triggers, times = np.unique(c["trigger"], return_counts=True)
+            busy = times > max(LEAST_BUSY, BUSY * len(c["doc"]) / parts)
+            if busy.any():
+                yield _parsed(np.full(int(busy.sum()), PART_BUSY), pa.array(triggers[busy].view(np.int64)), pa.array(times[busy].astype(np.int64)))
+            yield _blobs(c, (c["trigger"] % U64(parts)).astype(np.int64), parts)
 
         for whole in batches:
             for batch in K.slices(whole, "text", K.SLICE_BYTES // 2):
@@ -181,7 +199,31 @@ def _parser(parts: int, length: int, trigger: int):
     return run
 
 
-def _meet(crowded: int):
+def _busy_triggers(parsed: DataFrame, parts: int) -> np.ndarray:
+    """Triggers with so many phrases that fewer than ``parts`` can have as many."""
+    total = parsed.where(F.col("part") == PART_TOTAL).agg(F.sum("tag")).first()[0] or 0
+    named = parsed.where(F.col("part") == PART_BUSY).groupBy("place").agg(F.sum("tag").alias("n"))
+    return np.array(sorted(r["place"] for r in named.where(F.col("n") > max(LEAST_BUSY, total / parts)).collect()), np.int64).view(U64)
+
+
+def _spread(busy: np.ndarray, parts: int):
+    """Deals the phrases of busy triggers by phrase."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_numpy(), batch.column("blob").to_pylist(), strict=True):
+                c = _unpack([blob])
+                hot = np.isin(c["trigger"], busy)
+                if hot.any():
+                    to = np.where(hot, (K.mix(c["phrase"]) % U64(parts)).astype(np.int64), part)
+                    yield _blobs(c, to, parts).select(["part", "blob"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
+
+    return run
+
+
+def _meet(crowded: int, busy: np.ndarray):
     """Phrases of a part's triggers: what is removed, and what is still open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +239,8 @@ def _meet(crowded: int):
         new[1:] = c["trigger"][1:] != c["trigger"][:-1]
         group = np.cumsum(new) - 1
         kinds = np.bincount(group)[group]
-        for kind, pick in ((KIND_OPEN, (kinds > 1) & (kinds <= crowded)), (KIND_CROWDED, kinds > crowded)):
+        many = (kinds > crowded) | np.isin(c["trigger"], busy)
+        for kind, pick in ((KIND_OPEN, (kinds > 1) & ~many), (KIND_CROWDED, many)):
             if pick.any():
                 yield _by_doc(kind, {n: x[pick] for n, x in c.items()})
 
@@ -211,20 +254,28 @@ def _fetch(parts: int, length: int):
         for whole in batches:
             for batch in K.slices(whole, "text"):
                 out: tuple[list, ...] = ([], [], [], [], [])
+
+                def send(key: int, *rest) -> None:
+                    for column, value in zip(out, ((key & (2**64 - 1)) % parts, *rest), strict=True):  # noqa: B023
+                        column.append(value)
+
+                first: dict[bytes, tuple] = {}  # of each string of crowded triggers
                 for place, tag, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("place", "tag", "text", "wanted")), strict=True):
                     data = text.encode()
                     for w in wanted:
                         for code, trig in zip(w["starts"], w["triggers"], strict=True):
                             start, count = code >> 16, code & 0xFFFF
                             if w["kind"] == KIND_OPEN:
-                                rows = [(trig, start, data[start : start + count - 1 + length])]
-                            else:
-                                rows = [(None, i, data[i : i + length]) for i in range(start, start + count)]
-                            for key, at, phrase in rows:
-                                if key is None:
-                                    key = int.from_bytes(hashlib.blake2b(phrase, digest_size=8).digest(), "little")
-                                for column, value in zip(out, ((key & (2**64 - 1)) % parts, place, tag, at, phrase), strict=True):
-                                    column.append(value)
+                                send(trig, place, tag, start, data[start : start + count - 1 + length])
+                                continue
+                            for i in range(start, start + count):
+                                key, mine = data[i : i + length], (place, tag, i)
+                                old = first.setdefault(key, mine)
+                                if old != mine:
+                                    first[key] = min(old, mine)
+                                    send(place, *max(old, mine), None)  # removed, whoever else has it
+                for key, mine in first.items():
+                    send(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little"), *mine, key)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "place", "tag", "start", "phrase"])
 
     return run
@@ -332,12 +383,19 @@ def corpus_order(data: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray
 
 
 def _settle(length: int):
-    """Starts of a dictionary part whose string occurs earlier."""
+    """Starts of a dictionary part whose string occurs earlier; rows without a string
+    are such starts already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: list[bytes] = []
         at: list[list[np.ndarray]] = [[], [], []]
         for batch in batches:
+            known = batch.column("phrase").is_null()
+            if known.true_count:
+                gone = batch.filter(known)
+                c = {name: gone.column(column).to_numpy() for name, column in (("doc", "place"), ("tag", "tag"), ("start", "start"))}
+                yield _by_doc(KIND_REMOVED, c | {"count": np.ones(gone.num_rows, np.int64), "trigger": np.zeros(gone.num_rows, U64)})
+                batch = batch.filter(pa.compute.invert(known))
             phrases += batch.column("phrase").to_pylist()
             for column, name in zip(at, ("place", "tag", "start"), strict=True):
                 column.append(batch.column(name).to_numpy())
@@ -402,10 +460,13 @@ def removal(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, crowd
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_width(spark), -(-size // PART_BYTES))
 
-    parsed = pin(base.mapInArrow(_parser(parts, length, trigger), "part int, place long, tag long, starts array<long>, blob binary"), "phrases")
-    early = parsed.where("part < 0").select("place", "tag", "starts")
-    met = parsed.where("part >= 0").select("part", "blob").repartitionById(parts, F.col("part"))
-    met = pin(met.mapInArrow(_meet(crowded), FOUND), "met")
+    parsed = pin(base.mapInArrow(_parser(parts, length, trigger), PARSED), "phrases")
+    early = parsed.where(F.col("part") == PART_REMOVED).select("place", "tag", "starts")
+    busy = _busy_triggers(parsed, parts)
+    met = parsed.where("part >= 0").select("part", "blob")
+    if len(busy):
+        met = met.mapInArrow(_spread(busy, parts), "part int, blob binary")
+    met = pin(met.repartitionById(parts, F.col("part")).mapInArrow(_meet(crowded, busy), FOUND), "met")
 
     wanted = met.where(F.col("kind") >= KIND_OPEN).groupBy("place", "tag").agg(F.collect_list(F.struct("kind", "starts", "triggers")).alias("wanted"))
     phrases = base.join(wanted, ["place", "tag"]).mapInArrow(_fetch(DICTIONARY_PARTS * parts, length), "part int, place long, tag long, start long, phrase binary")
