@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import pin, shuffle_width, table
+from .shared import pin, shuffle_width, table, unpin
 
 LENGTH = 100
 TRIGGER = 24
@@ -461,18 +461,20 @@ def removal(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, crowd
     parts = max(shuffle_width(spark), -(-size // PART_BYTES))
 
     parsed = pin(base.mapInArrow(_parser(parts, length, trigger), PARSED), "phrases")
-    early = parsed.where(F.col("part") == PART_REMOVED).select("place", "tag", "starts")
+    early = parsed.where(F.col("part") == PART_REMOVED)
+    early = early.select(F.lit(KIND_REMOVED).alias("kind"), "place", "tag", "starts", F.lit(None).cast("array<long>").alias("triggers"))
     busy = _busy_triggers(parsed, parts)
     met = parsed.where("part >= 0").select("part", "blob")
     if len(busy):
         met = met.mapInArrow(_spread(busy, parts), "part int, blob binary")
-    met = pin(met.repartitionById(parts, F.col("part")).mapInArrow(_meet(crowded, busy), FOUND), "met")
+    met = pin(met.repartitionById(parts, F.col("part")).mapInArrow(_meet(crowded, busy), FOUND).unionAll(early), "met")
+    unpin(parsed)
 
     wanted = met.where(F.col("kind") >= KIND_OPEN).groupBy("place", "tag").agg(F.collect_list(F.struct("kind", "starts", "triggers")).alias("wanted"))
     phrases = base.join(wanted, ["place", "tag"]).mapInArrow(_fetch(DICTIONARY_PARTS * parts, length), "part int, place long, tag long, start long, phrase binary")
     late = phrases.repartitionById(DICTIONARY_PARTS * parts, F.col("part")).mapInArrow(_settle(length), FOUND)
 
-    gone = early.unionAll(met.where(F.col("kind") == KIND_REMOVED).select("place", "tag", "starts")).unionAll(late.select("place", "tag", "starts"))
+    gone = met.where(F.col("kind") == KIND_REMOVED).select("place", "tag", "starts").unionAll(late.select("place", "tag", "starts"))
     gone = gone.groupBy("place", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     return base.join(gone, ["place", "tag"], "left").withColumn("doc_id", F.when(F.col("place") > NULL_ID, F.col("place"))).select("doc_id", "text", "starts")
 
