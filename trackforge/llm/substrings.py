@@ -46,7 +46,7 @@ FLUSH = 250_000  # phrases held by a task before they are sent on
 LEAST_BUSY = 64  # phrases of a trigger in a batch that name it, at least
 BUSY = 8  # times a task's fair share of a batch: from so many phrases on a trigger is named
 PART_BYTES = 48 << 20  # text per task of the first step
-DICTIONARY_PARTS = 3  # times as many tasks for suffix arrays
+DICTIONARY_PARTS = 6  # times as many tasks for suffix arrays, which need some sixty times their bytes
 WINDOW, WORD = 8, 32  # bytes of a trigger within a phrase, and how far apart they are on average
 NULL_ID = -(1 << 63)  # rows without an id come first
 U64 = K.U64
@@ -185,7 +185,7 @@ def _parser(parts: int, length: int, trigger: int):
             yield _blobs(c, (c["trigger"] % U64(parts)).astype(np.int64), parts)
 
         for whole in batches:
-            for batch in K.slices(whole, "text", K.SLICE_BYTES // 2):
+            for batch in K.slices(whole, "text", K.SLICE_BYTES // 4):
                 buf, offs = K.text_bytes(batch.column("text"))
                 first, count, trig, phrase = parse(buf, offs, length, trigger)
                 row = np.searchsorted(offs, first, side="right") - 1
@@ -252,7 +252,7 @@ def _fetch(parts: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in K.slices(whole, "text"):
+            for batch in K.slices(whole, "text", K.SLICE_BYTES // 2):
                 out: tuple[list, ...] = ([], [], [], [], [])
 
                 def send(key: int, *rest) -> None:
