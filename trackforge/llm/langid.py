@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -228,7 +228,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
                 tag = hashlib.sha256(text.encode()).hexdigest()
-                rows += [(lang, doc, tag, i, b.cells.tobytes(), b.counts.tobytes()) for i, b in enumerate(map(bag, _snippets(text)))]
+                rows += [(lang, doc, tag, i, compress(b.cells.tobytes()), compress(b.counts.tobytes())) for i, b in enumerate(map(bag, _snippets(text)))]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.string(), batch.column("doc_id").type, pa.string(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "doc_id", "tag", "nth", "cells", "counts"])
@@ -249,7 +249,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         if r.nth == 0:
             bags.append([])
             labels.append(r.lang)
-        bags[-1].append(Bag(np.frombuffer(r.cells, np.uint16), np.frombuffer(r.counts, np.uint32)))
+        bags[-1].append(Bag(np.frombuffer(decompress(r.cells), np.uint16), np.frombuffer(decompress(r.counts), np.uint32)))
+    del found
     order = np.random.default_rng(3).permutation(len(bags))
     return learn([bags[i] for i in order], [labels[i] for i in order])
 

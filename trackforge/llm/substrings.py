@@ -44,7 +44,7 @@ TRIGGER = 24
 CROWDED = 20_000
 FLUSH = 250_000  # phrases held by a task before they are sent on
 LEAST_BUSY = 64  # phrases of a trigger in a batch that name it, at least
-BUSY = 8  # times a task's fair share of a batch: from so many phrases on a trigger is named
+BUSY = 2  # times a task's fair share of a batch: from so many phrases on a trigger is named
 PART_BYTES = 48 << 20  # text per task of the first step
 DICTIONARY_PARTS = 6  # times as many tasks for suffix arrays, which need some sixty times their bytes
 WINDOW, WORD = 8, 32  # bytes of a trigger within a phrase, and how far apart they are on average
