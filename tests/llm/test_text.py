@@ -112,7 +112,7 @@ def test_cut_odd(odd, crowded, none):
 def test_suffix_ranks(data):
     import numpy as np
 
-    rank = X.suffix_ranks(np.frombuffer(data, np.uint8), 9)
+    rank = X.suffix_ranks(np.frombuffer(data, np.uint8).astype(np.int64) + 1, np.full(len(data), len(data)), 9)
     n = len(data) - 8
     order = sorted(range(max(n, 0)), key=lambda i: rank[i])
     keys = [data[i : i + 9] for i in order]
