@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from trackforge.llm import fingerprints as P
 from trackforge.llm import graph, minhash
+from trackforge.llm import kernels as K
 
 
 def as_dict(df):
@@ -129,6 +130,34 @@ def sketch(text):
     return P.sketches(pa.array([text]))[0]
 
 
+def plain_sketch(text):
+    """Shingle hashes one by one, in Python integers; the smallest of them."""
+    ones = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & ones
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & ones
+        return x ^ x >> 31
+
+    words = []
+    for w in brute.re.findall(r"[^\x20\x09-\x0D]+", brute.lower(text)):
+        b = w.encode()
+        words.append(mix((sum(int(K._LETTER[c]) * pow(int(K._BASE), i, 1 << 64) for i, c in enumerate(b)) + len(b)) & ones))
+    few, out = len(words) < P.SHINGLE, set()
+    for i in range(1 if words and few else len(words) - P.SHINGLE + 1):
+        h = 0
+        for w in words[i : i + P.SHINGLE]:
+            h = (h * 0xD6E8FEB86659FD93 + w) & ones
+        out.add(mix(h ^ 0xA5A5A5A5A5A5A5A5) if few else mix(h))
+    return sorted(out)[: P.SIZE]
+
+
+def test_sketches_by_a_plain_loop(spark):
+    texts = ["", None, "  ", "One two", "one TWO three four five", "a a a a a a a", "été là où va-t-il, dis donc ?\n" * 3]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 4000").limit(60).collect()]
+    assert [a.tolist() for a in P.sketches(pa.array(texts))] == [plain_sketch(t or "") for t in texts]
+
+
 def test_sketches_merge_and_estimate():
     rng = random.Random(2)
     words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]

@@ -131,7 +131,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     In the edited text the last floor(n / 2) code points give way to the first
     as many of the next document, by descending doc_id, the first following the
-    last.  Texts move once, to ranges of doc_id; the first document of each range
+    last.  One row per row, none for an empty table; whole texts, however long; other
+    columns are not read.  Texts move once, to ranges of doc_id; the first document of each range
     is also sent to the range before it, so that every row meets its successor.
 
     Null texts are empty.  Repeated ids follow each other by descending text;
@@ -163,4 +164,6 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``edited_likeness`` of the whole documents table; nulls, ties and repeated rows as
+    there."""
     return edited_likeness(table(spark, sf_dir, "documents"))

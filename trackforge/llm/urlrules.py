@@ -130,6 +130,8 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 
 
 def op7_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``judge`` of the whole pages table by ``RULES``.  Null urls have an empty host and
+    path and no rule; repeated rows are judged alike; an empty table gives no rows."""
     return judge(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
 
