@@ -5,7 +5,7 @@ everything else one space); a linear layer and a softmax give the language.
 Embeddings and layer are trained by stochastic gradient descent in numpy on a
 bounded sample of rows (``SAMPLE`` texts per language).  Of each the whole text
 and shorter snippets count: executors turn them into n-gram counts, of which at
-most ``BUCKETS`` reach the driver, however long the text.
+most ``BUCKETS`` are kept, however long the text, and one task learns from them.
 
 A text is rejected for being unlike all that was learned, not for being torn between
 languages: its familiarity is the mean log share of its n-grams in the training
@@ -20,12 +20,16 @@ n-gram scores, and whole texts are scored by summing table rows.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from zlib import compress, crc32, decompress
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -223,36 +227,39 @@ def learn(bags: list[list[Bag]], labels: list[str], seed: int = 7) -> Model:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text: its bag and those of its snippets, pickled."""
     for whole in batches:
         for batch in K.slices(whole, "text"):
-            rows = []
-            for doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
-                tag = hashlib.sha256(text.encode()).hexdigest()
-                rows += [(lang, doc, tag, i, compress(b.cells.tobytes()), compress(b.counts.tobytes())) for i, b in enumerate(map(bag, _snippets(text)))]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.string(), batch.column("doc_id").type, pa.string(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "doc_id", "tag", "nth", "cells", "counts"])
+            texts = batch.column("text").to_pylist()
+            tags = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+            bags = [compress(pickle.dumps([bag(s) for s in _snippets(t)])) for t in texts]
+            columns = [batch.column("lang"), batch.column("doc_id"), pa.array(tags, pa.string()), pa.array(bags, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "doc_id", "tag", "bags"])
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of a whole sample, pickled; no row without texts."""
+    parts = [b.to_pandas() for b in batches]
+    if not parts:
+        return
+    # in an order of their own; equal rows have equal bags
+    found = pd.concat(parts).sort_values(["lang", "doc_id", "tag"], ignore_index=True)
+    found = found.iloc[np.random.default_rng(3).permutation(len(found))]
+    model = learn([pickle.loads(decompress(b)) for b in found["bags"]], list(found["lang"]))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on ``docs(doc_id, text, lang)`` where text and lang are not null: about
     ``sample`` rows of each language, ``MOST_ROWS`` of all, whole texts.  Without such
-    rows the model knows no language and rejects all texts.
+    rows the model knows no language and rejects all texts.  One task learns from the
+    sample, so that the driver receives the model only.
     """
     rows = per_class(docs.where("text is not null and lang is not null").select("doc_id", "lang", "text"), "lang", "doc_id", sample, MOST_ROWS)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(_bags, f"lang string, doc_id {kind}, tag string, nth int, cells binary, counts binary").toPandas()
-    # equal rows give equal bags: after the sort a text is a run of rows from nth = 0
-    found = found.sort_values(["lang", "doc_id", "tag"], kind="stable", ignore_index=True)
-    bags, labels = [], []
-    for r in found.itertuples(index=False):
-        if r.nth == 0:
-            bags.append([])
-            labels.append(r.lang)
-        bags[-1].append(Bag(np.frombuffer(decompress(r.cells), np.uint16), np.frombuffer(decompress(r.counts), np.uint32)))
-    del found
-    order = np.random.default_rng(3).permutation(len(bags))
-    return learn([bags[i] for i in order], [labels[i] for i in order])
+    found = rows.mapInArrow(_bags, f"lang string, doc_id {kind}, tag string, bags binary")
+    learned = found.repartition(1).mapInArrow(_learned, "model binary").collect()
+    return pickle.loads(learned[0]["model"]) if learned else _untaught()
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -295,7 +302,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     names = docs.columns
     half = next(n for i in range(len(names) + 1) if (n := f"half_{i}") not in {c.lower() for c in names})
     parted = docs.withColumn(half, F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
-    models = [train(parted.where(F.col(half) != i)) for i in (0, 1)]
+    with ThreadPoolExecutor(2) as pool:
+        started = [pool.submit(inheritable_thread_target(docs.sparkSession)(train), parted.where(F.col(half) != i)) for i in (0, 1)]
+    models = [s.result() for s in started]
     models = [m if m.languages else models[1 - i] for i, m in enumerate(models)]
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
