@@ -106,8 +106,12 @@ TOUCH = "video_id long, touch_id long, frame long, img_x double, img_y double, a
 
 
 def detect_touches(dense: DataFrame, percentile: float = 92, spacing: int = 12, prominence: float = 3.0, least: int = 10) -> DataFrame:
-    """Frames where the ball's acceleration peaks; ``dense`` has a row per frame."""
-    moves = W.acceleration(dense, ["video_id"], "img_x", "img_y")
+    """Frames where the ball's acceleration peaks; ``dense`` has a row per frame.
+
+    Accelerations that agree to six decimals are equal, so that the last bits of the
+    arithmetic do not choose among the frames of a plateau.
+    """
+    moves = W.acceleration(dense, ["video_id"], "img_x", "img_y").withColumn("accel", F.round("accel", 6))
 
     def peaks(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame").reset_index(drop=True)

@@ -543,9 +543,35 @@ def trajectory(spark, d):
     return B.flights(ball_rows(spark, d), fps=1.0, frame_w=FRAME_W, max_gap_s=30)
 
 
-@query("touch_peaks")
+PEAKS = f"""{SMOOTHED}, acc AS (SELECT video_id, frame, img_x, img_y, row_number() OVER w AS i,
+    round(sqrt(pow(lead(img_x) OVER w - 2 * img_x + lag(img_x) OVER w, 2) + pow(lead(img_y) OVER w - 2 * img_y + lag(img_y) OVER w, 2)), 6) AS accel
+  FROM smoothed WINDOW w AS (PARTITION BY video_id ORDER BY frame)),
+  height AS (SELECT video_id, quantile_cont(accel, 0.92) AS h FROM acc GROUP BY ALL HAVING count(accel) > 0 AND count(img_x) >= 10),
+  signal AS (SELECT video_id, i, coalesce(accel, 0) AS x FROM acc),
+  stepped AS (SELECT *, CAST(lag(x) OVER (PARTITION BY video_id ORDER BY i) IS DISTINCT FROM x AS INT) AS step FROM signal),
+  flat AS (SELECT video_id, r, min(i) AS lo, max(i) AS hi, min(x) AS x FROM (SELECT *, sum(step) OVER (PARTITION BY video_id ORDER BY i) AS r FROM stepped) GROUP BY video_id, r),
+  around AS (SELECT *, lag(x) OVER w AS before, lead(x) OVER w AS after FROM flat WINDOW w AS (PARTITION BY video_id ORDER BY r)),
+  ranked AS (SELECT video_id, (lo + hi) // 2 AS i, row_number() OVER (PARTITION BY video_id ORDER BY x DESC, (lo + hi) // 2 DESC) AS k
+    FROM around JOIN height USING (video_id) WHERE before < x AND after < x AND x >= h),
+  kept AS (SELECT video_id, k, [i] AS places FROM ranked WHERE k = 1 UNION ALL
+    SELECT r.video_id, r.k, CASE WHEN len(list_filter(places, lambda p: abs(p - r.i) < 12)) = 0 THEN list_append(places, r.i) ELSE places END
+    FROM kept JOIN ranked r ON r.video_id = kept.video_id AND r.k = kept.k + 1),
+  spaced AS (SELECT video_id, unnest(arg_max(places, k)) AS i FROM kept GROUP BY video_id),
+  tops AS (SELECT video_id, i, x AS top FROM spaced JOIN signal USING (video_id, i)),
+  walls AS (SELECT t.video_id, t.i, t.top, coalesce(max(s.i) FILTER (s.i < t.i), 0) AS wall_l, min(s.i) FILTER (s.i > t.i) AS wall_r
+    FROM tops t LEFT JOIN signal s ON s.video_id = t.video_id AND s.x > t.top GROUP BY ALL),
+  bases AS (SELECT w.video_id, w.i, w.top, min(s.x) FILTER (s.i <= w.i) AS low_l, min(s.x) FILTER (s.i >= w.i) AS low_r
+    FROM walls w JOIN signal s ON s.video_id = w.video_id AND s.i > wall_l AND s.i < coalesce(wall_r, s.i + 1) GROUP BY ALL),
+  peaks AS (SELECT video_id, i FROM bases WHERE top - greatest(low_l, low_r) >= 3)"""
+
+
+@query(
+    "touch_peaks",
+    f"""WITH RECURSIVE {PEAKS} SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame) - 1 AS touch_id, frame,
+  round(img_x, 4) AS img_x, round(img_y, 4) AS img_y, round(accel, 4) AS accel, round(accel / (h + 1e-6), 4) AS accel_z FROM peaks JOIN acc USING (video_id, i) JOIN height USING (video_id)""",
+)
 def touch_peaks(spark, d):
-    return B.detect_touches(B.reconstruct(ball_rows(spark, d), V, max_gap=GAP))
+    return _rounded(B.detect_touches(B.reconstruct(ball_rows(spark, d), V, max_gap=GAP)), "img_x", "img_y", "accel", "accel_z")
 
 
 # ---- many cameras, bodies, names
