@@ -530,7 +530,31 @@ def heatmap_decode(spark, d):
     return p.select("vec_id", "p.x", "p.y", F.round("p.radius", 4).alias("radius"), F.round("p.confidence", 4).alias("confidence"))
 
 
-@query("stitch_tracks")
+# the greedy joining, one track at a time: a track takes the first later start that is near its end; passes repeat until none joins
+STITCH = f"""{DET}, cut AS (SELECT *, CAST(frame - lag(frame) OVER w > 600 AS INT) AS hole FROM det WHERE conf >= 0.4 WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame, det_id)),
+  frag AS (SELECT * REPLACE (track_id * 1000000 + 1 + sum(coalesce(hole, 0)) OVER (PARTITION BY video_id, track_id ORDER BY frame, det_id) AS track_id) FROM cut),
+  ends AS (SELECT video_id, CAST(track_id AS BIGINT) AS track_id, min((frame, det_id, court_x, court_y)) AS s, max((frame, det_id, court_x, court_y)) AS e FROM frag GROUP BY ALL),
+  track AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY s[1], s[2]) AS i FROM ends),
+  later AS (SELECT a.video_id, a.i AS t, list(b.i ORDER BY b.i) AS next FROM track a JOIN track b ON b.video_id = a.video_id AND b.s[1] > a.e[1] AND b.s[1] <= a.e[1] + 720
+    WHERE pow(b.s[3] - a.e[3], 2) + pow(b.s[4] - a.e[4], 2) <= 36 GROUP BY ALL),
+  walk AS (SELECT video_id, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS pos, count(*) AS n, list(i ORDER BY i) AS tails, list(i ORDER BY i) AS roots, true AS joined FROM track GROUP BY video_id
+    UNION ALL
+    SELECT video_id, step + 1, pos, n,
+      CASE WHEN b IS NULL THEN tails ELSE list_transform(tails, lambda v, j: CASE WHEN j = pos THEN tails[b] ELSE v END) END,
+      CASE WHEN b IS NULL THEN roots ELSE list_transform(roots, lambda v, j: CASE WHEN j = b THEN pos ELSE v END) END, b IS NOT NULL OR (joined AND pos > 1)
+    FROM (SELECT m.*, list_filter(l.next, lambda c: m.roots[c] = c)[1] AS b FROM
+        (SELECT video_id, step, n, tails, roots, joined, coalesce(ahead, 1) AS pos
+          FROM (SELECT *, list_filter(range(pos + 1, n + 1), lambda j: roots[j] = j)[1] AS ahead FROM walk) WHERE ahead IS NOT NULL OR joined) m
+      LEFT JOIN later l ON l.video_id = m.video_id AND l.t = m.tails[m.pos])),
+  parent AS (SELECT video_id, unnest(range(1, n + 1)) AS i, unnest(arg_max(roots, step)) AS up FROM (SELECT video_id, n, step, roots FROM walk) GROUP BY video_id, n),
+  climb AS (SELECT video_id, i, up, i AS was FROM parent UNION ALL SELECT c.video_id, c.i, p.up, c.up FROM climb c JOIN parent p ON p.video_id = c.video_id AND p.i = c.up WHERE c.up <> c.was)"""
+
+
+@query(
+    "stitch_tracks",
+    f"""WITH RECURSIVE {STITCH} SELECT t.video_id, t.track_id, r.track_id AS root FROM climb c JOIN track t USING (video_id, i) JOIN track r ON r.video_id = c.video_id AND r.i = c.up
+  WHERE c.up IN (SELECT p.i FROM parent p WHERE p.video_id = c.video_id AND p.up = p.i) GROUP BY ALL""",
+)
 def stitch_tracks(spark, d):
     """Fragments (a track cut at its holes) joined again."""
     det = detections(spark, d).where("conf >= 0.4")
