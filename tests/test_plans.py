@@ -50,6 +50,19 @@ def test_every_event_is_a_moment(spark, name):
         assert sorted(got) == sorted(events)
 
 
+def test_jersey_vote_rounds_as_its_sql(spark, tmp_path):
+    """0.989 of 4.0 is 0.24725, a tie of roundings."""
+    con = duckdb.connect()
+    con.sql("SET timezone = 'UTC'")
+    # conf is event_id * 13 % 1000 / 1000, and 77 the inverse of 13
+    kept = ", ".join(f"({v * 77 % 1000}, {3 * n})" for n, v in enumerate((989, 800, 750, 730, 731)))
+    con.sql(f"COPY (SELECT CAST(i AS BIGINT) AS event_id, TIMESTAMP '2024-01-01' AS ts, CAST(8 AS BIGINT) AS user_id, '{{\"k\": ' || n || '}}' AS props FROM (VALUES {kept}) v(i, n)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df, want = catalogue.QUERIES["jersey_vote"](spark, f"file://{tmp_path}"), con.sql(catalogue.ORACLES["jersey_vote"])
+    assert want.fetchall()[0][4] == 0.2473
+    assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -86,6 +86,17 @@ def test_jersey_votes(spark):
     assert got[4]["votes"] == 0  # the 31st reading no longer counts
 
 
+def test_jersey_votes_do_not_hang_on_last_bits(spark):
+    """0.1 + 0.2 is no more than 0.3, which was seen first; 0.7 + 0.5 + 0.3 in this order is 1.5, in others less."""
+    reads = [(0, 1, 0, "9", 0.3), (0, 1, 1, "7", 0.1), (0, 1, 2, "7", 0.2)]
+    reads += [(0, 2, s, "7", c) for s, c in enumerate((0.7, 0.5, 0.3))]
+    df = spark.createDataFrame(reads, "video_id long, track_id long, seq long, text string, conf double").repartition(3)
+    roster = spark.createDataFrame([(7, "Ana"), (9, "Eva")], "number int, name string")
+    found = T.vote(T.roster_reads(df, roster, least=0.1), df, roster, least=0.2, share=0.4, dp=None).collect()
+    got = {r["track_id"]: (r["number"], r["weight"]) for r in found}
+    assert got == {1: (9, 0.3), 2: (7, 0.7 + 0.5 + 0.3)}
+
+
 BALL = "video_id long, det_id long, frame long, img_x double, img_y double, court_x double, court_y double, conf double"
 
 

@@ -212,24 +212,32 @@ def roster_reads(reads: DataFrame, roster: DataFrame, least: float = 0.3, cap: i
     return good.join(roster.select("number").distinct(), "number", "left_semi").drop("_k")
 
 
-def vote(reads: DataFrame, tracks: DataFrame, roster: DataFrame, least: float = 1.5, share: float = 0.5, dp: int = 2) -> DataFrame:
+def vote(reads: DataFrame, tracks: DataFrame, roster: DataFrame, least: float = 1.5, share: float = 0.5, dp: int | None = 2) -> DataFrame:
     """The name of each track: the number with the most weight, if that is enough
-    and at least ``share`` of all; equal weights go to the first seen."""
+    and at least ``share`` of all; equal weights (to six decimals) go to the first seen.
+
+    Weights are added in the order of ``seq``, and all of them from the largest on, so
+    that no other order of additions tips a weight over a limit.  Without ``dp``
+    confidence and weight are not rounded.
+    """
     part = ["video_id", "track_id"]
-    w = Window.partitionBy(*part)
-    sums = reads.groupBy(*part, "number").agg(F.sum("conf").alias("weight"), F.min("seq").alias("_first"))
-    sums = sums.withColumns({"_all": F.sum("weight").over(w), "_k": F.row_number().over(w.orderBy(F.desc("weight"), "_first"))}).where("_k = 1")
+    adding = Window.partitionBy(*part, "number").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    sums = reads.withColumn("_sum", F.sum("conf").over(adding)).groupBy(*part, "number").agg(F.max("_sum").alias("weight"), F.min("seq").alias("_first"))
+    w = Window.partitionBy(*part).orderBy(F.desc(F.round("weight", 6)), "_first")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = sums.withColumns({"_all": F.sum("weight").over(whole), "_k": F.row_number().over(w)}).where("_k = 1")
     votes = reads.groupBy(*part).agg(F.count(F.lit(1)).alias("votes"))
     best = sums.join(votes, part).join(roster.select("number", "name"), "number", "left")
     named = (F.col("weight") >= least) & (F.col("weight") / F.col("_all") >= share)
     out = tracks.select(*part).distinct().join(best, part, "left")
+    rounded = lambda c: c if dp is None else F.bround(c, dp)
     return out.select(
         *part,
         F.when(named, F.col("number")).alias("number"),
         F.when(named, F.col("name")).otherwise("desconocida").alias("name"),
-        F.coalesce(F.bround(F.col("weight") / F.col("_all"), dp), F.lit(0.0)).alias("confidence"),
+        F.coalesce(rounded(F.col("weight") / F.col("_all")), F.lit(0.0)).alias("confidence"),
         F.coalesce("votes", F.lit(0)).cast("long").alias("votes"),
-        F.coalesce(F.bround("weight", dp), F.lit(0.0)).alias("weight"),
+        F.coalesce(rounded(F.col("weight")), F.lit(0.0)).alias("weight"),
     )
 
 

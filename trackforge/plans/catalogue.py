@@ -40,6 +40,11 @@ def _rounded(df: DataFrame, *columns: str, dp: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, dp) for c in columns})
 
 
+def _halves_up(df: DataFrame, *columns: str, dp: int = 4) -> DataFrame:
+    """Rounded as DuckDB does: whole numbers after a multiplication of doubles."""
+    return df.withColumns({c: F.round(F.col(c) * 10**dp) / 10**dp for c in columns})
+
+
 ZONE = """CASE WHEN court_x BETWEEN -0.5 AND 9.5 AND court_y BETWEEN -0.5 AND 18.5 THEN
   CASE WHEN least(greatest(court_y, 0), 18) <= 9 THEN 'A' || (CASE WHEN least(greatest(court_y, 0), 18) > 4.5 THEN [4, 3, 2] ELSE [5, 6, 1] END)[c + 1]
   ELSE 'B' || (CASE WHEN 18 - least(greatest(court_y, 0), 18) > 4.5 THEN [2, 3, 4] ELSE [1, 6, 5] END)[c + 1] END END"""
@@ -375,7 +380,7 @@ def jersey_vote(spark, d):
     det = detections(spark, d)
     roster = spark.createDataFrame(ROSTER, "number int, name string")
     reads = T.roster_reads(det.withColumn("seq", F.col("det_id")), roster)
-    return T.vote(reads, det, roster, dp=4)
+    return _halves_up(T.vote(reads, det, roster, dp=None), "confidence", "weight")
 
 
 # ---- bodies, frames, tables
