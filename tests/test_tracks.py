@@ -224,6 +224,20 @@ def test_nearest_frame_against_a_loop(spark):
         assert {tuple(x) for x in found.collect()} == want
 
 
+def test_known_positions_are_those_of_every_track(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, int(t), i, int(f), float(f % 7), float(i)) for i, (t, f) in enumerate(zip(rng.integers(1, 5, 60), rng.integers(0, 400, 60), strict=True))]
+    df = spark.createDataFrame(rows, SAMPLE)
+    moments = spark.createDataFrame([(0, f, f - 50) for f in range(0, 520, 3)], "video_id long, touch_id long, frame long")
+    first = {t: min((r[3], r[2]) for r in rows if r[1] == t) for t in range(1, 5)}
+    for most, exact in ((1, False), (30, False), (30, True), (200, False)):
+        want = {(r["touch_id"], r["track_id"]): (r["x"], r["y"]) for r in W.asof_position(moments, df, most, exact).where("x is not null").collect()}
+        found = W.known_positions(moments, df, most, exact).collect()
+        got = {(r["touch_id"], r["track_id"]): (r["x"], r["y"]) for r in found}
+        assert len(found) == len(got) and got == want
+        assert all(tuple(r["seen"]) == first[r["track_id"]] for r in found)
+
+
 def test_asof_against_a_loop(spark):
     rng = np.random.default_rng(4)
     rows = [(0, int(t), i, int(f), float(f), float(t)) for i, (t, f) in enumerate(zip(rng.integers(1, 4, 60), rng.integers(0, 300, 60), strict=True))]
