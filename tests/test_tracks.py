@@ -238,6 +238,16 @@ def test_known_positions_are_those_of_every_track(spark):
         assert all(tuple(r["seen"]) == first[r["track_id"]] for r in found)
 
 
+def test_attribution_answers_once_for_each_frame(spark, monkeypatch):
+    """500 touches of a frame are held against the tracks once, as are frames without a ball not at all."""
+    asked, known = [], W.known_positions
+    monkeypatch.setattr(W, "known_positions", lambda moments, *a, **b: asked.append(moments.count()) or known(moments, *a, **b))
+    touches = spark.createDataFrame([(0, i, 50) for i in range(500)] + [(0, 500, 90), (0, 501, None)], "video_id long, touch_id long, frame long")
+    players = samples(spark, (1, range(40, 61, 5), (1, 1)), (2, range(40, 61, 5), (8, 8)))
+    got = {r["touch_id"]: r["track_id"] for r in B.attribute(touches, ball(spark, [(49, 1.2, 1.0, 1)]), players).collect()}
+    assert asked == [1] and got == {i: 1 if i < 500 else None for i in range(502)}
+
+
 def test_asof_against_a_loop(spark):
     rng = np.random.default_rng(4)
     rows = [(0, int(t), i, int(f), float(f), float(t)) for i, (t, f) in enumerate(zip(rng.integers(1, 4, 60), rng.integers(0, 300, 60), strict=True))]

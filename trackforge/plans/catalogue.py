@@ -355,7 +355,8 @@ def asof_interp(spark, d):
     FROM nearest n LEFT JOIN best b ON b.video_id = n.video_id AND b.touch_id = n.touch_id""",
 )
 def attribute_touches(spark, d):
-    return B.attribute(touches(spark, d), _ball_for_touches(spark, d), _samples(spark, d), dp=4)
+    found = B.attribute(touches(spark, d), _ball_for_touches(spark, d), _samples(spark, d), dp=None)
+    return _halves_up(found, "court_x", "court_y", "player_distance_m")
 
 
 @query(
