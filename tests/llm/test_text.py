@@ -107,6 +107,18 @@ def test_cut_odd(odd, crowded, none):
     assert cut(none) == []
 
 
+def test_suffix_ranks_sort_no_more_often_than_suffixes_are_long(monkeypatch):
+    """Seven bytes fit in the first key, and suffixes of 12 need one doubling, whatever the width."""
+    sorts, dense = [], X._dense
+    monkeypatch.setattr(X, "_dense", lambda keys: sorts.append(1) or dense(keys))
+    values, sizes = np.random.default_rng(3).integers(1, 257, 240), np.full(20, 12)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    rank = X.suffix_ranks(values, ends, 100)
+    suffixes = [tuple(values[i:e].tolist()) for i, e in enumerate(ends)]
+    places = {x: k for k, x in enumerate(sorted(set(suffixes)), 1)}
+    assert rank.tolist() == [places[x] for x in suffixes] and len(sorts) == 2
+
+
 @given(st.binary(min_size=1, max_size=80))
 @settings(max_examples=60, deadline=None)
 def test_suffix_ranks(data):

@@ -286,10 +286,23 @@ def suffix_ranks(values: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray
 
     The suffix at i ends before ``ends[i]``, and comes before those it is a prefix of.
     ``values`` are ranks from 1.  Prefix doubling: ranks by twice as many values come
-    from pairs of ranks.
+    from pairs of ranks.  It starts from as many values as fit in a number, and ends
+    with the longest suffix.
     """
-    n, rank, known = len(values), values.astype(np.int64), 1
+    n = len(values)
+    if not n:
+        return values.astype(np.int64)
     place = np.arange(n)
+    bits = int(values.max()).bit_length()
+    width = min(width, int((ends - place).max()))
+    known = min(width, max(63 // bits, 1))
+    keys = values.astype(U64)
+    for i in range(1, known):
+        after = np.zeros(n, U64)
+        after[: n - i] = values[i:]
+        after[place + i >= ends] = 0
+        keys = (keys << U64(bits)) | after
+    rank = _dense(keys)
     while known < width:
         step = min(known, width - known)
         inside = np.flatnonzero(place + step < ends)
