@@ -81,6 +81,23 @@ def test_halves_of_the_weight_name_as_the_sql_does(spark, tmp_path):
         assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_odd_texts_and_missing_ids_name_as_the_sql_does(spark, tmp_path):
+    """Spaces of Unicode are trimmed, ends of lines are not; events without an id come after the 30 that count."""
+    texts = ["42", " 42 ", "\u00a042", "\u200942\u3000", "\t42", "42\n", "42\r", "42\x85", "42\u2028", "4\n2", "06", "\u0664\u0662"]
+    events = [(1000 * i + 300, 8 * t, json.dumps({"k": text})) for t, text in enumerate(texts) for i in range(3)]  # conf is 0.9
+    events += [(None, 801, '{"k": 9}')] * 30 + [(1000 * i + 300, 801, '{"k": 42}') for i in range(3)]
+    events += [(1000 * i + 300, None, '{"k": 42}') for i in range(3)] + [(1000 * i + 300, 802, None) for i in range(3)]
+    con = duckdb.connect()
+    con.sql("SET timezone = 'UTC'")
+    con.execute("CREATE TABLE events (event_id BIGINT, user_id BIGINT, props VARCHAR, ts TIMESTAMP DEFAULT TIMESTAMP '2024-01-01')")
+    con.executemany("INSERT INTO events (event_id, user_id, props) VALUES (?, ?, ?)", events)
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for name in ("jersey_vote", "identity_of_tracks"):
+        df, want = catalogue.QUERIES[name](spark, f"file://{tmp_path}"), con.sql(catalogue.ORACLES[name])
+        assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
+    assert (1, 1, 1) in want.fetchall() and (0, 5, len(texts)) in want.fetchall()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -204,11 +204,12 @@ def stitch(samples: DataFrame, fps: float, max_gap_s: float = 1.5, max_jump_m: f
 
 def roster_reads(reads: DataFrame, roster: DataFrame, least: float = 0.3, cap: int = 30) -> DataFrame:
     """Usable readings of shirt numbers: of the first ``cap`` of each track those
-    that are one or two digits, sure enough and on the roster."""
-    w = Window.partitionBy("video_id", "track_id").orderBy("seq")
-    text = F.trim("text")
+    that are one or two digits, sure enough and on the roster.  Spaces around the
+    digits (any of Unicode's, no line ends) do not count; rows without ``seq`` come last."""
+    w = Window.partitionBy("video_id", "track_id").orderBy(F.asc_nulls_last("seq"))
+    digits = F.regexp_extract("text", r"^\p{Zs}*([0-9]{1,2})\p{Zs}*\z", 1)
     first = reads.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cap)
-    good = first.where(text.rlike("^[0-9]{1,2}$") & (F.col("conf") >= least)).withColumn("number", text.cast("int"))
+    good = first.where(F.col("conf") >= least).withColumn("number", digits.try_cast("int"))
     return good.join(roster.select("number").distinct(), "number", "left_semi").drop("_k")
 
 
