@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,25 @@ def test_cut_odd(odd, crowded, none):
     assert cut(none) == []
 
 
+def test_memory_of_settling_does_not_follow_the_part():
+    """600 triggers of twenty phrases each are ordered a few at a time; one repeats the start of another."""
+    rng, n = np.random.default_rng(4), 600
+    texts = rng.integers(97, 123, (n, 20, 150), np.uint8)
+    texts[:, 7, :120] = texts[:, 3, :120]
+    texts[:, 7, 120] = 65
+    order = rng.permutation(n * 20)
+    phrases = [texts.reshape(-1, 150)[i].tobytes() for i in order]
+    columns = {"key": order // 20, "place": order, "tag": order * 0, "start": order * 0 + 5}
+    batch = pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in columns.items()} | {"phrase": pa.array(phrases, pa.binary())})
+    tracemalloc.start()
+    found = list(X._settle(100)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = sorted((p, s) for b in found for p, s in zip(b.column("place").to_pylist(), b.column("starts").to_pylist(), strict=True))
+    assert got == [(t * 20 + 7, [5 << 16 | 21]) for t in range(n)]
+    assert peak < 60e6
+
+
 def test_suffix_ranks_sort_no_more_often_than_suffixes_are_long(monkeypatch):
     """Seven bytes fit in the first key, and suffixes of 12 need one doubling, whatever the width."""
     sorts, dense = [], X._dense

@@ -46,7 +46,8 @@ FLUSH = 250_000  # phrases held by a task before they are sent on
 LEAST_BUSY = 64  # phrases of a trigger in a batch that name it, at least
 BUSY = 2  # times a task's fair share of a batch: from so many phrases on a trigger is named
 PART_BYTES = 48 << 20  # text per task of the first step
-DICTIONARY_PARTS = 6  # times as many tasks for suffix arrays, which need some sixty times their bytes
+DICTIONARY_PARTS = 6  # times as many tasks for suffix arrays
+SETTLE_BYTES = 1 << 19  # of phrases ordered at once, or those of one trigger; their suffix arrays need some forty times as much
 WINDOW, WORD = 8, 32  # bytes of a trigger within a phrase, and how far apart they are on average
 NULL_ID = -(1 << 63)  # rows without an id come first
 U64 = K.U64
@@ -253,10 +254,10 @@ def _fetch(parts: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in K.slices(whole, "text", K.SLICE_BYTES // 2):
-                out: tuple[list, ...] = ([], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [], [])
 
                 def send(key: int, *rest) -> None:
-                    for column, value in zip(out, ((key & (2**64 - 1)) % parts, *rest), strict=True):  # noqa: B023
+                    for column, value in zip(out, ((key & (2**64 - 1)) % parts, key, *rest), strict=True):  # noqa: B023
                         column.append(value)
 
                 first: dict[bytes, tuple] = {}  # of each string of crowded triggers
@@ -275,8 +276,8 @@ def _fetch(parts: int, length: int):
                                     first[key] = min(old, mine)
                                     send(place, *max(old, mine), None)  # removed, whoever else has it
                 for key, mine in first.items():
-                    send(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little"), *mine, key)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "place", "tag", "start", "phrase"])
+                    send(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True), *mine, key)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "key", "place", "tag", "start", "phrase"])
 
     return run
 
@@ -292,23 +293,22 @@ def suffix_ranks(values: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray
     n = len(values)
     if not n:
         return values.astype(np.int64)
-    place = np.arange(n)
+    left = (ends - np.arange(n)).astype(np.int32)
     bits = int(values.max()).bit_length()
-    width = min(width, int((ends - place).max()))
+    width = min(width, int(left.max()))
     known = min(width, max(63 // bits, 1))
     keys = values.astype(U64)
     for i in range(1, known):
-        after = np.zeros(n, U64)
-        after[: n - i] = values[i:]
-        after[place + i >= ends] = 0
-        keys = (keys << U64(bits)) | after
+        keys <<= U64(bits)
+        keys[: n - i] |= np.where(left[: n - i] > i, values[i:], 0).astype(U64)
     rank = _dense(keys)
     while known < width:
         step = min(known, width - known)
-        inside = np.flatnonzero(place + step < ends)
-        second = np.zeros(n, np.int64)
-        second[inside] = rank[inside + step]
-        rank = _dense(rank.astype(U64) * U64(int(second.max(initial=0)) + 1) + second.astype(U64))
+        second = np.where(left[: n - step] > step, rank[step:], 0).astype(U64)
+        keys = rank.astype(U64)
+        keys *= U64(int(second.max(initial=0)) + 1)
+        keys[: n - step] += second
+        rank = _dense(keys)
         known += step
     return rank
 
@@ -317,23 +317,26 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     """Ranks from 1."""
     order = np.argsort(keys)
     ranked = keys[order]
-    new = np.ones(len(keys), np.int64)
+    new = np.ones(len(keys), bool)
     new[1:] = ranked[1:] != ranked[:-1]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(new)
+    del ranked
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
     return out
 
 
 def _word_starts(data: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Where words begin: at every phrase and at every window whose rolling hash is
+    """Where words begin: at every phrase and at every window whose hash is
     divisible by ``WORD`` and that has a byte behind it in its phrase."""
     cut = np.zeros(len(data), bool)
-    if len(data) > WINDOW:
-        _, down = K.powers(len(data) + 1)
-        sums = prefix_sums(data)
-        cut[: len(data) - WINDOW + 1] = K.mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: len(data) - WINDOW + 1]) % U64(WORD) == 0
-    left = np.repeat(base + sizes, sizes) - np.arange(len(data))
-    cut &= left > WINDOW
+    for lo in range(0, len(data) - WINDOW + 1, SETTLE_BYTES):
+        piece = data[lo : lo + SETTLE_BYTES + WINDOW - 1]
+        window = np.zeros(len(piece) - WINDOW + 1, U64)
+        for i in range(WINDOW):
+            window = (window << U64(8)) | piece[i : i + len(window)]
+        cut[lo : lo + len(window)] = K.mix(window) % U64(WORD) == 0
+    for i in range(1, WINDOW + 1):
+        cut[np.maximum(base + sizes - i, base)] = False
     cut[base] = True
     return np.flatnonzero(cut)
 
@@ -363,7 +366,7 @@ def corpus_order(data: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray
     widths = np.array([len(w) for w in numbers], np.int64)
     at = np.cumsum(widths) - widths
     ends = np.repeat(at + widths, widths)
-    in_dictionary = suffix_ranks(text.astype(np.int64) + 1, ends, length)
+    in_dictionary = suffix_ranks(text.astype(np.int16) + 1, ends, length)
 
     # the parse and the order of its suffixes; a word adds a byte at least
     final = np.searchsorted(begin, stop, side="left")
@@ -400,8 +403,7 @@ def _settle(length: int):
     are such starts already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases: list[bytes] = []
-        at: list[list[np.ndarray]] = [[], [], []]
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             known = batch.column("phrase").is_null()
             if known.true_count:
@@ -409,39 +411,54 @@ def _settle(length: int):
                 c = {name: gone.column(column).to_numpy() for name, column in (("doc", "place"), ("tag", "tag"), ("start", "start"))}
                 yield _by_doc(KIND_REMOVED, c | {"count": np.ones(gone.num_rows, np.int64), "trigger": np.zeros(gone.num_rows, U64)})
                 batch = batch.filter(pa.compute.invert(known))
-            phrases += batch.column("phrase").to_pylist()
-            for column, name in zip(at, ("place", "tag", "start"), strict=True):
-                column.append(batch.column(name).to_numpy())
-        if not phrases:
+            held.append(batch)
+        if not sum(b.num_rows for b in held):
             return
-        data = np.frombuffer(b"".join(phrases), np.uint8)
-        sizes = np.array([len(p) for p in phrases], np.int64)
-        count = sizes - length + 1
-        owner = np.repeat(np.arange(len(sizes)), count)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        rank = corpus_order(data, sizes, length)
-        doc, tag, start = (np.concatenate(c)[owner] for c in at)
-        start = start + nth
-        order = np.lexsort((start, tag, doc, rank))
-        rank, doc, tag, start = rank[order], doc[order], tag[order], start[order]
-        head = np.ones(len(rank), bool)
-        head[1:] = rank[1:] != rank[:-1]
-        group, top = np.cumsum(head) - 1, np.flatnonzero(head)
-        later = (doc != doc[top][group]) | (tag != tag[top][group]) | (start != start[top][group])
-        doc, tag, start = doc[later], tag[later], start[later]
-        order = np.lexsort((start, tag, doc))
-        doc, tag, start = doc[order], tag[order], start[order]
-        run_ = np.ones(len(doc), bool)
-        run_[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] != start[:-1] + 1)
-        run_[:: 1 << 15] = True  # a run's length must fit in 16 bits
-        i = np.flatnonzero(run_)
-        lengths = np.diff(np.append(i, len(doc)))
-        c = {"doc": doc[i], "tag": tag[i], "start": start[i], "count": lengths, "trigger": np.zeros(len(i), U64)}
-        yield _by_doc(KIND_REMOVED, c)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        # equal strings have the same key, so keys are ordered apart, as many at once as SETTLE_BYTES hold
+        key = rows.column("key").to_numpy()
+        order = np.argsort(key, kind="stable")
+        sizes = pa.compute.binary_length(rows.column("phrase")).to_numpy()[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        ends = np.append(np.cumsum(sizes)[first[1:] - 1], sizes.sum())
+        lo, done = 0, 0
+        while lo < len(first):
+            hi = max(lo + 1, int(np.searchsorted(ends, done + SETTLE_BYTES, side="right")))
+            stop = first[hi] if hi < len(first) else len(order)
+            yield _settled(rows.take(pa.array(order[first[lo] : stop])), length)
+            lo, done = hi, ends[hi - 1]
 
     return run
 
 
+def _settled(rows: pa.Table, length: int) -> pa.RecordBatch:
+    """Starts whose string occurs earlier in these rows."""
+    phrases = rows.column("phrase").to_pylist()
+    sizes = np.array([len(p) for p in phrases], np.int64)
+    rank = corpus_order(np.frombuffer(b"".join(phrases), np.uint8), sizes, length)
+    count = sizes - length + 1
+    owner = np.repeat(np.arange(len(sizes)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    doc, tag, start = (rows.column(n).to_numpy()[owner] for n in ("place", "tag", "start"))
+    start = start + nth
+    order = np.lexsort((start, tag, doc, rank))
+    rank, doc, tag, start = rank[order], doc[order], tag[order], start[order]
+    head = np.ones(len(rank), bool)
+    head[1:] = rank[1:] != rank[:-1]
+    group, top = np.cumsum(head) - 1, np.flatnonzero(head)
+    later = (doc != doc[top][group]) | (tag != tag[top][group]) | (start != start[top][group])
+    doc, tag, start = doc[later], tag[later], start[later]
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start = doc[order], tag[order], start[order]
+    run_ = np.ones(len(doc), bool)
+    run_[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] != start[:-1] + 1)
+    run_[:: 1 << 15] = True  # a run's length must fit in 16 bits
+    i = np.flatnonzero(run_)
+    lengths = np.diff(np.append(i, len(doc)))
+    return _by_doc(KIND_REMOVED, {"doc": doc[i], "tag": tag[i], "start": start[i], "count": lengths, "trigger": np.zeros(len(i), U64)})
+
+
 def covered(n: int, codes: list[int], length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes that the strings at the coded starts cover."""
     out: list[list[int]] = []
@@ -484,7 +501,7 @@ def removal(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, crowd
     unpin(parsed)
 
     wanted = met.where(F.col("kind") >= KIND_OPEN).groupBy("place", "tag").agg(F.collect_list(F.struct("kind", "starts", "triggers")).alias("wanted"))
-    phrases = base.join(wanted, ["place", "tag"]).mapInArrow(_fetch(DICTIONARY_PARTS * parts, length), "part int, place long, tag long, start long, phrase binary")
+    phrases = base.join(wanted, ["place", "tag"]).mapInArrow(_fetch(DICTIONARY_PARTS * parts, length), "part int, key long, place long, tag long, start long, phrase binary")
     late = phrases.repartitionById(DICTIONARY_PARTS * parts, F.col("part")).mapInArrow(_settle(length), FOUND)
 
     gone = met.where(F.col("kind") == KIND_REMOVED).select("place", "tag", "starts").unionAll(late.select("place", "tag", "starts"))
