@@ -40,6 +40,22 @@ def test_runs(spark, name):
     assert len(catalogue.QUERIES[name](spark, DIR).collect()) > 0
 
 
+def test_touches_of_a_frame_share_their_positions(spark, monkeypatch, tmp_path):
+    """1300 touches of a frame ask for its positions twice, not 1300 times; one of them has no id."""
+    con, folder = duckdb.connect(), str(tmp_path)
+    con.sql("SET timezone = 'UTC'")
+    some = "SELECT nullif(i, 77) AS event_id, TIMESTAMP '2024-01-01 00:30:00' + INTERVAL 1 MINUTE * (CASE WHEN i < 1300 THEN 40 ELSE i % 97 END) AS ts, i % 4 * 8 AS user_id, '{}' AS props FROM range(1340) t(i)"
+    con.sql(f"CREATE TABLE events AS {some} UNION ALL SELECT 5000, NULL, 8, '{{}}'")
+    con.sql(f"COPY events TO '{folder}/events.parquet' (FORMAT parquet)")
+    asked, known = [], catalogue.W.known_positions
+    monkeypatch.setattr(catalogue.W, "known_positions", lambda moments, *a, **b: asked.append(moments) or known(moments, *a, **b))
+    df = catalogue.QUERIES["asof_interp"](spark, folder)
+    want = con.sql(catalogue.ORACLES["asof_interp"])
+    assert rows(df.columns, df.where("touch_id is not null").collect()) == rows(want.columns, want.filter("touch_id is not null").fetchall())
+    assert df.where("touch_id is null").count() == 4
+    assert asked[0].count() == con.sql("SELECT count(DISTINCT ts) FROM events").fetchall()[0][0] + 1
+
+
 @pytest.mark.parametrize("name", ["nearest_ball", "attribute_touches", "touch_rallies", "asof_interp"])
 def test_every_event_is_a_moment(spark, name):
     events = {r[0] for r in spark.read.parquet(f"{DIR}/events.parquet").select("event_id").collect()}

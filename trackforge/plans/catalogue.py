@@ -342,9 +342,11 @@ def _samples(spark, d):
 
 @query("asof_interp", f"WITH {DET}, {TOUCHES}, {ASOF} SELECT video_id, touch_id, frame, track_id, round(x + {LIFT}, 4) AS x, round(y + {LIFT}, 4) AS y FROM pos WHERE x IS NOT NULL")
 def asof_interp(spark, d):
-    found = W.known_positions(touches(spark, d), _samples(spark, d), most=600).where("x is not null")
-    found = found.select("video_id", "touch_id", "frame", "track_id", *((F.col(c) + LIFT).alias(c) for c in ("x", "y")))
-    return _halves_up(found, "x", "y")
+    """A track's position in a frame is worked out once; its touches stand side by side,
+    so that Parquet's compression takes most of what they repeat."""
+    found = W.known_positions(W.by_frame(touches(spark, d)), _samples(spark, d), most=600).where("x is not null")
+    found = found.select("video_id", "moments", "frame", "track_id", *((F.col(c) + LIFT).alias(c) for c in ("x", "y")))
+    return _halves_up(found, "x", "y").select("video_id", F.inline("moments"), "frame", "track_id", "x", "y")
 
 
 @query(
