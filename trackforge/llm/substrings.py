@@ -47,7 +47,7 @@ LEAST_BUSY = 64  # phrases of a trigger in a batch that name it, at least
 BUSY = 2  # times a task's fair share of a batch: from so many phrases on a trigger is named
 PART_BYTES = 48 << 20  # text per task of the first step
 DICTIONARY_PARTS = 6  # times as many tasks for suffix arrays
-SETTLE_BYTES = 1 << 19  # of phrases ordered at once, or those of one trigger; their suffix arrays need some forty times as much
+SETTLE_BYTES = 1 << 19  # of phrases ordered at once, or those of one trigger; their suffix arrays need some sixty times as much
 WINDOW, WORD = 8, 32  # bytes of a trigger within a phrase, and how far apart they are on average
 NULL_ID = -(1 << 63)  # rows without an id come first
 U64 = K.U64
